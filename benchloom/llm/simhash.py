@@ -226,21 +226,22 @@ def dealt(points: np.ndarray, nodes: list, depth: int, radius: int):
 
 
 def fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long."""
+    """(doc_id, text_hash, fp): fp is the fingerprint's 64 bits as a signed long."""
 
     def batches(it):
         import pyarrow as pa
         import pyarrow.compute as pc
 
         for b in it:
-            col = pc.fill_null(b.column(1), b"").cast(pa.large_binary())
+            col = pc.fill_null(b.column(2), b"").cast(pa.large_binary())
             offsets = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
             raw = col.buffers()[2]
             data = np.frombuffer(raw, np.uint8)[: offsets[-1]] if raw is not None else np.empty(0, np.uint8)
             fp = fingerprints_of(data[offsets[0] :], offsets - offsets[0], shingle) if len(col) else np.empty(0, np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(batches, "doc_id long, fp long")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
+    return rows.mapInArrow(batches, "doc_id long, text_hash long, fp long")
 
 
 def near_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -276,17 +277,17 @@ def near_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp, component_id) for each row of docs."""
+    """(doc_id, text_hash, fp, group, component_id) for each row of docs; group: a fingerprint that names the component."""
     fps = C.written(fingerprints(docs, doc_id, text, shingle), "fingerprints")
     points = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     edges = C.written(near_links(fps.select("fp").distinct(), radius), "links")
     groups = components(edges)
-    least = points.join(groups, points.fp == groups.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = least.groupBy("root").agg(F.min("least").alias("component_id"))
-    # only fingerprints linked to others need the detour over their component
-    joined = groups.join(named, "root").select(F.col("node").alias("linked"), F.col("component_id").alias("of_links"))
-    every = points.join(joined, points.fp == joined.linked, "left").select(F.col("fp").alias("key"), F.when(F.col("linked").isNotNull(), F.col("of_links")).otherwise(F.col("least")).alias("component_id"))
-    return fps.join(every, fps.fp == every.key, "left").select("doc_id", "fp", "component_id")
+    # only fingerprints that are linked to others need the detour over their component
+    linked = groups.join(points, groups.node == points.fp)
+    named = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+    linked = groups.join(named, "root").select(F.col("node").alias("fp"), F.col("root").alias("group"), "component_id")
+    alone = points.join(groups, points.fp == groups.node, "left_anti").select("fp", F.col("fp").alias("group"), F.col("least").alias("component_id"))
+    return fps.join(linked.unionByName(alone), "fp").select("doc_id", "text_hash", "fp", "group", "component_id")
 
 
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
