@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: UTF-8 bytes of text that one bundle of documents holds on average.
 BUNDLE_BYTES = 4 << 20
 #: Bundles for each shard of keys.
-BUNDLES_PER_SHARD = 8
+BUNDLES_PER_SHARD = 4
 #: Shards at least, so that small clusters stay busy.
 LEAST_SHARDS = 12
 

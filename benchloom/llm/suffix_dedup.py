@@ -8,7 +8,7 @@ document that share an anchor, with the bytes they cover, is a context of under
 1. Anchors that stand once in the whole corpus are dropped: no window over them repeats.
 2. Equal contexts (128 bits of hash) need only the smallest id among them.
 3. Where contexts differ around the same anchor, one document for each context sends its bytes.
-   A shard builds the suffix array of them by grouping (suffix_groups.py); suffixes that begin with
+   Windows whose hash stands alone are trimmed off. A shard builds the suffix array of them by grouping (suffix_groups.py); suffixes that begin with
    the same `length` bytes are neighbours in it, and the smallest id among them decides.
 
 Texts never travel but for the one exchange that builds the bundles; keys do, packed, one for each
@@ -30,13 +30,35 @@ from . import hashing as H
 from .suffix_groups import suffix_array
 
 LENGTH = 50
-GRAM = 16
+GRAM = 24
 #: Windows hashed at a time, and bytes that go into one suffix array.
-SLICE = 1 << 17
+SLICE = 1 << 14
 SUFFIX_BYTES = 1 << 16
 LAST = np.iinfo(np.int64).max
 
 
+def least_of(sums: np.ndarray, m: int, gram: int, span: int) -> np.ndarray:
+    """For each run of span grams among m, the place of the leftmost with the smallest hash.
+
+    The hash's upper bits decide; a place takes the lower ones, so all minima run over 32-bit values.
+    """
+    _, down = H.POWERS[0].get(m)
+    key = sums[gram : gram + m] - sums[:m]
+    key *= down[:m]
+    key >>= np.uint64(32)
+    low = key.astype(np.uint32)
+    bits = m.bit_length()
+    low &= np.uint32(0xFFFFFFFF << bits & 0xFFFFFFFF)
+    low |= np.arange(m, dtype=np.uint32)
+    run = 1
+    while run * 2 <= span:
+        low = np.minimum(low[:-run], low[run:])
+        run *= 2
+    if run < span:
+        low = np.minimum(low[: len(low) - (span - run)], low[span - run :])
+    return low & np.uint32((1 << bits) - 1)
+
+
 def contexts(data, offsets, length: int, gram: int):
     """Runs of windows that share an anchor: first and last start, hash of anchor and of context."""
     n = len(data) - length + 1
@@ -53,8 +75,7 @@ def contexts(data, offsets, length: int, gram: int):
             hi = min(n, b + span + 1)
             sums = H.prefix(H.BYTE_NOISE[data[lo : hi + length - 1]])
             m = hi - lo + span - 1
-            g = H.spans(sums, slice(0, m), slice(gram, gram + m))
-            at = H.least_at(g, span)
+            at = least_of(sums, m, gram, span)
             ok = valid[lo:hi]
             first = ok.copy()
             first[1:] &= ~ok[:-1] | (at[1:] != at[:-1])
@@ -68,8 +89,9 @@ def contexts(data, offsets, length: int, gram: int):
             mine = s < b - lo
             s, e = s[mine], e[mine]
             whole = H.spans(sums, s, e + length)
-            left = (at[s] - s).astype(np.uint64) << np.uint64(8) | (e - s).astype(np.uint64)
-            for out, x in zip(found, (s + lo, e + lo, g[at[s]], H.mixed(whole ^ H.mixed(left + np.uint64(11))))):
+            anchor = at[s].astype(np.int64)
+            left = (anchor - s).astype(np.uint64) << np.uint64(8) | (e - s).astype(np.uint64)
+            for out, x in zip(found, (s + lo, e + lo, H.spans(sums, anchor, anchor + gram), H.mixed(whole ^ H.mixed(left + np.uint64(11))))):
                 out.append(x)
     kinds = (np.int64, np.int64, np.uint64, np.uint64)
     return [np.concatenate(x) if x else np.empty(0, k) for x, k in zip(found, kinds)]
@@ -98,10 +120,38 @@ def shared_windows(text: np.ndarray, offsets: np.ndarray, ids: np.ndarray, lengt
     return out
 
 
+def likely_windows(text: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start, in each of the joined texts, of a window whose hash (48 bits) repeats.
+
+    Windows outside can't repeat, so the suffix array is spared them; it alone decides on the others.
+    """
+    n = len(offsets) - 1
+    first, last = np.full(n, 1, np.int64), np.zeros(n, np.int64)
+    sums = H.prefix(H.BYTE_NOISE[text])
+    starts = np.flatnonzero(np.repeat(offsets[1:], np.diff(offsets)) - np.arange(len(text)) >= length)
+    h = H.spans(sums, starts, starts + length) >> np.uint64(16)
+    _, place, count = np.unique(h, return_inverse=True, return_counts=True)
+    starts = starts[count[place] >= 2]
+    of = np.searchsorted(offsets, starts, side="right") - 1
+    first[of[::-1]] = (starts - offsets[of])[::-1]
+    last[of] = starts - offsets[of]
+    return first, last
+
+
 def compare_contexts(anchor, length_of, ids, body, length: int) -> np.ndarray:
-    """A bit for each window start of each context: does a smaller id hold the window, too."""
+    """A bit for each window start of each context: does a smaller id hold the window, too.
+
+    Contexts of an anchor go into the same suffix array, those of many anchors share one.
+    """
+    out = np.zeros(len(anchor), np.uint64)
+    if not len(anchor):
+        return out
+    place = np.arange(body.shape[1])[None, :]
     order = np.argsort(anchor, kind="stable")
-    sizes = length_of[order].astype(np.int64)
+    text = body[order][place < length_of[order][:, None]]
+    first, last = likely_windows(text, np.concatenate([[0], np.cumsum(length_of[order], dtype=np.int64)]), length)
+    some = first <= last
+    order, first, sizes = order[some], first[some], (last - first)[some] + length
     new = np.ones(len(order), bool)
     new[1:] = anchor[order][1:] != anchor[order][:-1]
     ends = np.cumsum(sizes)
@@ -109,18 +159,15 @@ def compare_contexts(anchor, length_of, ids, body, length: int) -> np.ndarray:
     for g in np.flatnonzero(new)[1:].tolist():
         if ends[g - 1] - (ends[cut[-1] - 1] if cut[-1] else 0) >= SUFFIX_BYTES:
             cut.append(g)
-    out = np.zeros(len(order), np.uint64)
     for a, b in zip(cut, [*cut[1:], len(order)]):
-        part = order[a:b]
+        part, begin, size = order[a:b], first[a:b], sizes[a:b]
         if not len(part):
             continue
-        inside = np.arange(body.shape[1])[None, :] < length_of[part][:, None]
-        text = body[part][inside]
-        offsets = np.concatenate([[0], np.cumsum(length_of[part], dtype=np.int64)])
-        hit = shared_windows(text, offsets, ids[part], length)
-        where = np.flatnonzero(hit)
+        text = body[part][(place >= begin[:, None]) & (place < (begin + size)[:, None])]
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        where = np.flatnonzero(shared_windows(text, offsets, ids[part], length))
         of = np.searchsorted(offsets, where, side="right") - 1
-        np.bitwise_or.at(out, part[of], np.uint64(1) << (where - offsets[of]).astype(np.uint64))
+        np.bitwise_or.at(out, part[of], np.uint64(1) << (where - offsets[of] + begin[of]).astype(np.uint64))
     return out
 
 

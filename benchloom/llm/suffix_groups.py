@@ -69,6 +69,22 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
                 before[i] = j
                 if j >= 0:
                     pointers[j] = pointers.get(j, 0) + 1
+            if len(pointers) == 1:
+                (j,) = pointers
+                h = group[j]
+                e = end[h] - 1
+                if e > h:
+                    end[h] = e
+                    k = held[e]
+                    w = where[j]
+                    held[w] = k
+                    where[k] = w
+                    held[e] = j
+                    where[j] = e
+                    group[j] = e
+                    end[e] = e + 1
+                top = g
+                continue
             levels: dict[int, list[int]] = {}
             for j, count in pointers.items():
                 levels.setdefault(count, []).append(j)
