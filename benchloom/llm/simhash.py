@@ -62,7 +62,7 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
         word_end = np.cumsum(size + 1) - 1
         word_start = word_end - size
         take = np.repeat(start - word_start, size + 1) + np.arange(word_end[-1] + 1)
-        text = np.append(part, 0x20)[np.minimum(take, len(part))]
+        text = np.append(part, np.uint8(0x20))[np.minimum(take, len(part))]
         text[word_end] = 0x20
         text = text.tobytes()
         words = np.bincount(doc, minlength=hi - lo)
