@@ -55,18 +55,18 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def bundled(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int, int]:
+def bundled(docs: DataFrame, doc_id: str, text: str, keep: list[str] = ()) -> tuple[DataFrame, int, int]:
     """(bundle, doc_id, text as bytes), the number of bundles and of shards.
 
     A row's bundle follows from its id and text, so a lost task builds the same bundles again, and
     copies of a text spread over all of them. The number of bundles follows from the bytes of all
-    texts. Rows that agree in id and text are interchangeable.
+    texts. Rows that agree in id and text are interchangeable. Columns of keep ride along as keep_0, ...
     """
     total = docs.agg(F.sum(F.octet_length(text).cast("long"))).first()[0] or 0
     n_bundles = max(1, -(-total // BUNDLE_BYTES))
     n_shards = max(LEAST_SHARDS, n_bundles // BUNDLES_PER_SHARD)
     key = F.pmod(F.xxhash64(F.col(doc_id), F.xxhash64(F.col(text))), F.lit(n_bundles)).cast("int")
-    rows = docs.select(key.alias("bundle"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    rows = docs.select(key.alias("bundle"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)])
     return rows, n_bundles, n_shards
 
 

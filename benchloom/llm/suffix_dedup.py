@@ -171,11 +171,11 @@ def compare_contexts(anchor, length_of, ids, body, length: int) -> np.ndarray:
     return out
 
 
-def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, kept_text as bytes, n_bytes, n_removed, n_spans) for each row of docs."""
+def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, keep: list[str] = ()) -> DataFrame:
+    """(doc_id, kept_text as bytes, n_bytes, n_removed, n_spans) and the columns of keep for each row of docs."""
     if not 0 <= length - gram < 64:
         raise ValueError("length - gram must be from 0 to 63")
-    rows, _, n_shards = C.bundled(docs, doc_id, text)
+    rows, _, n_shards = C.bundled(docs, doc_id, text, keep)
     width = 2 * length - gram
     shard_of = lambda g: (g % np.uint64(n_shards)).astype(np.int64)
 
@@ -196,7 +196,7 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def repeated_runs(t, said):
         """The bundle and its runs over repeated anchors, with distinct contexts in a fixed order."""
-        data, offsets, ids, _ = C.texts_of(t)
+        data, offsets, ids, rows = C.texts_of(t)
         first, last, g, c = contexts(data, offsets, length, gram)
         shard, _, place = anchors_of(g)
         keep = C.answered(said, shard, n_shards)[place]
@@ -204,7 +204,7 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         _, example, place = np.unique(c, return_index=True, return_inverse=True)
         id_of = np.array([LAST if i is None else i for i in ids], np.int64)
         run_id = id_of[np.searchsorted(offsets, first, side="right") - 1]
-        return data, offsets, ids, first, last, g[example], c[example], example, place, run_id
+        return data, offsets, (ids, rows), first, last, g[example], c[example], example, place, run_id
 
     def ask_contexts(t, said):
         if not t.num_rows:
@@ -254,10 +254,12 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         import pyarrow as pa
 
         schema = pa.schema([("doc_id", pa.int64()), ("kept_text", pa.binary()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64())])
+        for i in range(len(keep)):
+            schema = schema.append(t.schema.field(f"keep_{i}"))
         if not t.num_rows:
             return schema.empty_table()
         said = parts(said)
-        data, offsets, ids, first, last, g, _, example, place, run_id = repeated_runs(t, said[0])
+        data, offsets, (ids, rows), first, last, g, _, example, place, run_id = repeated_runs(t, said[0])
         shard = shard_of(g)
         answer = C.answered(said[1], shard, n_shards, np.uint8)
         bits, open_ = np.zeros(len(g), np.uint64), answer & 2 > 0
@@ -283,7 +285,7 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         kept = data[~gone]
         at = offsets - before[offsets]
         texts = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(kept)])
-        return pa.table([pa.array(ids, pa.int64()), texts, *(pa.array(x, pa.int64()) for x in (np.diff(offsets), removed, spans))], schema=schema)
+        return pa.table([pa.array(ids, pa.int64()), texts, *(pa.array(x, pa.int64()) for x in (np.diff(offsets), removed, spans)), *(rows[f"keep_{i}"] for i in range(len(keep)))], schema=schema)
 
     by = rows.groupBy("bundle")
     known = by.applyInArrow(ask_anchors, C.ASKS + "k0 binary").groupBy("shard").applyInArrow(count_anchors, C.ANSWERS)
@@ -291,7 +293,9 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     said = known.withColumn("step", F.lit(0)).unionByName(same.withColumn("step", F.lit(1)))
     differ = by.cogroup(said.groupBy("bundle")).applyInArrow(ask_bytes, C.ASKS + "k0 binary, k1 binary, k2 binary, k3 binary").groupBy("shard").applyInArrow(compare_bytes, C.ANSWERS)
     said = said.unionByName(differ.withColumn("step", F.lit(2)))
-    return by.cogroup(said.groupBy("bundle")).applyInArrow(finish, "doc_id long, kept_text binary, n_bytes long, n_removed long, n_spans long")
+    columns = "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
+    out = by.cogroup(said.groupBy("bundle")).applyInArrow(finish, "doc_id long, kept_text binary, n_bytes long, n_removed long, n_spans long" + columns)
+    return out.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
