@@ -86,6 +86,7 @@ def short_hits(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """docs with n_words, n_hit, items (sorted as strings) and contaminated."""
     items = benchmark.select(F.col(item).cast("string").alias("item"), words_of(F.col(item_text)).alias("words")).where(F.size("words") > 0)
+    items = C.written(items, "benchmark-words")  # else each window would split its item's text anew
     keys = {"h1": F.xxhash64(F.col(text)), "h2": F.xxhash64(F.lit(7), F.col(text))}
     texts = docs.select(*[v.alias(k) for k, v in keys.items()], words_of(F.col(text)).alias("words"))
     found = hits(texts, items, window, gram)
