@@ -106,9 +106,13 @@ def _places(text: Column, rule: Column) -> Column:
 
 def detections(text: Column, rules=RULES) -> Column:
     """All detections, sorted by start, longest first, strongest first."""
-    low = C.ascii_lower(text)
-    tried = F.filter(_rules(rules), lambda r: F.contains(low, r["keyword"]))
-    return F.array_sort(F.flatten(F.transform(tried, lambda r: _places(text, r))))
+
+    def found(low: Column) -> Column:
+        tried = F.filter(_rules(rules), lambda r: F.contains(low, r["keyword"]))
+        return F.array_sort(F.flatten(F.transform(tried, lambda r: _places(text, r))))
+
+    # a lambda's outer expressions run for every element: bound as a variable, the text is lower-cased once
+    return F.element_at(F.transform(F.array(C.ascii_lower(text)), found), 1)
 
 
 def unsuppressed(found: Column) -> Column:
