@@ -34,6 +34,8 @@ GRAM = 24
 #: Windows hashed at a time, and bytes that go into one suffix array.
 SLICE = 1 << 14
 SUFFIX_BYTES = 1 << 16
+#: Bytes of contexts whose windows are hashed at a time; hashing takes some 80 bytes for each of them.
+CONTEXT_BYTES = 1 << 20
 LAST = np.iinfo(np.int64).max
 
 
@@ -69,7 +71,7 @@ def contexts(data, offsets, length: int, gram: int):
         low = np.maximum(offsets[:-1], offsets[1:] - (length - 1))
         np.add.at(edge, low, 1)
         np.add.at(edge, offsets[1:], -1)
-        valid = np.cumsum(edge[:-1]) == 0
+        valid = np.cumsum(edge[:-1], dtype=np.int32) == 0
         for a in range(0, n, SLICE):
             lo, b = max(0, a - 1), min(n, a + SLICE)
             hi = min(n, b + span + 1)
@@ -144,25 +146,36 @@ def compare_contexts(anchor, length_of, ids, body, length: int) -> np.ndarray:
     Contexts of an anchor go into the same suffix array, those of many anchors share one.
     """
     out = np.zeros(len(anchor), np.uint64)
-    if not len(anchor):
-        return out
-    place = np.arange(body.shape[1])[None, :]
     order = np.argsort(anchor, kind="stable")
-    text = body[order][place < length_of[order][:, None]]
-    first, last = likely_windows(text, np.concatenate([[0], np.cumsum(length_of[order], dtype=np.int64)]), length)
-    some = first <= last
-    order, first, sizes = order[some], first[some], (last - first)[some] + length
-    new = np.ones(len(order), bool)
-    new[1:] = anchor[order][1:] != anchor[order][:-1]
+    for a, b in whole_anchors(anchor[order], length_of[order].astype(np.int64), CONTEXT_BYTES):
+        part = order[a:b]
+        out[part] = compare_some(anchor[part], length_of[part].astype(np.int64), ids[part], body[part], length)
+    return out
+
+
+def whole_anchors(anchor: np.ndarray, sizes: np.ndarray, most: int):
+    """Slices of sorted contexts that end between anchors, of about `most` bytes."""
+    if not len(anchor):
+        return
     ends = np.cumsum(sizes)
-    cut = [0]
-    for g in np.flatnonzero(new)[1:].tolist():
-        if ends[g - 1] - (ends[cut[-1] - 1] if cut[-1] else 0) >= SUFFIX_BYTES:
-            cut.append(g)
-    for a, b in zip(cut, [*cut[1:], len(order)]):
+    begin, done = 0, 0
+    for g in (np.flatnonzero(anchor[1:] != anchor[:-1]) + 1).tolist():
+        if ends[g - 1] - done >= most:
+            yield begin, g
+            begin, done = g, ends[g - 1]
+    yield begin, len(anchor)
+
+
+def compare_some(anchor, length_of, ids, body, length: int) -> np.ndarray:
+    """compare_contexts() of contexts in the order of their anchors."""
+    out = np.zeros(len(anchor), np.uint64)
+    place = np.arange(body.shape[1])[None, :]
+    text = body[place < length_of[:, None]]
+    first, last = likely_windows(text, np.concatenate([[0], np.cumsum(length_of)]), length)
+    order = np.flatnonzero(first <= last)
+    first, sizes = first[order], (last - first)[order] + length
+    for a, b in whole_anchors(anchor[order], sizes, SUFFIX_BYTES):
         part, begin, size = order[a:b], first[a:b], sizes[a:b]
-        if not len(part):
-            continue
         text = body[part][(place >= begin[:, None]) & (place < (begin + size)[:, None])]
         offsets = np.concatenate([[0], np.cumsum(size)])
         where = np.flatnonzero(shared_windows(text, offsets, ids[part], length))
@@ -240,7 +253,7 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         open_ = C.answered(said[1], shard_of(g), n_shards, np.uint8) & 2 > 0
         g, run = g[open_], example[open_]
         size = last[run] - first[run] + length
-        body = np.concatenate([data, np.zeros(width, np.uint8)])[first[run][:, None] + np.arange(width)]
+        body = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)[first[run]]
         body[np.arange(width)[None, :] >= size[:, None]] = 0
         flat = np.ascontiguousarray(body).view(f"V{width}").ravel()
         return C.asks_table(t["bundle"][0].as_py(), shard_of(g), n_shards, g, size.astype(np.uint8), run_id[run], flat)
@@ -273,7 +286,7 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             at = first[part[bits[place[part]] >> np.uint64(k) & np.uint64(1) > 0]] + k
             np.add.at(step, at, 1)
             np.add.at(step, at + length, -1)
-        gone = np.cumsum(step[:-1]) > 0
+        gone = np.cumsum(step[:-1], dtype=np.int32) > 0
         n = len(ids)
         before = np.concatenate([[0], np.cumsum(gone)])
         removed = np.diff(before[offsets])
