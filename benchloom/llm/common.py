@@ -6,6 +6,7 @@ shared by the cluster, so losing an executor costs a re-run of a few tasks and n
 
 from __future__ import annotations
 
+import inspect
 import tempfile
 import uuid
 
@@ -113,12 +114,53 @@ ANSWERS = "bundle int, shard int, answer binary"
 
 
 def gathered(arrow_table, *dtypes) -> tuple[list, np.ndarray, list[np.ndarray]]:
-    """The bundles that ask, how many keys each has, and the joined columns of a shard."""
-    names = [f"k{i}" for i in range(len(dtypes))]
-    bundles, parts = arrow_table["bundle"].to_pylist(), [arrow_table[n].to_pylist() for n in names]
-    cols = [np.frombuffer(b"".join(p), d) for p, d in zip(parts, dtypes)]
-    sizes = np.array([len(x) // np.dtype(dtypes[0]).itemsize for x in parts[0]], np.int64)
-    return bundles, sizes, cols
+    """The bundles that ask, how many keys each has, and the joined columns of a shard.
+
+    Arrow joins the values of a column, so a shard's keys are held once more and not as objects too.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    cols, sizes = [], np.empty(0, np.int64)
+    for i, d in enumerate(dtypes):
+        col = arrow_table[f"k{i}"].cast(pa.large_binary()).combine_chunks()
+        if i == 0:
+            sizes = pc.binary_length(col).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(d).itemsize
+        at = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1] if len(col) else (0, 0)
+        size = int(at[-1] - at[0])
+        cols.append(np.frombuffer(col.buffers()[2], d, size // np.dtype(d).itemsize, int(at[0])) if size else np.empty(0, d))
+    return arrow_table["bundle"].to_pylist(), sizes, cols
+
+
+def give_back() -> None:
+    """Return a worker's free memory to the machine; where the C library can't, nothing happens."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(function):
+    """function of one or two Arrow tables; after each call the worker gives its free memory back.
+
+    Workers live on between stages, and an executor holds several: what one keeps, the next stage lacks.
+    """
+
+    def one(t):
+        out = function(t)
+        give_back()
+        return out
+
+    def two(t, other):
+        out = function(t, other)
+        give_back()
+        return out
+
+    return one if len(inspect.signature(function).parameters) == 1 else two
 
 
 def answers_table(shard: int, bundles: list, sizes: np.ndarray, answer: np.ndarray):

@@ -257,6 +257,8 @@ def identify(docs: DataFrame, net: ByteNetwork | None, text: str = "text", pred:
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)]).astype(np.int64)
         p = own.document_probabilities(np.frombuffer(b"".join(raw), np.uint8), offsets)
         best = p.argmax(axis=1) if len(p) else np.empty(0, int)
+        del raw
+        C.give_back()
         return pd.DataFrame({"pred": np.array(labels, object)[best], "score": np.clip(p[np.arange(len(p)), best], 0.0, 1.0)})
 
     readable = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))

@@ -239,6 +239,7 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE
             data = np.frombuffer(raw, np.uint8)[: offsets[-1]] if raw is not None else np.empty(0, np.uint8)
             fp = fingerprints_of(data[offsets[0] :], offsets - offsets[0], shingle) if len(col) else np.empty(0, np.uint64)
             yield pa.record_batch([b.column(0), b.column(1), pa.array(fp.view(np.int64))], names=["doc_id", "text_hash", "fp"])
+        C.give_back()
 
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
     return rows.mapInArrow(batches, "doc_id long, text_hash long, fp long")
@@ -273,7 +274,7 @@ def near_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
         e = points.view(np.int64)[e]
         return pa.table({"a": pa.array(e[:, 0]), "b": pa.array(e[:, 1])})
 
-    return points.mapInArrow(deal, "shard long, fp long, home boolean").groupBy("shard").applyInArrow(link, "a long, b long")
+    return points.mapInArrow(deal, "shard long, fp long, home boolean").groupBy("shard").applyInArrow(C.lean(link), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:

@@ -181,10 +181,10 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         return pa.table([pa.array(ids, pa.int64()), texts, pa.array(words, pa.int64()), pa.array(removed, pa.int64())], schema=schema)
 
     by = rows.groupBy("bundle")
-    estimates = by.applyInArrow(count, C.ASKS + "k0 binary").groupBy("shard").applyInArrow(merge, C.ANSWERS)
-    exact = by.cogroup(estimates.groupBy("bundle")).applyInArrow(ask, C.ASKS + "k0 binary, k1 binary, k2 binary").groupBy("shard").applyInArrow(group, C.ANSWERS)
+    estimates = by.applyInArrow(C.lean(count), C.ASKS + "k0 binary").groupBy("shard").applyInArrow(C.lean(merge), C.ANSWERS)
+    exact = by.cogroup(estimates.groupBy("bundle")).applyInArrow(C.lean(ask), C.ASKS + "k0 binary, k1 binary, k2 binary").groupBy("shard").applyInArrow(C.lean(group), C.ANSWERS)
     said = estimates.withColumn("step", F.lit(0)).unionByName(exact.withColumn("step", F.lit(1)))
-    return by.cogroup(said.groupBy("bundle")).applyInArrow(finish, "doc_id long, kept_text binary, n_words long, n_removed long")
+    return by.cogroup(said.groupBy("bundle")).applyInArrow(C.lean(finish), "doc_id long, kept_text binary, n_words long, n_removed long")
 
 
 def op3_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -301,13 +301,13 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.table([pa.array(ids, pa.int64()), texts, *(pa.array(x, pa.int64()) for x in (np.diff(offsets), removed, spans)), *(rows[f"keep_{i}"] for i in range(len(keep)))], schema=schema)
 
     by = rows.groupBy("bundle")
-    known = by.applyInArrow(ask_anchors, C.ASKS + "k0 binary").groupBy("shard").applyInArrow(count_anchors, C.ANSWERS)
-    same = by.cogroup(known.groupBy("bundle")).applyInArrow(ask_contexts, C.ASKS + "k0 binary, k1 binary, k2 binary").groupBy("shard").applyInArrow(compare_ids, C.ANSWERS)
+    known = by.applyInArrow(C.lean(ask_anchors), C.ASKS + "k0 binary").groupBy("shard").applyInArrow(C.lean(count_anchors), C.ANSWERS)
+    same = by.cogroup(known.groupBy("bundle")).applyInArrow(C.lean(ask_contexts), C.ASKS + "k0 binary, k1 binary, k2 binary").groupBy("shard").applyInArrow(C.lean(compare_ids), C.ANSWERS)
     said = known.withColumn("step", F.lit(0)).unionByName(same.withColumn("step", F.lit(1)))
-    differ = by.cogroup(said.groupBy("bundle")).applyInArrow(ask_bytes, C.ASKS + "k0 binary, k1 binary, k2 binary, k3 binary").groupBy("shard").applyInArrow(compare_bytes, C.ANSWERS)
+    differ = by.cogroup(said.groupBy("bundle")).applyInArrow(C.lean(ask_bytes), C.ASKS + "k0 binary, k1 binary, k2 binary, k3 binary").groupBy("shard").applyInArrow(C.lean(compare_bytes), C.ANSWERS)
     said = said.unionByName(differ.withColumn("step", F.lit(2)))
     columns = "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
-    out = by.cogroup(said.groupBy("bundle")).applyInArrow(finish, "doc_id long, kept_text binary, n_bytes long, n_removed long, n_spans long" + columns)
+    out = by.cogroup(said.groupBy("bundle")).applyInArrow(C.lean(finish), "doc_id long, kept_text binary, n_bytes long, n_removed long, n_spans long" + columns)
     return out.withColumnsRenamed({f"keep_{i}": c for i, c in enumerate(keep)})
 
 
