@@ -33,6 +33,8 @@ LENGTH = 50
 GRAM = 24
 #: Windows hashed at a time, and bytes that go into one suffix array.
 SLICE = 1 << 14
+#: Low bits of an anchor's key that hold its place; the same in all slices, so that ties are cut alike.
+POS_BITS = 15
 SUFFIX_BYTES = 1 << 16
 #: Bytes of contexts whose windows are hashed at a time; hashing takes some 80 bytes for each of them.
 CONTEXT_BYTES = 1 << 20
@@ -49,8 +51,7 @@ def least_of(sums: np.ndarray, m: int, gram: int, span: int) -> np.ndarray:
     key *= down[:m]
     key >>= np.uint64(32)
     low = key.astype(np.uint32)
-    bits = m.bit_length()
-    low &= np.uint32(0xFFFFFFFF << bits & 0xFFFFFFFF)
+    low &= np.uint32(0xFFFFFFFF << POS_BITS & 0xFFFFFFFF)
     low |= np.arange(m, dtype=np.uint32)
     run = 1
     while run * 2 <= span:
@@ -58,7 +59,7 @@ def least_of(sums: np.ndarray, m: int, gram: int, span: int) -> np.ndarray:
         run *= 2
     if run < span:
         low = np.minimum(low[: len(low) - (span - run)], low[span - run :])
-    return low & np.uint32((1 << bits) - 1)
+    return low & np.uint32((1 << POS_BITS) - 1)
 
 
 def contexts(data, offsets, length: int, gram: int):

@@ -103,6 +103,18 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.dedup_suffixes(empty).count() == 0
 
 
+def test_anchors_do_not_depend_on_the_slice():
+    text = np.random.default_rng(2).integers(0, 256, 16 * suffix_dedup.SLICE, dtype=np.uint8)
+    found = lambda a, b: suffix_dedup.contexts(text[a:b], np.array([0, b - a]), 50, 24)
+    at, _, anchor, whole = found(0, len(text))
+    want = dict(zip(at.tolist(), zip(anchor.tolist(), whole.tolist())))
+    # short pieces are last slices; runs cut off by a piece's ends aside, they must be those of the whole text
+    for a in range(0, len(text), 700):
+        first, last, anchor, whole = found(a, min(a + 700, len(text)))
+        for s, g, c in list(zip((first + a).tolist(), anchor.tolist(), whole.tolist()))[1:-1]:
+            assert want[s] == (g, c)
+
+
 def brute_fingerprint(t):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     w = re.findall(r"[^\x20\x09-\x0D]+", low)
