@@ -1,8 +1,8 @@
 """Operator 7, license scans by ordered signature rules; DataFrame functions only.
 
 A rule is a regex with a keyword, a label and a priority (1 is the strongest). Rules whose keyword a
-text lacks are not tried, and texts without any gate word skip all of them. Detections are intervals
-of the text; one that lies inside an interval of a rule at least as strong is suppressed. The rules
+text lacks are not tried, and texts that no rule can match for want of the gate's words skip all of
+them. Detections are intervals of the text; one that lies inside an interval of a rule at least as strong is suppressed. The rules
 are written as license names and the phrasings that licenses are named in, and every combination is
 a rule.
 
@@ -17,6 +17,7 @@ are not touched.
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +27,6 @@ from . import common as C
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 BASE = rf"(?i)(?<!{WORD})(?:mit|apache|general{GAP}+public){GAP}+license(?!{WORD})"
-GATE = r"(?i)licen[cs]|copyright|copyleft|spdx|public domain|warrant|redistribut|all rights"
 
 #: (label, keyword, how the license is named), keyword and text in lower case.
 NAMES = [
@@ -38,7 +38,7 @@ NAMES = [
     ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e,? (?:version |v)?1\.1"), ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e,? (?:version |v)?2(?:\.0)?"), ("mpl", "mozilla", r"mozilla public"), ("mpl-2.0", "mpl", r"mpl[ -]*2(?:\.0)?"),
     ("epl-1.0", "eclipse", r"eclipse public licen[cs]e,? (?:- )?(?:version |v)?1\.0"), ("epl-2.0", "eclipse", r"eclipse public licen[cs]e,? (?:- )?(?:version |v)?2\.0"), ("epl", "eclipse", r"eclipse public"), ("cddl", "cddl", r"cddl"),
     ("isc", "isc", r"isc"), ("zlib", "zlib", r"zlib"), ("artistic-2.0", "artistic", r"artistic licen[cs]e,? (?:version )?2(?:\.0)?"), ("artistic", "artistic", r"artistic"), ("boost", "boost", r"boost software"), ("unlicense", "unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl"), ("cc0", "cc0", r"cc0(?:[ -]1\.0)?"), ("cc-by", "attribution", r"creative commons attribution"), ("cc-by-sa", "share", r"creative commons attribution[ -]+share[ -]?alike"), ("cc-by-nc", "noncommercial", r"creative commons attribution[ -]+non-?commercial"),
+    ("wtfpl", "wtfpl", r"wtfpl"), ("cc0", "cc0", r"cc0(?:[ -]1\.0)?"), ("cc-by", "attribution", r"creative commons attribution"), ("cc-by-sa", "share", r"creative commons attribution[ -]+share[ -]?alike"), ("cc-by-nc", "commercial", r"creative commons attribution[ -]+non-?commercial"),
     ("cc-by-nd", "derivat", r"creative commons attribution[ -]+no-?derivat(?:ive)?s?"), ("cc-by", "cc", r"cc[ -]by(?:[ -][1-4]\.0)?"), ("cc-by-sa", "cc", r"cc[ -]by[ -]sa(?:[ -][1-4]\.0)?"), ("cc-by-nc", "cc", r"cc[ -]by[ -]nc(?:[ -][1-4]\.0)?"),
     ("python", "python", r"python software foundation"), ("ruby", "ruby", r"ruby"), ("php", "php", r"php"), ("postgresql", "postgresql", r"postgresql"), ("openssl", "openssl", r"openssl"), ("ofl-1.1", "open font", r"(?:sil )?open font"), ("eupl", "eupl", r"eupl[ -]*(?:v)?(?:1\.[12])?"),
     ("ms-pl", "microsoft", r"microsoft public"), ("ms-rl", "microsoft", r"microsoft reciprocal"), ("ncsa", "illinois", r"university of illinois(?:/ncsa)?(?: open source)?"), ("odbl", "database", r"open (?:data commons open )?database"), ("upl", "universal", r"universal permissive"),
@@ -77,6 +77,8 @@ PHRASES = [
     ("boost", "boost.org", 1, r"https?://www\.boost\.org/license_1_0"),
     ("proprietary", "all rights reserved", 3, r"(?:copyright|\(c\)|©)[^\n]{0,80}all rights reserved"),
 ]
+#: What every match has in it: words of its phrasing, or the keyword of its phrase; base phrases have "license".
+GATE = "(?i)" + "|".join([r"licen[cs]e", r"(?:released|distributed|available|provided|published|covered|offered) (?:under|by|per) ", r"[ -](?:compatible|or later)", *(re.escape(keyword) for _, keyword, _, _ in PHRASES)])
 STRENGTH = {1: 1.0, 2: 0.8, 3: 0.5}
 RULES = [(label, keyword, priority, "(?i)" + shape.format(name=name)) for label, keyword, name in NAMES for priority, shape in PHRASINGS] + [(label, keyword, priority, "(?i)" + regex) for label, keyword, priority, regex in PHRASES]
 DETECTION = "array<struct<start:int,less_end:int,priority:int,label:string>>"

@@ -320,6 +320,47 @@ def test_license_scan(spark, docs, empty):
     assert license_scan.scan_licenses(docs).count() == docs.count() and license_scan.scan_licenses(empty).count() == 0
 
 
+UNGATED = ["Released under the GPL-3.0", "distributed under the MIT", "mit compatible", "gpl or later", "Permission is hereby granted, free of charge, to any person obtaining a copy", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", "may be used to endorse or promote products derived from this software without specific prior written permission", "do what the fuck you want to", "Creative Commons Attribution Non-Commercial license", "creative commons attribution-noncommercial license"]
+
+
+def sample(nodes):
+    """A random text that a parsed regex matches, its look-arounds aside."""
+    out = ""
+    for op, x in nodes:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(x)
+        elif op == "NOT_LITERAL":
+            out += "~"
+        elif op == "IN":
+            what, y = RNG.choice(x) if str(x[0][0]) != "NEGATE" else ("LITERAL", ord("~"))
+            out += chr(RNG.randint(*y)) if str(what) == "RANGE" else {"CATEGORY_SPACE": " ", "CATEGORY_DIGIT": "7"}[str(y)] if str(what) == "CATEGORY" else chr(y)
+        elif op == "MAX_REPEAT":
+            out += "".join(sample(x[2]) for _ in range(RNG.randint(x[0], min(x[1], x[0] + 2))))
+        elif op == "SUBPATTERN":
+            out += sample(x[3])
+        elif op == "BRANCH":
+            out += sample(RNG.choice(x[1]))
+    return out
+
+
+def test_license_gates_are_necessary():
+    for _, key, _, rx in license_scan.RULES:
+        for _ in range(40):
+            t = sample(re._parser.parse(rx[4:]))
+            assert re.search(rx[4:], t, re.I | re.A), (rx, t)
+            assert key in t and re.search(license_scan.GATE[4:], t, re.I | re.A), (rx, t)
+
+
+def test_license_scan_without_gate(spark):
+    compiled = [(label, p, re.compile(rx[4:], re.I | re.A)) for label, _, p, rx in license_scan.RULES]
+    for r in license_scan.scan_licenses(spark.createDataFrame(list(enumerate(UNGATED + LICENSES[:9])), "doc_id long, text string")).collect():
+        found = [(m.start(), m.end(), p, label) for label, p, rx in compiled for m in rx.finditer(r.text)]
+        kept = {f[3] for f in found if not any(g[0] <= f[0] and g[1] >= f[1] and g[2] <= f[2] and (g[:2] != f[:2] or (g[2], g[3]) < (f[2], f[3])) for g in found)}
+        assert r.labels == ",".join(sorted(kept | {x for x in r.base_labels.split(",") if x})), r.text
+        assert r.text not in UNGATED or r.score == license_scan.STRENGTH[min(f[2] for f in found)]
+
+
 def test_embedding_dedup(spark):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 24))
