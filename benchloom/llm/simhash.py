@@ -11,14 +11,6 @@ forests follow from alternating star contractions on tables in the shared folder
 Defined cases: texts that are null or without words have fingerprint zero and link like any other;
 fewer words than a shingle make one shingle; repeated rows and ids are each a row of the result; a
 component's id is the smallest non-null id in it, null if it has none; other columns are ignored.
-
-near_copies(), which the pipeline uses, links texts whose sets of 5-word shingles have a Jaccard
-similarity of 0.8 or more. Fingerprints of the sets within COPY_RADIUS bits are candidates: at 0.8 the
-angle formula gives 9.7 bits of 64 on average, and 18 or fewer in 99.8 % of pairs. A pair goes on if the sizes of the
-sets allow 0.8 and if at least 5 of 16 minima of hashes agree (a pair at 0.8 has fewer once in 300,000);
-then its shingles are compared, and only confirmed pairs link. Sets are equal where a 64-bit
-hash of them is. So wide a ball meets nearly every region of the trees: comparisons grow with the square
-of the distinct sets, and a group of n differing copies makes up to n * n / 2 candidates.
 """
 
 from __future__ import annotations
@@ -38,13 +30,6 @@ RADIUS = 2
 SHARD_POINTS = 20_000
 SAMPLE_POINTS = 20_000
 LEAF = 48
-#: near_copies(): words of a shingle, least similarity, candidates' differing bits, minima in a sketch and how many must agree.
-COPY_SHINGLE = 5
-SIMILARITY = 0.8
-COPY_RADIUS = 18
-SKETCH = 16
-SKETCH_LEAST = 5
-COPY_LEAF = 1024
 #: Comparisons of a query block with a leaf that are made at a time.
 BLOCK = 1 << 22
 LOWER = np.arange(256, dtype=np.uint8)
@@ -110,32 +95,6 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
     return out
 
 
-def sets_of(data: np.ndarray, offsets: np.ndarray, shingle: int = COPY_SHINGLE):
-    """shingles_of() without repetitions inside a text, sorted."""
-    for lo, n_shingles, hashes in shingles_of(data, offsets, shingle):
-        doc = np.repeat(np.arange(len(n_shingles)), n_shingles)
-        order = np.lexsort((hashes, doc))
-        doc, hashes = doc[order], hashes[order]
-        new = np.ones(len(doc), bool)
-        new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
-        yield lo, np.bincount(doc[new], minlength=len(n_shingles)), hashes[new]
-
-
-def sketches_of(data: np.ndarray, offsets: np.ndarray, shingle: int = COPY_SHINGLE) -> tuple[np.ndarray, ...]:
-    """(key, fingerprint, size, sketch) of the shingle set of each of the joined texts; equal sets have equal keys."""
-    n = len(offsets) - 1
-    key, fp, size, sketch = np.zeros(n, np.uint64), np.zeros(n, np.uint64), np.zeros(n, np.int32), np.zeros((n, SKETCH), np.uint8)
-    for lo, count, hashes in sets_of(data, offsets, shingle):
-        full = np.flatnonzero(count)
-        begin = (np.cumsum(count) - count)[full]
-        size[lo : lo + len(count)] = count
-        fp[lo : lo + len(count)] = majorities(count, hashes)
-        key[lo + full] = H.mixed(np.add.reduceat(H.mixed(hashes), begin) + count[full].astype(np.uint64))
-        for k, odd in enumerate(H.noise(SKETCH, 5) | np.uint64(1)):
-            sketch[lo + full, k] = (H.mixed(np.minimum.reduceat((hashes ^ odd) * odd, begin)) & np.uint64(255)).astype(np.uint8)
-    return key, fp, size, sketch
-
-
 def _slices(offsets: np.ndarray, size: int = 1 << 20):
     """Runs of documents of about size bytes."""
     lo, n = 0, len(offsets) - 1
@@ -350,96 +309,6 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return fps.join(linked.unionByName(alone), "fp").select("doc_id", "text_hash", "fp", "group", "component_id")
 
 
-def sketches(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame:
-    """(doc_id, text_hash, key, fp, size, sketch) of each row's shingle set."""
-
-    def batches(it):
-        import pyarrow as pa
-
-        for b in it:
-            if b.num_rows:
-                key, fp, size, sketch = sketches_of(*_joined(b.column(2)), shingle)
-                packed = pa.array(sketch.view(f"V{SKETCH}").ravel().tolist(), pa.binary())
-                yield pa.record_batch([b.column(0), b.column(1), pa.array(key.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(size), packed], names=["doc_id", "text_hash", "key", "fp", "size", "sketch"])
-        C.give_back()
-
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).cast("binary").alias("text"))
-    return rows.mapInArrow(batches, "doc_id long, text_hash long, key long, fp long, size int, sketch binary")
-
-
-def candidates(points: DataFrame, radius: int, similarity: float) -> DataFrame:
-    """points: distinct `key` with fp, size and sketch. Every pair (a, b) of keys that may be similar, once."""
-    n = points.count()
-    depth = max(0, int(np.ceil(np.log2(max(1, n / SHARD_POINTS)))))
-    drawn = points.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(min(1.0, SAMPLE_POINTS / max(n, 1)) * (1 << 20))).select("fp").limit(2 * SAMPLE_POINTS).toPandas()["fp"]
-    nodes = shard_tree(np.unique(drawn.to_numpy(np.int64).view(np.uint64)), depth)
-
-    def deal(it):
-        import pyarrow as pa
-
-        for b in it:
-            i, shard, home = dealt(b.column(1).to_numpy().view(np.uint64), nodes, depth, radius)
-            rows = b.take(pa.array(i))
-            yield pa.record_batch([pa.array(shard), pa.array(home), *rows.columns], names=["shard", "home", "key", "fp", "size", "sketch"])
-
-    def pair(t):
-        import pyarrow as pa
-
-        t = t.sort_by([("home", "descending"), ("key", "ascending")]).combine_chunks()
-        key, fp, size = (t[c].to_numpy() for c in ("key", "fp", "size"))
-        fp, k = fp.view(np.uint64), int(np.count_nonzero(t["home"].to_numpy(zero_copy_only=False)))
-        sketch = np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, SKETCH)
-        found = [np.empty((0, 2), np.int64)]
-        for q, p in VantageTree(fp[:k], COPY_LEAF).pairs(fp, radius):
-            once = (q > p) & (np.minimum(size[q], size[p]) >= similarity * np.maximum(size[q], size[p]))
-            q, p = q[once], p[once]
-            agree = (sketch[q] == sketch[p]).sum(axis=1) >= SKETCH_LEAST
-            found.append(np.stack([key[q[agree]], key[p[agree]]], axis=1))
-        e = np.concatenate(found)
-        return pa.table({"a": pa.array(e[:, 0]), "b": pa.array(e[:, 1])})
-
-    return points.select("key", "fp", "size", "sketch").mapInArrow(deal, "shard long, home boolean, key long, fp long, size int, sketch binary").groupBy("shard").applyInArrow(C.lean(pair), "a long, b long")
-
-
-def confirmed(pairs: DataFrame, points: DataFrame, docs: DataFrame, doc_id: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """The pairs of keys whose shingle sets are similar. points: key, and doc_id and text_hash of a row that has it."""
-
-    def batches(it):
-        import pyarrow as pa
-
-        for b in it:
-            if b.num_rows:
-                data, offsets = _joined(b.column(1))
-                size, hashes = np.zeros(b.num_rows, np.int64), [np.empty(0, np.uint64)]
-                for lo, count, h in sets_of(data, offsets, shingle):
-                    size[lo : lo + len(count)] = count
-                    hashes.append(h)
-                at = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                yield pa.record_batch([b.column(0), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(hashes).view(np.int64)))], names=["key", "shingles"])
-        C.give_back()
-
-    asked = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct().join(points, "key").select("key", F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    texts = docs.join(asked, F.col(doc_id).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))).select("key", F.col(text).cast("binary").alias("text"))
-    sets = C.written(texts.mapInArrow(batches, "key long, shingles array<long>").dropDuplicates(["key"]), "shingles")
-    of = lambda c: sets.select(F.col("key").alias(c), F.col("shingles").alias(f"of_{c}"))
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    similar = shared >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - shared)
-    edges = C.written(pairs.join(of("a"), "a").join(of("b"), "b").where(similar).select("a", "b"), "links")
-    C.forget(sets)
-    return edges
-
-
-def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = COPY_RADIUS, shingle: int = COPY_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, text_hash, group) for each row of docs; rows whose shingle sets are similar, or linked by such rows, share a group."""
-    rows = C.written(sketches(docs, doc_id, text, shingle), "sketches")
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    points = rows.groupBy("key").agg(F.min("fp").alias("fp"), F.min("size").alias("size"), F.min("sketch").alias("sketch"), F.min(row).alias("row"))
-    points = C.written(points.select("key", "fp", "size", "sketch", "row.doc_id", "row.text_hash"), "points")
-    pairs = C.written(candidates(points, radius, similarity), "pairs")
-    groups = components(confirmed(pairs, points.select("key", "doc_id", "text_hash"), docs, doc_id, text, shingle, similarity))
-    return rows.join(groups, rows.key == groups.node, "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("group"))
-
-
 def op5_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(C.table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
