@@ -20,6 +20,7 @@ ORACLE_SQL = {
     "op2_url_filter": url_filter.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_suffix_dedup": suffix_dedup.ORACLE,
+    "op6_temperature_mixing": mixing.ORACLE,
     "op8_embedding_dedup": embedding_dedup.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
     "op10_decontamination": decontamination.ORACLE,

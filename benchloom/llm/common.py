@@ -20,6 +20,8 @@ BUNDLE_BYTES = 4 << 20
 BUNDLES_PER_SHARD = 4
 #: Shards at least, so that small clusters stay busy.
 LEAST_SHARDS = 12
+#: Rows of a few numbers each that may be broadcast: some 10 MB.
+BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,6 +49,11 @@ def forget(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df, marked for broadcasting if it has at most so many rows of a few numbers each; else a shuffle joins it."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

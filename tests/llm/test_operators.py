@@ -239,14 +239,15 @@ def test_wildcards():
 
 
 def test_mixing(spark, docs, empty):
-    for budget, block in ((None, 4096), (None, 3), (500, 5)):
-        rows = docs.select("doc_id", "source", mixing.tokens_of("text").alias("n"), F.xxhash64(F.lit(42), "text", "doc_id").alias("h"), F.xxhash64(F.xxhash64(F.lit(42), "text", "doc_id")).alias("h2")).collect()
+    md5 = lambda *x: hashlib.md5(":".join(map(str, x)).encode()).hexdigest()
+    for budget, block in ((None, 4096), (None, 3), (500, 5), (20000, 2)):
+        rows = [(r.doc_id, r.source, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")), md5(42, "" if r.doc_id is None else r.doc_id, md5(r.text or ""))) for r in docs.collect()]
         got = mixing.mix(docs, budget=budget, block_rows=block).collect()
-        total = sum(r.n for r in rows)
+        total = sum(r[2] for r in rows)
         tokens, size = {}, {}
-        for r in rows:
-            tokens[r.source] = tokens.get(r.source, 0) + r.n
-            size[r.source] = size.get(r.source, 0) + 1
+        for _, s, n, _ in rows:
+            tokens[s] = tokens.get(s, 0) + n
+            size[s] = size.get(s, 0) + 1
         tokens = {s: n for s, n in tokens.items() if n}
         want = budget or total
 
@@ -266,26 +267,25 @@ def test_mixing(spark, docs, empty):
         for s, share in facts(high)[2].items():
             passes, rest = divmod(int(share * want + 1e-6), tokens[s])
             blocks = -(-size[s] // block)
-            part = sorted((r for r in rows if r.source == s), key=lambda r: (r.h % blocks, r.h2, r.n, (r.doc_id is not None, r.doc_id)))
-            done = {}
-            for r in part:
-                done[r.h % blocks] = done.get(r.h % blocks, 0) + r.n
-            at, cut = 0, None
-            fits = set()
-            for b in sorted(done):
-                if at + done[b] <= rest:
-                    fits.add(b)
-                elif cut is None and rest > at:
-                    cut = (b, at)
-                at += done[b]
-            inside = cut[1] if cut else 0
-            for r in part:
-                b = r.h % blocks
-                more = b in fits
-                if cut and b == cut[0]:
-                    inside += r.n
-                    more = inside <= rest
-                reads += [(r.doc_id, s, e, b, r.n) for e in range(passes + more)]
+            held = {}
+            for r in rows:
+                if r[1] == s:
+                    held.setdefault(int(r[3][:8], 16) % blocks, []).append(r)
+            for epoch in range(passes + 1):
+                at = 0
+                rank = lambda b: int(md5(42, epoch, str(s is None).lower(), s or "", b)[:15], 16)
+                for b in sorted(held, key=rank):
+                    inside = sorted(held[b], key=lambda r: (md5(epoch, r[3]), r[2], (r[0] is not None, r[0])))
+                    all_ = sum(r[2] for r in inside)
+                    left = rest - at
+                    at += all_
+                    if epoch == passes and left <= 0 and all_:
+                        continue
+                    done = 0
+                    for place, r in enumerate(inside, 1):
+                        done += r[2]
+                        if epoch < passes or at <= rest or (left > 0 and done <= left):
+                            reads.append((r[0], s, epoch, b, rank(b), place, r[2]))
         same([tuple(r) for r in got], reads)
         assert sum(r.n_tokens for r in got) <= want
     assert mixing.mix(empty).count() == 0
