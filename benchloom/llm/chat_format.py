@@ -1,11 +1,15 @@
 """Operator 9, chat formatting in budgeted windows; DataFrame functions only.
 
-A conversation is written as windows of whole turns. Prefix sums of turn tokens choose the spans: a
-span has the turns that end inside one block of half the budget, so no span is over the budget unless
-a single turn is longer than half of it. Every window after the first begins with the system turn, if
+A conversation is written as windows of whole turns, each within a budget of tokens, all of its text
+counted: control strings, the repeated system turn and the repeated history. What the system turn and
+the history budget leave is the capacity of a span. Prefix sums of turn tokens choose the spans: the
+turns that end inside one block of half the capacity are one, so it never overflows; a turn longer than
+half the capacity is a span of its own. Every window after the first begins with the system turn, if
 the conversation opens with one, and with up to HISTORY turns from before its span that fit the
-history budget. Repeated turns are outside the loss, so the text of each assistant turn is in the
-loss of exactly one window.
+history budget and the room that the span leaves. Only a window of a single turn can be over the budget:
+if that turn and the system turn alone are. Repeated turns are outside the loss, so the text of each
+assistant turn is in the loss of exactly one window. Tokens are counted by a function of the formatted
+text, which the caller may replace; the default takes CHARS_PER_TOKEN characters for one.
 
 Template of a turn: <|im_start|>ROLE newline TEXT<|im_end|> newline. Inside texts "\\" is doubled and
 "<|" becomes "<\\|", so control strings never occur in them; read_back() undoes both.
@@ -18,6 +22,8 @@ a conversation isn't: its digest is one value over all its text, and so is the w
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,7 +34,6 @@ BUDGET = 1024
 HISTORY = 2
 HISTORY_BUDGET = 256
 CHARS_PER_TOKEN = 4
-TURN_TOKENS = 4
 BEGIN, END = "<|im_start|>", "<|im_end|>"
 
 
@@ -49,47 +54,49 @@ def unescaped_role(role: Column) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.replace(p, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
-def format_windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history_budget: int = HISTORY_BUDGET) -> DataFrame:
-    """(conv, window, text, n_repeated, loss): the windows of each conversation.
+def count_tokens(text: Column) -> Column:
+    return F.ceil(F.length(text) / CHARS_PER_TOKEN).cast("long")
+
+
+def format_windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", budget: int = BUDGET, history_budget: int = HISTORY_BUDGET, tokens: Callable[[Column], Column] = count_tokens) -> DataFrame:
+    """(conv, window, text, n_tokens, n_repeated, loss): the windows of each conversation.
 
     n_repeated: how many turns at the window's start repeat earlier ones. loss: the code points
-    [start, end) of the window's text that are trained on.
+    [start, end) of the window's text that are trained on. tokens: those of a formatted turn.
     """
     said = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    said = said.withColumn("tokens", (F.floor((F.length("text") + (CHARS_PER_TOKEN - 1)) / CHARS_PER_TOKEN) + TURN_TOKENS).cast("long"))
+    said = said.withColumn("piece", F.concat(F.lit(BEGIN), escaped_role(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit(END + "\n")))
+    said = said.withColumns({"tokens": tokens(F.col("piece")), "head": F.length(F.lit(BEGIN)) + F.length(escaped_role(F.col("role"))) + 1, "size": F.length(escaped(F.col("text")))})
     order = Window.partitionBy("conv").orderBy("turn", "role", "text")
     said = said.withColumns({"n": F.row_number().over(order), "opening": F.first("role").over(order)})
     said = said.withColumn("system", (F.col("n") == 1) & (F.col("role") == "system"))
     before = Window.partitionBy("conv").orderBy("n")
-    said = said.withColumn("cum", F.sum(F.when(F.col("system"), 0).otherwise(F.col("tokens"))).over(before))
-    block = max(1, budget // 2)
-    said = said.withColumn("span", F.when(~F.col("system"), F.floor((F.col("cum") - 1) / block)))
-    said = said.withColumn("span", F.coalesce("span", F.lead("span", 1).over(before), F.lit(0)).cast("long"))
-    piece = F.concat(F.lit(BEGIN), escaped_role(F.col("role")), F.lit("\n"), escaped(F.col("text")), F.lit(END + "\n"))
-    said = said.withColumns(
-        {
-            "piece": piece,
-            "head": F.length(F.lit(BEGIN)) + F.length(escaped_role(F.col("role"))) + 1,
-            "size": F.length(escaped(F.col("text"))),
-            "next_1": F.lead("span", 1).over(before), "next_2": F.lead("span", 2).over(before), "tokens_1": F.lead("tokens", 1).over(before),
-            "last_span": F.lag("span", 1).over(before),
-        }
-    )
-    system = F.first(F.when(F.col("system"), F.col("piece"))).over(before)
+    said = said.withColumns({"of_system": F.coalesce(F.first(F.when(F.col("system"), F.col("tokens"))).over(before), F.lit(0)), "system_text": F.first(F.when(F.col("system"), F.col("piece"))).over(before)})
+    half = F.greatest(F.lit(1), F.floor((F.lit(budget - history_budget) - F.col("of_system")) / 2))
+    said = said.withColumn("half", half).withColumn("long", ~F.col("system") & (F.col("tokens") > F.col("half")))
+    said = said.withColumn("part", F.sum((F.col("long") | F.coalesce(F.lag("long").over(before), F.lit(False))).cast("int")).over(before))
+    said = said.withColumn("block", F.when(~F.col("system"), F.floor((F.sum("tokens").over(Window.partitionBy("conv", "system", "part").orderBy("n")) - 1) / F.col("half"))))
+    goes_on = F.coalesce((F.lag("part").over(before) == F.col("part")) & (F.lag("block").over(before) == F.col("block")), F.col("system"))
+    said = said.withColumn("begins", (~goes_on).cast("long")).withColumn("span", F.greatest(F.lit(0).cast("long"), F.sum("begins").over(before) - 1))
+    said = said.withColumn("room", budget - F.col("of_system") - F.sum(F.when(F.col("system"), 0).otherwise(F.col("tokens"))).over(Window.partitionBy("conv", "span")))
+    after = lambda c, k: F.lead(c, k).over(before)
+    said = said.withColumns({"next_1": after("span", 1), "next_2": after("span", 2), "tokens_1": after("tokens", 1), "room_1": after("room", 1), "room_2": after("room", 2), "last_span": F.lag("span", 1).over(before)})
     opens = (F.col("last_span") != F.col("span")) & (F.col("opening") == "system") & (F.col("n") > 1)
-    said = said.withColumn("system_piece", F.when(opens, system))
+    said = said.withColumn("system_piece", F.when(opens, F.col("system_text")))
     row = lambda span, kind, piece: F.struct(span.alias("window"), F.lit(kind).alias("kind"), piece.alias("piece"))
     # kinds in the order of a window: the system turn, history, the span's own turns
     repeats = F.array_compact(
         F.array(
             F.when(F.col("system_piece").isNotNull(), row(F.col("span"), 0, F.col("system_piece"))),
-            F.when(~F.col("system") & (F.col("next_1") != F.col("span")) & (F.col("tokens") <= history_budget), row(F.col("next_1"), 1, F.col("piece"))),
-            F.when(~F.col("system") & (F.col("next_2") != F.col("next_1")) & (F.col("tokens") + F.col("tokens_1") <= history_budget), row(F.col("next_2"), 1, F.col("piece"))),
+            F.when(~F.col("system") & (F.col("next_1") != F.col("span")) & (F.col("tokens") <= F.least(F.lit(history_budget), "room_1")), row(F.col("next_1"), 1, F.col("piece"))),
+            F.when(~F.col("system") & (F.col("next_2") != F.col("next_1")) & (F.col("tokens") + F.col("tokens_1") <= F.least(F.lit(history_budget), "room_2")), row(F.col("next_2"), 1, F.col("piece"))),
             row(F.col("span"), 2, F.col("piece")),
         )
     )
-    rows = said.select("conv", "n", "role", "head", "size", F.explode(repeats).alias("r")).select("conv", "r.*", "n", "role", "head", "size")
-    part = F.struct("kind", "n", "piece", ((F.col("role") == "assistant") & (F.col("kind") == 2)).alias("target"), "head", "size")
+    said = said.withColumn("r", F.explode(repeats))
+    counted = F.when(F.col("r.kind") == 0, F.col("of_system")).otherwise(F.col("tokens"))
+    rows = said.select("conv", "r.*", "n", "role", "head", "size", counted.alias("tokens"))
+    part = F.struct("kind", "n", "piece", ((F.col("role") == "assistant") & (F.col("kind") == 2)).alias("target"), "head", "size", "tokens")
     windows = rows.groupBy("conv", "window").agg(F.array_sort(F.collect_list(part)).alias("parts"))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("loss"))
 
@@ -101,6 +108,7 @@ def format_windows(turns: DataFrame, conv: str = "conv_id", turn: str = "turn",
     return windows.select(
         F.col("conv").alias(conv), "window",
         F.array_join(F.transform("parts", lambda p: p["piece"]), "").alias("text"),
+        F.aggregate("parts", F.lit(0).cast("long"), lambda s, p: s + p["tokens"]).alias("n_tokens"),
         F.size(F.filter("parts", lambda p: p["kind"] < 2)).alias("n_repeated"),
         F.aggregate("parts", zero, step, lambda s: s["loss"]).alias("loss"),
     )
@@ -141,23 +149,28 @@ WITH t AS (
   UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
 ), a AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
-         (length(text) + 3) // 4 + 4 AS tokens,
          12 + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + 1 + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 11 AS plen
   FROM t
-), b AS (
-  SELECT *, n = 1 AND role = 'system' AS sys, sum(CASE WHEN n = 1 AND role = 'system' THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY n) AS cum FROM a
-), c AS (SELECT *, CASE WHEN NOT sys THEN (cum - 1) // 512 END AS s0 FROM b),
-d AS (SELECT *, coalesce(s0, lead(s0) OVER (PARTITION BY conv_id ORDER BY n), 0) AS span FROM c),
-e AS (
-  SELECT *, lead(span, 1) OVER w AS n1, lead(span, 2) OVER w AS n2, lead(tokens, 1) OVER w AS t1 FROM d WINDOW w AS (PARTITION BY conv_id ORDER BY n)
-), f AS (
+), b AS (SELECT *, (plen + 3) // 4 AS tokens, n = 1 AND role = 'system' AS sys FROM a),
+c AS (SELECT *, coalesce(max(CASE WHEN sys THEN tokens END) OVER (PARTITION BY conv_id), 0) AS st FROM b),
+d AS (SELECT *, greatest(1, CAST(floor((768 - st) / 2) AS BIGINT)) AS half FROM c),
+e AS (SELECT *, NOT sys AND tokens > half AS long, coalesce(lag(NOT sys AND tokens > half) OVER (PARTITION BY conv_id ORDER BY n), false) AS was FROM d),
+f AS (SELECT *, sum(CASE WHEN long OR was THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY n) AS part FROM e),
+g AS (SELECT *, CASE WHEN NOT sys THEN CAST(floor((sum(tokens) OVER (PARTITION BY conv_id, sys, part ORDER BY n) - 1) / half) AS BIGINT) END AS blk FROM f),
+h AS (SELECT *, CASE WHEN sys OR (lag(part) OVER (PARTITION BY conv_id ORDER BY n) = part AND lag(blk) OVER (PARTITION BY conv_id ORDER BY n) = blk) THEN 0 ELSE 1 END AS begins FROM g),
+i AS (SELECT *, greatest(0, sum(begins) OVER (PARTITION BY conv_id ORDER BY n) - 1) AS span FROM h),
+j AS (SELECT *, 1024 - st - sum(CASE WHEN sys THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id, span) AS room FROM i),
+k AS (
+  SELECT *, lead(span, 1) OVER w AS n1, lead(span, 2) OVER w AS n2, lead(tokens, 1) OVER w AS t1, lead(room, 1) OVER w AS r1, lead(room, 2) OVER w AS r2
+  FROM j WINDOW w AS (PARTITION BY conv_id ORDER BY n)
+), l AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY n) AS turns,
          coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS loss,
-         sum(plen) + sum(CASE WHEN NOT sys AND n1 <> span AND tokens <= 256 THEN plen ELSE 0 END)
-           + sum(CASE WHEN NOT sys AND n2 <> n1 AND tokens + t1 <= 256 THEN plen ELSE 0 END)
+         sum(plen) + sum(CASE WHEN NOT sys AND n1 <> span AND tokens <= least(256, r1) THEN plen ELSE 0 END)
+           + sum(CASE WHEN NOT sys AND n2 <> n1 AND tokens + t1 <= least(256, r2) THEN plen ELSE 0 END)
            + coalesce(max(CASE WHEN sys THEN plen END), 0) * (count(DISTINCT span) - 1) AS chars
-  FROM e GROUP BY conv_id
+  FROM k GROUP BY conv_id
 )
 SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256,
-       CAST(chars AS BIGINT) AS formatted_chars FROM f
+       CAST(chars AS BIGINT) AS formatted_chars FROM l
 """

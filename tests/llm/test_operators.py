@@ -402,6 +402,44 @@ def test_chat_format(spark):
     assert chat_format.read_back(chat_format.format_windows(df.limit(0))).count() == 0
 
 
+def test_chat_windows_keep_the_budget(spark):
+    """Budget, system turn, history and mask of every window, against the turns it must hold."""
+    rows = []
+    for c in range(60):
+        system = RNG.choice([None, 40, 700, 6000])
+        turns = ([("system", "s" * system)] if system else []) + [(RNG.choice(["user", "assistant"]), RNG.choice("abc<|") * RNG.choice([0, 3, 90, 400, 2000, 5000])) for _ in range(RNG.randrange(1, 30))]
+        rows += [(c, i, r, t) for i, (r, t) in enumerate(turns)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    piece = lambda r, t: f"<|im_start|>{r}\n" + t.replace("\\", "\\\\").replace("<|", "<\\|") + "<|im_end|>\n"
+    for budget, history, count in ((1024, 256, None), (1024, 256, lambda c: F.length(c).cast("long")), (300, 50, None), (1024, 0, None)):
+        size = (lambda p: len(p)) if count else (lambda p: -(-len(p) // 4))
+        windows = chat_format.format_windows(df, budget=budget, history_budget=history, **({"tokens": count} if count else {})).orderBy("conv_id", "window").collect()
+        crowded = 0
+        for c in range(60):
+            turns = [(r, t) for d, _, r, t in rows if d == c]
+            system = turns[0] if turns[0][0] == "system" else None
+            done = 0
+            for k, w in enumerate(x for x in windows if x.conv_id == c):
+                pieces = [p + "<|im_end|>\n" for p in w.text.split("<|im_end|>\n")[:-1]]
+                assert w.n_tokens == sum(map(size, pieces))
+                own = pieces[w.n_repeated :]
+                assert own == [piece(*x) for x in turns[done : done + len(own)]]
+                repeated = pieces[: w.n_repeated]
+                if k and system:
+                    assert repeated.pop(0) == piece(*system)
+                else:
+                    assert k or not repeated
+                assert len(repeated) <= 2 and repeated == [piece(*x) for x in turns[done - len(repeated) : done]] and sum(map(size, repeated)) <= history
+                crowded += len(repeated)
+                if w.n_tokens > budget:
+                    assert not repeated and len(own) - (k == 0 and system is not None) <= 1
+                want = [t for r, t in turns[done : done + len(own)] if r == "assistant"]
+                assert [w.text[s.start : s.end].replace("<\\|", "<|").replace("\\\\", "\\") for s in w.loss] == want
+                done += len(own)
+            assert done == len(turns)
+        assert crowded or not history
+
+
 def test_decontamination(spark, docs, empty, monkeypatch):
     items = [(0, PASSAGE), (1, " ".join(PASSAGE.split()[20:31])), (2, "123"), (3, None), (4, "!"), (10, TEXTS[2]), (11, TEXTS[2].upper()), (5, "then then ing")]
     bench = spark.createDataFrame(items, "item_id long, text string")
