@@ -15,12 +15,13 @@ QUERIES = {
     "op10_decontamination": decontamination.op10_decontamination,
 }
 
-#: Networks, fingerprints and regexes of Java have no SQL form: operators 1, 5, 6 and 7 are tested against brute force.
+#: A trained network and XXH64 have no SQL form here: operators 1 and 5 are tested against brute force.
 ORACLE_SQL = {
     "op2_url_filter": url_filter.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
     "op4_suffix_dedup": suffix_dedup.ORACLE,
     "op6_temperature_mixing": mixing.ORACLE,
+    "op7_license_scan": license_scan.ORACLE,
     "op8_embedding_dedup": embedding_dedup.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
     "op10_decontamination": decontamination.ORACLE,

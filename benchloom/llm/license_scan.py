@@ -1,120 +1,74 @@
 """Operator 7, license scans by ordered signature rules; DataFrame functions only.
 
-A rule is a regex with a keyword, a label and a priority (1 is the strongest). Rules whose keyword a
-text lacks are not tried, and texts that no rule can match for want of the gate's words skip all of
-them. Detections are intervals of the text; one that lies inside an interval of a rule at least as strong is suppressed. The rules
-are written as license names and the phrasings that licenses are named in, and every combination is
-a rule.
+A rule (license_rules) is a regex with a keyword, a label and a priority, 1 being the strongest. A text is
+read as its words, lower-cased, each between two blanks of its own, so line breaks, comment marks and
+punctuation inside a license text do no harm and matches that follow each other share nothing. A rule
+is tried where the text has its keyword, a word that every match of the rule has, so the prefilter loses
+nothing. Detections are intervals of the words; one that lies inside an interval of a rule at least as
+strong is suppressed.
 
-Besides, base phrases count where their words stand consecutively; their labels always stay.
+Besides, base phrases count where their words stand consecutively; their labels always stay. The score
+is that of the strongest label: 1 for priority 1, 0.8 for 2 and base phrases, 0.5 for 3.
 
 Defined cases: a null text is empty; words are runs of letters, digits and characters above ASCII;
 texts without a detection have no labels (empty strings) and score 0; the text is read whole, however
-long; rows are judged one by one, so repeated rows and null or repeated ids do no harm; other columns
-are not touched.
+long; rows are judged one by one, so repeated rows and null or repeated ids do no harm; columns of the
+input that are named like a result are replaced, all others stay.
 """
 
 from __future__ import annotations
 
 import json
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .license_rules import RULES
 
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-BASE = rf"(?i)(?<!{WORD})(?:mit|apache|general{GAP}+public){GAP}+license(?!{WORD})"
-
-#: (label, keyword, how the license is named), keyword and text in lower case.
-NAMES = [
-    ("mit", "mit", r"mit"), ("mit", "expat", r"expat"), ("x11", "x11", r"x11"), ("apache", "apache", r"apache"), ("apache-1.1", "apache", r"apache[ ,-]*(?:version |v)?1\.1"),
-    ("apache-2.0", "apache", r"apache[ ,-]*(?:software )?(?:licen[cs]e,? )?(?:version |v\.? ?)?2(?:\.0)?"), ("gpl", "general public", r"(?:gnu )?general public"), ("gpl-2.0", "gpl", r"(?:gnu )?gpl[ -]*(?:version |v)?2(?:\.0)?"),
-    ("gpl-3.0", "gpl", r"(?:gnu )?gpl[ -]*(?:version |v)?3(?:\.0)?"), ("gpl", "gpl", r"(?:gnu )?gpl"), ("lgpl-2.1", "lgpl", r"(?:gnu )?lgpl[ -]*(?:version |v)?2\.1"), ("lgpl-3.0", "lgpl", r"(?:gnu )?lgpl[ -]*(?:version |v)?3(?:\.0)?"),
-    ("lgpl", "lesser", r"(?:gnu )?lesser general public"), ("agpl-3.0", "agpl", r"(?:gnu )?agpl[ -]*(?:version |v)?3(?:\.0)?"), ("agpl", "affero", r"(?:gnu )?affero general public"), ("bsd", "bsd", r"bsd"),
-    ("bsd-2-clause", "bsd", r"(?:simplified |2-clause |two-clause )bsd"), ("bsd-3-clause", "bsd", r"(?:new |modified |revised |3-clause |three-clause )bsd"), ("bsd-2-clause", "bsd-2", r"bsd-2-clause"), ("bsd-3-clause", "bsd-3", r"bsd-3-clause"),
-    ("mpl-1.1", "mozilla", r"mozilla public licen[cs]e,? (?:version |v)?1\.1"), ("mpl-2.0", "mozilla", r"mozilla public licen[cs]e,? (?:version |v)?2(?:\.0)?"), ("mpl", "mozilla", r"mozilla public"), ("mpl-2.0", "mpl", r"mpl[ -]*2(?:\.0)?"),
-    ("epl-1.0", "eclipse", r"eclipse public licen[cs]e,? (?:- )?(?:version |v)?1\.0"), ("epl-2.0", "eclipse", r"eclipse public licen[cs]e,? (?:- )?(?:version |v)?2\.0"), ("epl", "eclipse", r"eclipse public"), ("cddl", "cddl", r"cddl"),
-    ("isc", "isc", r"isc"), ("zlib", "zlib", r"zlib"), ("artistic-2.0", "artistic", r"artistic licen[cs]e,? (?:version )?2(?:\.0)?"), ("artistic", "artistic", r"artistic"), ("boost", "boost", r"boost software"), ("unlicense", "unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", r"wtfpl"), ("cc0", "cc0", r"cc0(?:[ -]1\.0)?"), ("cc-by", "attribution", r"creative commons attribution"), ("cc-by-sa", "share", r"creative commons attribution[ -]+share[ -]?alike"), ("cc-by-nc", "commercial", r"creative commons attribution[ -]+non-?commercial"),
-    ("cc-by-nd", "derivat", r"creative commons attribution[ -]+no-?derivat(?:ive)?s?"), ("cc-by", "cc", r"cc[ -]by(?:[ -][1-4]\.0)?"), ("cc-by-sa", "cc", r"cc[ -]by[ -]sa(?:[ -][1-4]\.0)?"), ("cc-by-nc", "cc", r"cc[ -]by[ -]nc(?:[ -][1-4]\.0)?"),
-    ("python", "python", r"python software foundation"), ("ruby", "ruby", r"ruby"), ("php", "php", r"php"), ("postgresql", "postgresql", r"postgresql"), ("openssl", "openssl", r"openssl"), ("ofl-1.1", "open font", r"(?:sil )?open font"), ("eupl", "eupl", r"eupl[ -]*(?:v)?(?:1\.[12])?"),
-    ("ms-pl", "microsoft", r"microsoft public"), ("ms-rl", "microsoft", r"microsoft reciprocal"), ("ncsa", "illinois", r"university of illinois(?:/ncsa)?(?: open source)?"), ("odbl", "database", r"open (?:data commons open )?database"), ("upl", "universal", r"universal permissive"),
-    ("vim", "vim", r"vim"), ("curl", "curl", r"curl"), ("bsl-1.1", "business", r"business source"), ("sspl", "server side", r"server side public"), ("elastic", "elastic", r"elastic"), ("afl", "academic", r"academic free"), ("osl", "open software", r"open software"),
-]
-#: (priority, phrasing around a name).
-PHRASINGS = [
-    (1, r"spdx-license-identifier:\s{{0,4}}(?:{name})(?![\w-])"),
-    (1, r"(?:licen[cs]ed|released|distributed|available|provided|published|covered|offered) (?:under|by|per) (?:the )?(?:terms of )?(?:the )?(?:{name})(?: public| software| international)?(?: licen[cs]e)?(?!\w)"),
-    (2, r"(?:under|to|of|see|using|with|in) the (?:{name})[ -]licen[cs]e(?!\w)"),
-    (2, r"(?<!\w)(?:{name})[ -](?:style[ -])?licen[cs]e(?!\w)"),
-    (2, r"licen[cs]e\s{{0,2}}[:=]\s{{0,4}}[\"']?(?:{name})(?!\w)"),
-    (3, r"(?<!\w)(?:{name})[ -](?:compatible|licen[cs]ed|or later)(?!\w)"),
-]
-#: Phrases of license texts and notices themselves: (label, keyword, priority, regex).
-PHRASES = [
-    ("mit", "free of charge", 1, r"permission is hereby granted,? free of charge,? to any person obtaining a copy"),
-    ("mit", "merchantability", 2, r"the software is provided [\"']as is[\"'],? without warranty of any kind,? express or implied,? including but not limited to the warranties of merchantability"),
-    ("bsd", "redistribution", 1, r"redistribution and use in source and binary forms,? with or without modification"),
-    ("bsd-3-clause", "endorse", 2, r"may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("apache-2.0", "apache.org", 1, r"https?://www\.apache\.org/licenses/license-2\.0"),
-    ("gpl", "free software", 1, r"this program is free software[;:,]? you can redistribute it and/or modify it under the terms of the gnu general public license"),
-    ("gpl", "gnu.org", 2, r"https?://(?:www\.)?gnu\.org/licenses/gpl"),
-    ("lgpl", "gnu.org", 2, r"https?://(?:www\.)?gnu\.org/licenses/lgpl"),
-    ("agpl", "gnu.org", 2, r"https?://(?:www\.)?gnu\.org/licenses/agpl"),
-    ("mpl-2.0", "mozilla.org", 1, r"https?://(?:www\.)?mozilla\.org/mpl/2\.0"),
-    ("isc", "granted", 1, r"permission to use,? copy,? modify,? and/?o?r? distribute this software for any purpose with or without fee is hereby granted"),
-    ("cc-by", "creativecommons", 1, r"https?://creativecommons\.org/licenses/by/\d\.\d"),
-    ("cc-by-sa", "creativecommons", 1, r"https?://creativecommons\.org/licenses/by-sa/\d\.\d"),
-    ("cc-by-nc", "creativecommons", 1, r"https?://creativecommons\.org/licenses/by-nc/\d\.\d"),
-    ("cc0", "creativecommons", 1, r"https?://creativecommons\.org/publicdomain/zero/1\.0"),
-    ("public-domain", "public domain", 2, r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
-    ("unlicense", "unencumbered", 1, r"this is free and unencumbered software released into the public domain"),
-    ("wtfpl", "want to", 1, r"do what the fuck you want to"),
-    ("zlib", "as-is", 1, r"this software is provided ['\"]as-is['\"],? without any express or implied warranty"),
-    ("boost", "boost.org", 1, r"https?://www\.boost\.org/license_1_0"),
-    ("proprietary", "all rights reserved", 3, r"(?:copyright|\(c\)|©)[^\n]{0,80}all rights reserved"),
-]
-#: What every match has in it: words of its phrasing, or the keyword of its phrase; base phrases have "license".
-GATE = "(?i)" + "|".join([r"licen[cs]e", r"(?:released|distributed|available|provided|published|covered|offered) (?:under|by|per) ", r"[ -](?:compatible|or later)", *(re.escape(keyword) for _, keyword, _, _ in PHRASES)])
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
 STRENGTH = {1: 1.0, 2: 0.8, 3: 0.5}
-RULES = [(label, keyword, priority, "(?i)" + shape.format(name=name)) for label, keyword, name in NAMES for priority, shape in PHRASINGS] + [(label, keyword, priority, "(?i)" + regex) for label, keyword, priority, regex in PHRASES]
 DETECTION = "array<struct<start:int,less_end:int,priority:int,label:string>>"
+#: Detections that are added up at a time, so that the work stays linear in them.
+STEP = 256
+OPEN, CLOSE = "\x01", "\x02"  # words never have them
 
 
-def _rules(rules) -> Column:
-    said = json.dumps([{"label": a, "keyword": b, "priority": c, "regex": d} for a, b, c, d in rules])
-    return F.from_json(F.lit(said), "array<struct<label:string,keyword:string,priority:int,regex:string>>")
+def spaced(phrase: str) -> str:
+    return "".join(f" {w} " for w in phrase.split())
 
 
-def _places(text: Column, rule: Column) -> Column:
-    """The intervals where a rule matches: between the pieces that it splits the text into."""
-    pieces = F.split(text, rule["regex"], -1)
-    found = F.regexp_extract_all(text, rule["regex"], F.lit(0))
-    none = F.array().cast(DETECTION)
-    zero = F.struct(F.lit(0).alias("at"), none.alias("out"))
-    both = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("p"), found.alias("m"))
+def places(stream: Column, rule: Column) -> Column:
+    """The intervals of a rule's matches, from one pass that marks them."""
+    marked = F.regexp_replace(stream, rule["regex"], F.lit(f"{OPEN}$1{CLOSE}"))
 
-    def step(s, x):
-        begin = s["at"] + F.length(x["p"])
-        end = begin + F.length(x["m"])
-        one = F.struct(begin.alias("start"), (-end).alias("less_end"), rule["priority"].alias("priority"), rule["label"].alias("label"))
-        return F.struct(end.alias("at"), F.concat(s["out"], F.array(one)).alias("out"))
+    def found(parts: Column) -> Column:
+        none = F.array().cast(DETECTION)
 
-    return F.aggregate(both, zero, step, lambda s: s["out"])
+        def one(s, part):
+            end = s["at"] + F.instr(part, CLOSE) - 1
+            hit = F.struct(s["at"].alias("start"), (-end).alias("less_end"), rule["priority"].alias("priority"), rule["label"].alias("label"))
+            return F.struct((s["at"] + F.length(part) - 1).alias("at"), F.concat(s["out"], F.array(hit)).alias("out"))
 
+        def some(s, i):
+            inner = F.aggregate(F.slice(parts, 2 + i * STEP, STEP), F.struct(s["at"].alias("at"), none.alias("out")), one)
+            return F.element_at(F.transform(F.array(inner), lambda x: F.struct(x["at"].alias("at"), F.concat(s["out"], F.array(x["out"])).alias("out"))), 1)
 
-def detections(text: Column, rules=RULES) -> Column:
-    """All detections, sorted by start, longest first, strongest first."""
+        steps = F.sequence(F.lit(0), F.floor((F.size(parts) - 2) / STEP).cast("int"))
+        zero = F.struct(F.length(F.get(parts, F.lit(0))).alias("at"), F.array().cast(f"array<{DETECTION}>").alias("out"))
+        return F.when(F.size(parts) > 1, F.flatten(F.aggregate(steps, zero, some, lambda s: s["out"]))).otherwise(none)
 
-    def found(low: Column) -> Column:
-        tried = F.filter(_rules(rules), lambda r: F.contains(low, r["keyword"]))
-        return F.array_sort(F.flatten(F.transform(tried, lambda r: _places(text, r))))
+    return F.element_at(F.transform(F.array(F.split(marked, OPEN)), found), 1)
 
-    # a lambda's outer expressions run for every element: bound as a variable, the text is lower-cased once
-    return F.element_at(F.transform(F.array(C.ascii_lower(text)), found), 1)
+
+def detections(stream: Column, present: Column, rules=RULES) -> Column:
+    """All detections, sorted by start, longest first, strongest first. present: the keywords that the text has."""
+    said = json.dumps([{"label": a, "keyword": b, "priority": c, "regex": f"({d})"} for a, b, c, d in rules])
+    known = F.from_json(F.lit(said), "array<struct<label:string,keyword:string,priority:int,regex:string>>")
+    tried = F.filter(known, lambda r: F.array_contains(present, r["keyword"]))
+    return F.array_sort(F.flatten(F.transform(tried, lambda r: places(stream, r))))
 
 
 def unsuppressed(found: Column) -> Column:
@@ -135,30 +89,70 @@ def unsuppressed(found: Column) -> Column:
 def scan_licenses(docs: DataFrame, text: str = "text", rules=RULES) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels and score."""
     t = F.coalesce(F.col(text), F.lit(""))
-    words = lambda c: F.regexp_count(c, F.lit(WORD + "+")).cast("long")
-    gated = t.rlike(GATE)
-    base = docs.withColumns({"n_words": words(t), "__gate": gated})
-    base = base.withColumns({"__base": F.when(F.col("__gate"), F.regexp_extract_all(t, F.lit(BASE), F.lit(0))).otherwise(F.array().cast("array<string>")), "__found": F.when(F.col("__gate"), unsuppressed(detections(t, rules)))})
+    # the quick lower() is right for ASCII only
+    low = F.when(F.length(t) == F.octet_length(t), F.lower(t)).otherwise(C.ascii_lower(t))
+    found = docs.withColumn("__words", F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
+    keywords = sorted({k for _, k, _, _ in rules} | {"license"})
+    found = found.withColumns({"n_words": F.size("__words").cast("long"), "__present": F.array_intersect("__words", F.array(*map(F.lit, keywords)))})
+    # texts without any keyword, most of them, are not joined again
+    found = found.withColumn("__stream", F.when(F.size("__present") > 0, F.concat(F.lit(" "), F.array_join("__words", "  "), F.lit(" ")))).drop("__words")
+    licensed = F.array_contains("__present", "license")
+    base = "|".join(spaced(p) for _, p in BASE)
+    found = found.withColumns(
+        {
+            "__kept": F.when(F.size("__present") > 0, unsuppressed(detections(F.col("__stream"), F.col("__present"), rules))).otherwise(F.array().cast("array<struct<label:string,priority:int>>")),
+            "__base": F.when(licensed, F.regexp_extract_all("__stream", F.lit(f"({base})"), F.lit(1))).otherwise(F.array().cast("array<string>")),
+        }
+    )
     any_ = F.size("__base") > 0
-    label = lambda m: F.when(F.lower(F.substring(m, 1, 1)) == "m", "mit").when(F.lower(F.substring(m, 1, 1)) == "a", "apache").otherwise("gpl")
-    pieces = F.split(t, BASE, -1)
+    words = lambda c: F.regexp_count(c, F.lit("[^ ]+")).cast("long")
+    label = lambda m: reduce(lambda c, b: c.when(m == spaced(b[1]), b[0]), BASE[1:], F.when(m == spaced(BASE[0][1]), BASE[0][0]))
     own = F.sort_array(F.array_distinct(F.transform("__base", label)))
-    named = F.coalesce(F.transform("__found", lambda d: d["label"]), F.array().cast("array<string>"))
-    strong = F.coalesce(F.array_min(F.transform("__found", lambda d: d["priority"])), F.when(any_, F.lit(2)))
-    score = F.when(any_, F.greatest(F.lit(STRENGTH[2]), F.when(strong == 1, STRENGTH[1]).otherwise(0.0))).when(strong == 1, STRENGTH[1]).when(strong == 2, STRENGTH[2]).when(strong == 3, STRENGTH[3]).otherwise(0.0)
-    out = base.withColumns(
+    strong = F.array_min(F.concat(F.transform("__kept", lambda d: d["priority"]), F.when(any_, F.array(F.lit(2))).otherwise(F.array().cast("array<int>"))))
+    last = F.try_element_at("__base", F.lit(-1))
+    out = found.withColumns(
         {
             "n_base": F.size("__base").cast("long"),
-            "first_word": F.when(any_, words(F.element_at(pieces, 1))),
-            "last_word": F.when(any_, F.col("n_words") - words(F.element_at(pieces, -1)) - words(F.try_element_at("__base", F.lit(-1)))),
+            "first_word": F.when(any_, words(F.get(F.split("__stream", base, 2), F.lit(0)))),
+            "last_word": F.when(any_, F.col("n_words") - words(F.element_at(F.split("__stream", base, -1), -1)) - words(last)),
             "base_labels": F.array_join(own, ","),
-            "labels": F.array_join(F.sort_array(F.array_union(own, named)), ","),
-            "score": score,
+            "labels": F.array_join(F.sort_array(F.array_union(own, F.transform("__kept", lambda d: d["label"]))), ","),
+            "score": reduce(lambda c, p: c.when(strong == p, STRENGTH[p]), (2, 3), F.when(strong == 1, STRENGTH[1])).otherwise(0.0),
         }
     )
-    return out.drop("__gate", "__base", "__found")
+    return out.drop("__present", "__stream", "__kept", "__base")
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     return scan_licenses(docs).drop("text")
+
+
+_RULES = ", ".join(f"('{label}', '{keyword}', {priority}, '({regex})')" for label, keyword, priority, regex in RULES)
+ORACLE = rf"""
+WITH rules(label, keyword, priority, rx) AS (VALUES {_RULES}),
+w AS (
+  SELECT doc_id, row_number() OVER () AS rn, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS ws FROM documents
+), t AS (SELECT *, ' ' || array_to_string(ws, '  ') || ' ' AS stream FROM w),
+m AS (
+  SELECT rn, label, priority, string_split(regexp_replace(stream, rx, chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts
+  FROM (SELECT rn, stream, unnest(list_distinct(ws)) AS keyword FROM t) JOIN rules USING (keyword)
+), p AS (SELECT rn, label, priority, i, parts[i] AS part FROM (SELECT *, unnest(generate_series(1, len(parts))) AS i FROM m WHERE len(parts) > 1)),
+d AS (
+  SELECT rn, label, priority, s AS start, s + instr(part, chr(2)) - 1 AS stop
+  FROM (SELECT *, coalesce(sum(length(part) - CASE WHEN i > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY rn, label, priority, n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s
+        FROM (SELECT *, sum(CASE WHEN i = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY rn, label, priority ORDER BY k) AS n FROM (SELECT *, row_number() OVER () AS k FROM p))) WHERE i > 1
+), u AS (
+  SELECT DISTINCT rn, label, priority FROM d
+  WHERE NOT EXISTS (SELECT 1 FROM d g WHERE g.rn = d.rn AND g.start <= d.start AND g.stop >= d.stop AND g.priority <= d.priority
+                    AND (g.start < d.start OR g.stop > d.stop OR g.priority < d.priority OR g.label < d.label))
+), b AS (
+  SELECT rn, i, label, size
+  FROM (SELECT rn, ws, unnest(generate_series(1, len(ws))) AS i FROM t), (VALUES ('mit', ['mit', 'license'], 2), ('apache', ['apache', 'license'], 2), ('gpl', ['general', 'public', 'license'], 3)) x(label, phrase, size)
+  WHERE ws[i] = phrase[1] AND list_slice(ws, i, i + size - 1) = phrase
+), bs AS (SELECT rn, count(*) AS n, min(i) - 1 AS f, max(i) - 1 AS l, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM b GROUP BY rn),
+ls AS (SELECT rn, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, min(priority) AS best FROM (SELECT rn, label, priority FROM u UNION ALL SELECT rn, label, 2 FROM b) GROUP BY rn)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base, CAST(f AS BIGINT) AS first_word, CAST(l AS BIGINT) AS last_word, coalesce(bs.labels, '') AS base_labels,
+       coalesce(ls.labels, '') AS labels, CAST(CASE best WHEN 1 THEN 1.0 WHEN 2 THEN 0.8 WHEN 3 THEN 0.5 ELSE 0 END AS DOUBLE) AS score
+FROM t LEFT JOIN bs USING (rn) LEFT JOIN ls USING (rn)
+"""
