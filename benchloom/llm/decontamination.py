@@ -6,14 +6,16 @@ fingerprints, about two for seven words. Equal windows have equal fingerprints,
 of WINDOW words is found: fingerprints of both sides are joined, the windows behind a hit are compared
 word by word, and touching windows extend each other to the whole shared span. Benchmark items that
 are shorter than a window are one window of all their words; their lengths, if there are any, are
-looked up exactly.
+looked up at every word in the same pass.
 
-The benchmark is broadcast only if it is counted and small; beyond that hits are found by shuffles of
-fingerprints, and only documents with a hit are compared.
+A first pass joins the distinct fingerprints, without words, with the benchmark's; the documents that have
+some are cut into words again, each once, and give only the windows behind their hits. The benchmark's
+windows and the suspects are broadcast only if their bytes are counted and few; else they are shuffled.
 
 Defined cases: null texts and texts without words have no hits; empty items take no part; equal items
 are all listed; items with a null id count as null items and are left out of the list; repeated rows
-and ids are judged row by row; with an empty benchmark all documents are clean.
+and ids are judged row by row; with an empty benchmark all documents are clean; columns of the input that
+are named like a result are replaced.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from . import common as C
 
 WINDOW = 10
 GRAM = 5
-#: Benchmark windows that may be broadcast: some 100 bytes each.
-BROADCAST_WINDOWS = 500_000
+#: Bytes of benchmark windows, words and items' ids, that may be broadcast.
+BROADCAST_BYTES = 64 << 20
+#: Numbers in the lists of suspects that may be broadcast.
+SUSPECT_NUMBERS = 1 << 20
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
@@ -50,37 +54,32 @@ def _windows(df: DataFrame, words: str, window: int, gram: int) -> DataFrame:
 def hits(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
     """(h1, h2, start, size, items): places in texts (by hash) where an item's window occurs.
 
-    docs: h1, h2, words. items: item, words.
+    docs: h1, h2, text. items: item, words.
     """
     n = F.size("words")
-    full = items.where(n >= window)
-    placed = _windows(full, "words", window, gram).select("item", "words", F.posexplode("mins").alias("p", "fp"))
-    parts = placed.select("fp", F.slice("words", F.col("p") + 1, window).alias("window"), "item").groupBy("fp", "window").agg(F.collect_set("item").alias("items"))
-    parts = C.written(parts, "benchmark-windows")
-    small = parts.count() <= BROADCAST_WINDOWS
+    placed = _windows(items.where(n >= window), "words", window, gram).select("item", "words", F.posexplode("mins").alias("p", "fp"))
+    long_ = placed.select("fp", F.slice("words", F.col("p") + 1, window).alias("window"), "item")
+    short = items.where(n < window).select(F.xxhash64("words").alias("fp"), F.col("words").alias("window"), "item")
+    parts = C.written(long_.unionByName(short).groupBy("fp", "window").agg(F.collect_set("item").alias("items")), "benchmark-windows")
+    bytes_ = F.octet_length(F.array_join("window", " ")) + F.octet_length(F.array_join("items", " ")) + 16 * F.size("window")
+    hint = F.broadcast if (parts.agg(F.sum(bytes_)).first()[0] or 0) <= BROADCAST_BYTES else (lambda x: x)
+    sizes = [r[0] for r in items.where(n < window).select(n).distinct().collect()]  # fewer than `window` numbers
     fps = parts.select("fp").distinct()
-    marked = _windows(docs, "words", window, gram)
-    if not small:
-        light = marked.select("h1", "h2", F.explode(F.array_distinct("mins")).alias("fp"))
-        suspects = light.join(fps, "fp", "left_semi").select("h1", "h2").distinct()
-        marked = marked.join(suspects, ["h1", "h2"], "left_semi")
-    hint = F.broadcast if small else (lambda x: x)
-    near = marked.select("h1", "h2", "words", "mins", F.explode(F.array_distinct("mins")).alias("fp")).join(hint(fps), "fp", "left_semi")
-    places = F.filter(F.transform("mins", lambda m, i: F.when(m == F.col("fp"), i)), lambda i: i.isNotNull())
-    near = near.select("h1", "h2", "fp", "words", F.explode(places).alias("p"))
-    near = near.select("h1", "h2", "fp", F.slice("words", F.col("p") + 1, window).alias("window"), F.col("p").alias("start"))
-    return near.join(hint(parts), ["fp", "window"]).select("h1", "h2", "start", F.lit(window).alias("size"), "items")
-
-
-def short_hits(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """hits() for items of exactly `size` words, looked up at every word."""
-    parts = items.where(F.size("words") == size).groupBy(F.col("words").alias("window")).agg(F.collect_set("item").alias("items")).withColumn("fp", F.xxhash64("window"))
-    parts = C.written(parts, "benchmark-items")
-    hint = F.broadcast if parts.count() <= BROADCAST_WINDOWS else (lambda x: x)
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - (size - 1)), lambda i: F.xxhash64(F.slice("words", i, size)))
-    at = docs.where(F.size("words") >= size).withColumn("grams", grams).select("h1", "h2", "words", F.posexplode("grams").alias("start", "fp"))
-    near = at.join(hint(parts.select("fp").distinct()), "fp", "left_semi").withColumn("window", F.slice("words", F.col("start") + 1, size))
-    return near.join(hint(parts), ["fp", "window"]).select("h1", "h2", "start", F.lit(size).alias("size"), "items")
+    n = F.size("words")
+    place = lambda fp, i, size: F.struct(fp.alias("fp"), i.alias("start"), F.lit(size).alias("size"))
+    none = F.array().cast("array<struct<fp:bigint,start:int,size:int>>")
+    of_size = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: place(F.xxhash64(F.slice("words", i + 1, k)), i, k))).otherwise(none)
+    places = F.concat(F.transform("mins", lambda m, i: place(m, i, window)), *map(of_size, sizes))
+    keys_of = F.concat("mins", *[F.transform(of_size(k), lambda x: x["fp"]) for k in sizes])
+    read = lambda rows: _windows(rows.withColumn("words", words_of(F.col("text"))).drop("text"), "words", window, gram)
+    light = read(docs).select("h1", "h2", F.explode(F.array_distinct(keys_of)).alias("fp")).join(hint(fps), "fp", "left_semi")
+    suspects = C.written(light.groupBy("h1", "h2").agg(F.collect_set("fp").alias("wanted")), "suspects")
+    few = (suspects.agg(F.sum(F.size("wanted") + 2)).first()[0] or 0) <= SUSPECT_NUMBERS
+    # only suspects' words are cut again
+    marked = read(docs.join(F.broadcast(suspects) if few else suspects, ["h1", "h2"])).withColumn("places", F.filter(places, lambda x: F.array_contains("wanted", x["fp"])))
+    cut = F.transform("places", lambda x: F.struct(x["fp"].alias("fp"), x["start"].alias("start"), x["size"].alias("size"), F.slice("words", x["start"] + 1, x["size"]).alias("window")))
+    near = marked.select("h1", "h2", F.explode(cut).alias("x")).select("h1", "h2", "x.*")
+    return near.join(hint(parts), ["fp", "window"]).select("h1", "h2", "start", "size", "items")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -88,10 +87,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     items = benchmark.select(F.col(item).cast("string").alias("item"), words_of(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     items = C.written(items, "benchmark-words")  # else each window would split its item's text anew
     keys = {"h1": F.xxhash64(F.col(text)), "h2": F.xxhash64(F.lit(7), F.col(text))}
-    texts = docs.select(*[v.alias(k) for k, v in keys.items()], words_of(F.col(text)).alias("words"))
+    texts = docs.select(*[v.alias(k) for k, v in keys.items()], F.col(text).alias("text"))
     found = hits(texts, items, window, gram)
-    for (size,) in items.where(F.size("words") < window).select(F.size("words")).distinct().orderBy(F.size("words")).collect():  # under `window` values
-        found = found.unionByName(short_hits(texts, items, size))
     span = F.struct(F.col("start"), F.col("start") + F.col("size"))
     # copies of a text give equal rows: they are merged before and after the exchange
     per_text = found.groupBy("h1", "h2").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.collect_set("items").alias("items"))

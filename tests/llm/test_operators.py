@@ -454,8 +454,9 @@ def test_decontamination(spark, docs, empty, monkeypatch):
                     hit |= set(range(a, a + size))
                     found |= k
         want.append((d, len(w), len(hit), sorted(found), bool(hit)))
-    for most in (500_000, 0):
-        monkeypatch.setattr(decontamination, "BROADCAST_WINDOWS", most)
+    for most in (1 << 20, -1):
+        monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(decontamination, "SUSPECT_NUMBERS", most)
         got = decontamination.decontaminate(docs, bench).collect()
         same([(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got], want)
     assert decontamination.decontaminate(empty, bench).count() == 0
