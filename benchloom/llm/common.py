@@ -97,22 +97,23 @@ def texts_of(arrow_table) -> tuple[np.ndarray, np.ndarray, list, object]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0], t["doc_id"].to_pylist(), t
 
 
-def by_shard(shard: np.ndarray, n_shards: int) -> tuple[np.ndarray, np.ndarray]:
-    """A stable order that puts the keys of a shard together, and where each shard begins in it."""
+def by_shard(shard: np.ndarray) -> tuple[np.ndarray, list, list]:
+    """A stable order that puts the keys of a shard together, the shards that have any, and where they begin in it."""
     order = np.argsort(shard, kind="stable")
-    return order, np.searchsorted(shard[order], np.arange(n_shards + 1))
+    held = shard[order]
+    at = np.flatnonzero(np.append(True, held[1:] != held[:-1])) if len(held) else np.empty(0, np.int64)
+    return order, held[at].tolist(), [*at.tolist(), len(held)]
 
 
-def asks_table(bundle: int, shard: np.ndarray, n_shards: int, *columns: np.ndarray):
+def asks_table(bundle: int, shard: np.ndarray, *columns: np.ndarray):
     """Rows (shard, bundle, one binary for each column) from keys of a bundle."""
     import pyarrow as pa
 
-    order, at = by_shard(shard, n_shards)
-    full = [s for s in range(n_shards) if at[s] < at[s + 1]]
+    order, full, at = by_shard(shard)
     cols = [c[order] for c in columns]
     return pa.table(
         {"shard": pa.array(full, pa.int32()), "bundle": pa.array([bundle] * len(full), pa.int32())}
-        | {f"k{i}": pa.array([c[at[s] : at[s + 1]].tobytes() for s in full], pa.binary()) for i, c in enumerate(cols)}
+        | {f"k{i}": pa.array([c[s:e].tobytes() for s, e in zip(at, at[1:])], pa.binary()) for i, c in enumerate(cols)}
     )
 
 
@@ -180,13 +181,12 @@ def answers_table(shard: int, bundles: list, sizes: np.ndarray, answer: np.ndarr
     return pa.table({"bundle": pa.array(bundles, pa.int32()), "shard": pa.array([shard] * len(bundles), pa.int32()), "answer": pa.array(packed, pa.binary())})
 
 
-def answered(arrow_table, shard: np.ndarray, n_shards: int, dtype=bool) -> np.ndarray:
+def answered(arrow_table, shard: np.ndarray, dtype=bool) -> np.ndarray:
     """Answers of all shards, back in the order of the bundle's keys."""
-    order, at = by_shard(shard, n_shards)
+    order, full, at = by_shard(shard)
     said = dict(zip(arrow_table["shard"].to_pylist(), arrow_table["answer"].to_pylist()))
     out = np.zeros(len(shard), dtype)
-    for s in range(n_shards):
-        if at[s] < at[s + 1]:
-            n, raw = at[s + 1] - at[s], said[s]
-            out[order[at[s] : at[s + 1]]] = np.unpackbits(np.frombuffer(raw, np.uint8), count=n).astype(bool) if dtype is bool else np.frombuffer(raw, dtype)
+    for s, lo, hi in zip(full, at, at[1:]):
+        raw = np.frombuffer(said[s], np.uint8)
+        out[order[lo:hi]] = np.unpackbits(raw, count=hi - lo).astype(bool) if dtype is bool else raw.view(dtype)
     return out

@@ -3,7 +3,7 @@
 Unit vectors are turned into the basis of their principal components, largest first. Two vectors
 whose cosine reaches the threshold differ by at most sqrt(2 - 2 * threshold) in any coordinate, so
 only vectors in neighbouring cells of the first coordinates meet. A cell is dealt into tiles of
-bounded size; a task compares two tiles: it sums the leading dimensions, bounds the rest by the
+bounded size; a task compares two tiles, block by block: it sums the leading dimensions, bounds the rest by the
 product of the suffix norms, and drops a pair as soon as it cannot reach the threshold. Pairs that
 remain are decided by the cosine of the vectors as given, in double precision.
 
@@ -26,7 +26,8 @@ from .components import components
 from .simhash import Forest
 
 THRESHOLD = 0.98
-TILE = 1024
+#: Vectors of a tile, which is what travels, and of a block, which is what is multiplied at a time.
+TILE, BLOCK = 4096, 1024
 #: Leading coordinates that make the cells, and dimensions that are summed at a time.
 CELL_DIMS = 2
 STEP = 16
@@ -148,7 +149,12 @@ def embedding_links(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
         nodes = [np.frombuffer(x["nodes"], np.int64) for x in (one, two)]
         body = [np.frombuffer(x["body"], dtype).reshape(-1, d) for x in (one, two)]
         same = len(tiles) == 1
-        i, j = links_between(*body, axes[d], threshold, same)
+        found = [(np.empty(0, np.int64),) * 2]
+        for p in range(0, len(body[0]), BLOCK):
+            for q in range(p if same else 0, len(body[1]), BLOCK):
+                i, j = links_between(body[0][p : p + BLOCK], body[1][q : q + BLOCK], axes[d], threshold, same and p == q)
+                found.append((i + p, j + q))
+        i, j = (np.concatenate(x) for x in zip(*found))
         n, m = len(nodes[0]), len(nodes[1])
         left, right = np.bincount(i, minlength=n), np.bincount(j, minlength=m)
         count = [(nodes[0], left + right)] if same else [(nodes[0], left), (nodes[1], right)]

@@ -26,9 +26,12 @@ from .components import components
 SHINGLE = 3
 SEED = 42
 RADIUS = 2
-#: Distinct fingerprints that a shard holds on average, and the sample that the radii come from.
+#: Distinct fingerprints that a shard holds on average, and the sample that the radii come from: in all at
+#: least, for each shard, and in all at most (8 bytes each on the driver).
 SHARD_POINTS = 20_000
-SAMPLE_POINTS = 20_000
+SAMPLE_POINTS, SHARD_SAMPLE, MOST_SAMPLE = 20_000, 128, 1 << 22
+#: Points tried as a vantage point above the shards, and points that judge them.
+TRIED, JUDGES = 16, 256
 LEAF = 48
 #: Comparisons of a query block with a leaf that are made at a time.
 BLOCK = 1 << 22
@@ -197,13 +200,20 @@ class Forest:
             self.edges += zip(a[first].tolist(), b[first].tolist())
 
 
+def widest(pts: np.ndarray) -> np.uint64:
+    """Of some of the points the one whose distances spread most: its ball cuts the fewest others."""
+    tried = pts[np.linspace(0, len(pts) - 1, min(TRIED, len(pts))).astype(int)]
+    judges = pts[np.linspace(0, len(pts) - 1, min(JUDGES, len(pts))).astype(int)]
+    return tried[hamming(tried[:, None], judges[None, :]).astype(float).var(axis=1).argmax()]
+
+
 def shard_tree(sample: np.ndarray, depth: int) -> list:
     """Vantage points and radii of the levels above the shards: (point, radius) in heap order."""
     nodes: list = [None] * (2**depth)
     members = {1: sample}
     for at in range(1, 2**depth):
         pts = members.pop(at, np.empty(0, np.uint64))
-        vantage = pts[len(pts) // 2] if len(pts) else np.uint64(0)
+        vantage = widest(pts) if len(pts) else np.uint64(0)
         d = hamming(pts, vantage)
         radius = int(np.median(d)) if len(d) else 32
         if len(d) and (d <= radius).all():
@@ -267,7 +277,8 @@ def near_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
     """points: distinct `fp`. Edges (a, b) that span every group of points linked within radius."""
     n = points.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n / SHARD_POINTS)))))
-    drawn = points.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 20)) < int(min(1.0, SAMPLE_POINTS / max(n, 1)) * (1 << 20))).limit(2 * SAMPLE_POINTS).toPandas()["fp"]
+    wanted = min(MOST_SAMPLE, max(SAMPLE_POINTS, SHARD_SAMPLE * 2**depth))
+    drawn = points.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, wanted / max(n, 1)) * (1 << 30))).limit(2 * wanted).toPandas()["fp"]
     nodes = shard_tree(np.sort(drawn.to_numpy(np.int64)).view(np.uint64), depth)
 
     def deal(it):

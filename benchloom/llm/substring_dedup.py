@@ -130,7 +130,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         data, offsets, _, _ = C.texts_of(t)
         *_, anchors = anchored(data, offsets, window, gram)
         shard, key, _ = sketch_keys(anchors, n_shards, block)
-        return C.asks_table(t["bundle"][0].as_py(), shard, n_shards * DEPTH, key)
+        return C.asks_table(t["bundle"][0].as_py(), shard, key)
 
     def merge(t):
         bundles, sizes, (key,) = C.gathered(t, np.uint32)
@@ -142,7 +142,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         data, offsets, ids, rows = C.texts_of(t)
         start, end, word, doc, valid, of, anchors = anchored(data, offsets, window, gram)
         shard, key, places = sketch_keys(anchors, n_shards, block)
-        often = C.answered(said, shard, n_shards * DEPTH)
+        often = C.answered(said, shard)
         likely = np.ones(len(anchors), bool)
         for place in places:
             likely &= often[place]
@@ -150,10 +150,10 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
     def ask(t, said):
         if not t.num_rows:
-            return C.asks_table(0, np.empty(0, np.int64), n_shards, *(np.empty(0, d) for d in (np.uint64, np.uint32, np.uint8)))
+            return C.asks_table(0, np.empty(0, np.int64), *(np.empty(0, d) for d in (np.uint64, np.uint32, np.uint8)))
         *_, word, starts = survivors(t, said)
         h, low, twice, _ = window_keys(word, starts, window)
-        return C.asks_table(t["bundle"][0].as_py(), (h % np.uint64(n_shards)).astype(np.int64), n_shards, h, low, twice)
+        return C.asks_table(t["bundle"][0].as_py(), (h % np.uint64(n_shards)).astype(np.int64), h, low, twice)
 
     def group(t):
         bundles, sizes, cols = C.gathered(t, np.uint64, np.uint32, np.uint8)
@@ -169,7 +169,7 @@ def dedup_substrings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
         exact = said.filter(pa.compute.equal(said["step"], 1))
         data, offsets, ids, start, end, doc, word, starts = survivors(t, estimates)
         h, _, _, place = window_keys(word, starts, window)
-        twice = C.answered(exact, (h % np.uint64(n_shards)).astype(np.int64), n_shards)[place]
+        twice = C.answered(exact, (h % np.uint64(n_shards)).astype(np.int64))[place]
         step = np.zeros(len(start) + 1, np.int32)
         step[starts[twice]] += 1
         np.add.at(step, starts[twice] + window, -1)

@@ -200,7 +200,7 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def ask_anchors(t):
         data, offsets, _, _ = C.texts_of(t)
         shard, key, _ = anchors_of(contexts(data, offsets, length, gram)[2])
-        return C.asks_table(t["bundle"][0].as_py(), shard, n_shards, key.astype(np.uint32))
+        return C.asks_table(t["bundle"][0].as_py(), shard, key.astype(np.uint32))
 
     def count_anchors(t):
         bundles, sizes, (key,) = C.gathered(t, np.uint32)
@@ -213,7 +213,7 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         data, offsets, ids, rows = C.texts_of(t)
         first, last, g, c = contexts(data, offsets, length, gram)
         shard, _, place = anchors_of(g)
-        keep = C.answered(said, shard, n_shards)[place]
+        keep = C.answered(said, shard)[place]
         first, last, g, c = first[keep], last[keep], g[keep], c[keep]
         _, example, place = np.unique(c, return_index=True, return_inverse=True)
         id_of = np.array([LAST if i is None else i for i in ids], np.int64)
@@ -222,9 +222,9 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def ask_contexts(t, said):
         if not t.num_rows:
-            return C.asks_table(0, np.empty(0, np.int64), n_shards, *(np.empty(0, np.uint64),) * 3)
+            return C.asks_table(0, np.empty(0, np.int64), *(np.empty(0, np.uint64),) * 3)
         *_, g, c, example, _, run_id = repeated_runs(t, said)
-        return C.asks_table(t["bundle"][0].as_py(), shard_of(g), n_shards, g, c, run_id[example])
+        return C.asks_table(t["bundle"][0].as_py(), shard_of(g), g, c, run_id[example])
 
     def compare_ids(t):
         bundles, sizes, (g, c, ids) = C.gathered(t, np.uint64, np.uint64, np.int64)
@@ -248,16 +248,16 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def ask_bytes(t, said):
         none = [np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, f"V{width}")]
         if not t.num_rows:
-            return C.asks_table(0, np.empty(0, np.int64), n_shards, *none)
+            return C.asks_table(0, np.empty(0, np.int64), *none)
         said = parts(said)
         data, _, _, first, last, g, _, example, _, run_id = repeated_runs(t, said[0])
-        open_ = C.answered(said[1], shard_of(g), n_shards, np.uint8) & 2 > 0
+        open_ = C.answered(said[1], shard_of(g), np.uint8) & 2 > 0
         g, run = g[open_], example[open_]
         size = last[run] - first[run] + length
         body = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)[first[run]]
         body[np.arange(width)[None, :] >= size[:, None]] = 0
         flat = np.ascontiguousarray(body).view(f"V{width}").ravel()
-        return C.asks_table(t["bundle"][0].as_py(), shard_of(g), n_shards, g, size.astype(np.uint8), run_id[run], flat)
+        return C.asks_table(t["bundle"][0].as_py(), shard_of(g), g, size.astype(np.uint8), run_id[run], flat)
 
     def compare_bytes(t):
         bundles, sizes, (g, size, ids, flat) = C.gathered(t, np.uint64, np.uint8, np.int64, f"V{width}")
@@ -275,9 +275,9 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         said = parts(said)
         data, offsets, (ids, rows), first, last, g, _, example, place, run_id = repeated_runs(t, said[0])
         shard = shard_of(g)
-        answer = C.answered(said[1], shard, n_shards, np.uint8)
+        answer = C.answered(said[1], shard, np.uint8)
         bits, open_ = np.zeros(len(g), np.uint64), answer & 2 > 0
-        bits[open_] = C.answered(said[2], shard[open_], n_shards, np.uint64)
+        bits[open_] = C.answered(said[2], shard[open_], np.uint64)
         whole = (answer[place] & 1 > 0) | (run_id > run_id[example][place])
         step = np.zeros(len(data) + 1, np.int32)
         np.add.at(step, first[whole], 1)

@@ -3,7 +3,8 @@
 Suffixes are grouped by their longest Lyndon prefix. Groups are processed in descending order: the
 members of a group point at their previous smaller suffixes, and the suffixes pointed at move to new
 groups directly above the ones they leave, the more pointers the higher. When the lowest group is
-done, groups are sorted and final. A single pass from the smallest suffix then emits the order
+done, groups are sorted and final. The members of a group are settled in any order, along their own
+pointers, so nothing is sorted but the few different counts of pointers. A single pass from the smallest suffix then emits the order
 inside each group along the same pointers; no names are assigned and no recursion is needed.
 """
 
@@ -37,7 +38,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(new)
     for s, e in zip(starts.tolist(), [*starts[1:].tolist(), n]):
         end[s] = e
-    before = [-1] * n
+    before = [-2] * n  # -2: not known yet
     top = n
     while top > 1:
         g = group[held[top - 1]]
@@ -62,13 +63,21 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
                     end[e] = e + 1
         else:
             pointers: dict[int, int] = {}
-            for i in sorted(held[g:top]):
-                j = i - 1
-                while j >= 0 and group[j] >= g:
-                    j = before[j]
-                before[i] = j
-                if j >= 0:
-                    pointers[j] = pointers.get(j, 0) + 1
+            for i in held[g:top]:
+                if before[i] == -2:
+                    # on the way down a member of this group may have to be settled first
+                    waiting, j = [i], i - 1
+                    while waiting:
+                        while j >= 0 and group[j] >= g and before[j] != -2:
+                            j = before[j]
+                        if j >= 0 and group[j] >= g:
+                            waiting.append(j)
+                            j -= 1
+                        else:
+                            i = waiting.pop()
+                            before[i] = j
+                            if j >= 0:
+                                pointers[j] = pointers.get(j, 0) + 1
             if len(pointers) == 1:
                 (j,) = pointers
                 h = group[j]

@@ -356,7 +356,7 @@ def test_license_keywords_are_necessary():
             assert re.search(rx, t) and key in t.split(), (rx, t)
 
 
-def test_embedding_dedup(spark):
+def test_embedding_dedup(spark, monkeypatch):
     rng = np.random.default_rng(4)
     base = rng.standard_normal((40, 24))
     x = np.concatenate([base, base[:20] + 0.02 * rng.standard_normal((20, 24)), np.tile(base[0], (30, 1)) + 0.02 * rng.standard_normal((30, 24))])
@@ -376,7 +376,8 @@ def test_embedding_dedup(spark):
         if r[0] is not None:
             least[g] = min(r[0], least.get(g, r[0]))
     want = [(r[0], len(k), least.get(g), r[0] == least.get(g)) for r, k, g in zip(rows, links, group)]
-    for tile in (1024, 7):
+    for tile, block in ((4096, 1024), (7, 1024), (50, 9)):
+        monkeypatch.setattr(embedding_dedup, "BLOCK", block)
         same([tuple(r) for r in embedding_dedup.dedup_embeddings(df, tile=tile).collect()], want)
     assert embedding_dedup.dedup_embeddings(df.limit(0)).count() == 0
 
