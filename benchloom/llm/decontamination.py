@@ -51,11 +51,17 @@ def _windows(df: DataFrame, words: str, window: int, gram: int) -> DataFrame:
     return hashes.withColumn("mins", F.when(F.size(g) >= k, least).otherwise(F.array().cast("array<bigint>"))).drop("__grams")
 
 
-def hits(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame:
-    """(h1, h2, start, size, items): places in texts (by hash) where an item's window occurs.
+KEYS = ["h1", "h2"]
 
-    docs: h1, h2, text. items: item, words.
-    """
+
+def text_keys(text: str) -> list[Column]:
+    return [F.xxhash64(F.col(text)).alias("h1"), F.xxhash64(F.lit(7), F.col(text)).alias("h2")]
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(h1, h2, n_words, n_hit, items) for each different text of docs."""
+    items = benchmark.select(F.col(item).cast("string").alias("item"), words_of(F.col(item_text)).alias("words")).where(F.size("words") > 0)
+    items = C.written(items, "benchmark-words")  # else each window would split its item's text anew
     n = F.size("words")
     placed = _windows(items.where(n >= window), "words", window, gram).select("item", "words", F.posexplode("mins").alias("p", "fp"))
     long_ = placed.select("fp", F.slice("words", F.col("p") + 1, window).alias("window"), "item")
@@ -64,41 +70,48 @@ def hits(docs: DataFrame, items: DataFrame, window: int, gram: int) -> DataFrame
     bytes_ = F.octet_length(F.array_join("window", " ")) + F.octet_length(F.array_join("items", " ")) + 16 * F.size("window")
     hint = F.broadcast if (parts.agg(F.sum(bytes_)).first()[0] or 0) <= BROADCAST_BYTES else (lambda x: x)
     sizes = [r[0] for r in items.where(n < window).select(n).distinct().collect()]  # fewer than `window` numbers
-    fps = parts.select("fp").distinct()
-    n = F.size("words")
     place = lambda fp, i, size: F.struct(fp.alias("fp"), i.alias("start"), F.lit(size).alias("size"))
     none = F.array().cast("array<struct<fp:bigint,start:int,size:int>>")
     of_size = lambda k: F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: place(F.xxhash64(F.slice("words", i + 1, k)), i, k))).otherwise(none)
     places = F.concat(F.transform("mins", lambda m, i: place(m, i, window)), *map(of_size, sizes))
-    keys_of = F.concat("mins", *[F.transform(of_size(k), lambda x: x["fp"]) for k in sizes])
+    fps = F.array_distinct(F.concat("mins", *[F.transform(of_size(k), lambda x: x["fp"]) for k in sizes]))
     read = lambda rows: _windows(rows.withColumn("words", words_of(F.col("text"))).drop("text"), "words", window, gram)
-    light = read(docs).select("h1", "h2", F.explode(F.array_distinct(keys_of)).alias("fp")).join(hint(fps), "fp", "left_semi")
-    suspects = C.written(light.groupBy("h1", "h2").agg(F.collect_set("fp").alias("wanted")), "suspects")
+    texts = docs.select(*text_keys(text), F.col(text).alias("text"))
+    # a row for each text, dealt by its own hash, and one for each fingerprint
+    asks = F.concat(F.array(F.struct(F.col("h1").alias("fp"), F.lit(True).alias("own"))), F.transform(fps, lambda x: F.struct(x.alias("fp"), F.lit(False).alias("own"))))
+    light = read(texts).select(*KEYS, n.alias("n_words"), F.explode(asks).alias("x")).select(*KEYS, "n_words", "x.*")
+    light = light.join(hint(parts.select("fp").distinct().withColumn("there", F.lit(True))), "fp", "left").where("own OR there")
+    light = light.groupBy(KEYS).agg(F.max("n_words").cast("long").alias("n_words"), F.collect_set(F.when(~F.col("own"), F.col("fp"))).alias("wanted"))
+    light = C.written(light, "texts")
+    suspects = light.where(F.size("wanted") > 0).drop("n_words")
     few = (suspects.agg(F.sum(F.size("wanted") + 2)).first()[0] or 0) <= SUSPECT_NUMBERS
     # only suspects' words are cut again
-    marked = read(docs.join(F.broadcast(suspects) if few else suspects, ["h1", "h2"])).withColumn("places", F.filter(places, lambda x: F.array_contains("wanted", x["fp"])))
+    marked = read(texts.join(F.broadcast(suspects) if few else suspects, KEYS)).withColumn("places", F.filter(places, lambda x: F.array_contains("wanted", x["fp"])))
     cut = F.transform("places", lambda x: F.struct(x["fp"].alias("fp"), x["start"].alias("start"), x["size"].alias("size"), F.slice("words", x["start"] + 1, x["size"]).alias("window")))
-    near = marked.select("h1", "h2", F.explode(cut).alias("x")).select("h1", "h2", "x.*")
-    return near.join(hint(parts), ["fp", "window"]).select("h1", "h2", "start", "size", "items")
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """docs with n_words, n_hit, items (sorted as strings) and contaminated."""
-    items = benchmark.select(F.col(item).cast("string").alias("item"), words_of(F.col(item_text)).alias("words")).where(F.size("words") > 0)
-    items = C.written(items, "benchmark-words")  # else each window would split its item's text anew
-    keys = {"h1": F.xxhash64(F.col(text)), "h2": F.xxhash64(F.lit(7), F.col(text))}
-    texts = docs.select(*[v.alias(k) for k, v in keys.items()], F.col(text).alias("text"))
-    found = hits(texts, items, window, gram)
-    span = F.struct(F.col("start"), F.col("start") + F.col("size"))
+    near = marked.select(*KEYS, F.explode(cut).alias("x")).select(*KEYS, "x.*")
+    found = near.join(hint(parts), ["fp", "window"])
     # copies of a text give equal rows: they are merged before and after the exchange
-    per_text = found.groupBy("h1", "h2").agg(F.array_sort(F.collect_set(span)).alias("spans"), F.collect_set("items").alias("items"))
+    spans = found.groupBy(KEYS).agg(F.array_sort(F.collect_set(F.struct(F.col("start"), F.col("start") + F.col("size")))).alias("spans"), F.collect_set("items").alias("items"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     covered = F.aggregate("spans", zero, lambda s, x: F.struct(F.greatest(s["end"], x["col2"]).alias("end"), (s["n"] + F.greatest(F.lit(0), x["col2"] - F.greatest(s["end"], x["start"]))).alias("n")), lambda s: s["n"])
-    per_text = per_text.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), covered.cast("long").alias("__n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("__items"))
-    marked = docs.withColumns({"__k1": keys["h1"], "__k2": keys["h2"], "n_words": F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")})
-    out = marked.join(per_text, (F.col("__k1") == F.col("__h1")) & (F.col("__k2") == F.col("__h2")), "left")
-    named = {"n_hit": F.coalesce("__n_hit", F.lit(0).cast("long")), "items": F.coalesce("__items", F.array().cast("array<string>")), "contaminated": F.coalesce(F.col("__n_hit") > 0, F.lit(False))}
-    return out.withColumns(named).drop("__k1", "__k2", "__h1", "__h2", "__n_hit", "__items")
+    spans = spans.select(*KEYS, covered.cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten("items"))).alias("items"))
+    return light.drop("wanted").join(spans, KEYS, "left")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """docs with n_words, n_hit, items (sorted as strings) and contaminated."""
+    per_text = judged(docs, benchmark, text, **options).select(*[F.col(c).alias(f"__{c}") for c in (*KEYS, "n_words", "n_hit", "items")])
+    keyed = docs.select("*", *[k.alias(f"__k{i}") for i, k in enumerate(text_keys(text))])  # a query without the text shuffles only these
+    out = keyed.join(per_text, (F.col("__k0") == F.col("__h1")) & (F.col("__k1") == F.col("__h2")), "left").drop("__k0", "__k1")
+    named = {"n_words": F.col("__n_words"), "n_hit": F.coalesce("__n_hit", F.lit(0).cast("long")), "items": F.coalesce("__items", F.array().cast("array<string>")), "contaminated": F.coalesce(F.col("__n_hit") > 0, F.lit(False))}
+    return out.withColumns(named).drop(*per_text.columns)
+
+
+def clean_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
+    """The rows of docs without a hit; texts only travel if many have one."""
+    hit = C.written(judged(docs, benchmark, text, **options).where("n_hit > 0").select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")), "contaminated")
+    k1, k2 = text_keys(text)
+    return docs.join(C.small(hit), (k1 == F.col("__h1")) & (k2 == F.col("__h2")), "left_anti")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
