@@ -54,3 +54,30 @@ def chat_messages(system: Column, user: Column, assistant: Column) -> Column:
     """[system?, user, assistant?] as structs; missing parts are left out."""
     one = lambda role, c: F.when(present(c).isNotNull(), F.struct(F.lit(role).alias("role"), c.alias("content")))
     return F.array_compact(F.array(one("system", system), one("user", user), one("assistant", assistant)))
+
+
+def benchmark_prompt(question: Column, lang: str) -> Column:
+    return F.format_string("Question:\n%s\nAnswer in %s.", question, F.lit(lang))
+
+
+#: One example is shown, the first; %s in order: statement, input format, output format, input, output, language, its fence.
+TRANSLATED = "Solve this task.\n\n%s\n\nInput: %s\nOutput: %s\n\nFor the input\n%s\nthe output is\n%s\n\nThink first, then give a whole program in %s, in one block that starts with ```%s.\n"
+
+
+def translated_prompt(statement, input_format, output_format, tests, long_name, lang, template: str = TRANSLATED) -> Column:
+    first = F.get(tests, F.lit(0))
+    return F.format_string(template, statement, input_format, output_format, first["input"], first["output"], long_name, lang)
+
+
+#: What turns thinking off, by a model family's own word for it (fixed values).
+NO_THINKING = {"qwen": "/nothink", "smollm3": "/no_think"}
+
+
+def model_messages(prompt: Column, completion: Column, family: str, pairs: Column | None = None) -> Column:
+    """The family's system turn, earlier (user, assistant) pairs, the prompt and, if there is one, the completion."""
+    if family not in NO_THINKING:
+        raise ValueError(f"unknown model family {family!r}")
+    one = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    none = F.array().cast("array<struct<role:string,content:string>>")
+    said = none if pairs is None else F.flatten(F.transform(pairs, lambda p: F.array(one("user", p["user"]), one("assistant", p["assistant"]))))
+    return F.concat(F.array(one("system", F.lit(NO_THINKING[family]))), said, F.array(one("user", prompt)), F.when(present(completion).isNotNull(), F.array(one("assistant", completion))).otherwise(none))

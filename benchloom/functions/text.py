@@ -23,8 +23,13 @@ def or_default(c: Column, default) -> Column:
     return F.when(c.isNull() | (c == 0), F.lit(default)).otherwise(c)
 
 
+#: What Python counts as white space.
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\s+\z", "")
+    """From the end, so runs of blanks inside cost nothing."""
+    return F.rtrim(c, F.lit(BLANKS))
 
 
 def cut_at_fence(c: Column) -> Column:
@@ -54,8 +59,23 @@ def final_block(r: Column) -> Column:
     return present(answer)
 
 
+def after_thinking_or_all(r: Column) -> Column:
+    """after_thinking(), or the whole text where the thinking never ends."""
+    return F.coalesce(after_thinking(r), r)
+
+
+def joined(prompt: Column, completion: Column) -> Column:
+    """A prompt's lines, and after an empty line its completion if there is one."""
+    return F.concat_ws("\n\n", prompt, completion)
+
+
+def parsed(c: Column, strict: bool = False) -> Column:
+    """A JSON text as a variant. Bad text is null, or an error if strict."""
+    return F.parse_json(c) if strict else F.try_parse_json(c)
+
+
 def first_block(text: Column, lang: str) -> Column:
-    return F.regexp_extract(text, rf"(?s){FENCE}{lang}\n(.*?){FENCE}", 1)
+    return F.regexp_extract(text, rf"(?s){FENCE}\Q{lang}\E\n(.*?){FENCE}", 1)
 
 
 def after_thinking(r: Column) -> Column:
@@ -64,7 +84,8 @@ def after_thinking(r: Column) -> Column:
 
 
 def strip_open_think(r: Column) -> Column:
-    return F.regexp_replace(r, r"\A\s*<think>\s*", "")
+    """An opening tag at the very start goes, and one line end after it."""
+    return F.regexp_replace(r, r"\A<think>\n?", "")
 
 
 def issues_of(answer: Column) -> Column:
@@ -93,7 +114,7 @@ def number_reward(response: Column, answer: Column) -> Column:
 
 def looks_like_io_answer(c: Column) -> Column:
     """Reads input and writes output."""
-    return c.rlike(r"input\s*\(|stdin") & c.rlike(r"print\s*\(|stdout")
+    return c.rlike(r"input\(\)|stdin") & c.rlike(r"print\(|stdout")
 
 
 def item_id(*parts: Column) -> Column:

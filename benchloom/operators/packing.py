@@ -17,20 +17,29 @@ def pack_starts(lengths: np.ndarray, seq_len: int) -> tuple[np.ndarray, int]:
     return starts, total
 
 
-def pack(items: DataFrame, seq_len: int, separator: int, order: str, shards: int = 1, tokens: str = "tokens") -> DataFrame:
-    """(shard, row, input_ids): items of a shard in order, cut into rows of seq_len; the last may be short."""
+def pack(items: DataFrame, seq_len: int, separator: int, order: str, shards: int = 1, tokens: str = "tokens", masks: dict[str, int] | None = None) -> DataFrame:
+    """(shard, row, input_ids, one column for each mask): items of a shard in order, cut into rows of seq_len; the last may be short.
 
-    def fold(pdf):
-        import pandas as pd
+    masks: columns of the length of tokens that are packed along, and their separators. shards=1 is one
+    order over everything and one task; a large table wants many.
+    """
+    columns = {"input_ids": (tokens, separator)} | {m: (m, s) for m, s in (masks or {}).items()}
 
-        pdf = pdf.sort_values("__order")
-        lengths = pdf["tokens"].str.len().to_numpy(np.int64)
+    def fold(t):
+        import pyarrow as pa
+
+        t = t.sort_by("__order").combine_chunks()
+        lengths = t["input_ids"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         starts, total = pack_starts(lengths, seq_len)
-        flat = np.full(total, separator, np.int64)
-        for s, t in zip(starts, pdf["tokens"]):
-            flat[s : s + len(t)] = t
-        rows = range(-(-total // seq_len))
-        return pd.DataFrame({"shard": pdf["shard"].iloc[0], "row": list(rows), "input_ids": [flat[r * seq_len : (r + 1) * seq_len] for r in rows]})
-
-    keyed = items.select(F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("shard"), F.col(order).alias("__order"), F.col(tokens).cast("array<bigint>").alias("tokens"))
-    return keyed.groupBy("shard").applyInPandas(fold, "shard int, row long, input_ids array<bigint>")
+        # where each token of the joined items goes
+        place = np.arange(lengths.sum()) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)
+        cuts = pa.array(np.append(np.arange(0, total, seq_len), total).astype(np.int32))
+        out = {"shard": pa.array([t["shard"][0].as_py()] * (len(cuts) - 1), pa.int32()), "row": pa.array(range(len(cuts) - 1), pa.int64())}
+        for name, (_, sep) in columns.items():
+            flat = np.full(total, sep, np.int64)
+            flat[place] = t[name].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            out[name] = pa.ListArray.from_arrays(cuts, pa.array(flat))
+        return pa.table(out)
+
+    keyed = items.select(F.pmod(F.xxhash64(order), F.lit(shards)).cast("int").alias("shard"), F.col(order).alias("__order"), *[F.col(c).cast("array<bigint>").alias(k) for k, (c, _) in columns.items()])
+    return keyed.groupBy("shard").applyInArrow(fold, "shard int, row long" + "".join(f", {c} array<bigint>" for c in columns))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from benchloom.functions import text as T
+from benchloom.operators.curate import raising, shared_table
 
 
 def success_rate(results: DataFrame, by: list[str]) -> DataFrame:
@@ -67,4 +68,50 @@ def token_cost(calls: DataFrame, prices: DataFrame, model: str = "model") -> Dat
     """Exact decimal cost of input and output tokens at dollars for a million."""
     d = lambda c: F.col(c).cast("decimal(20,6)")
     cost = d("tokens_in") * d("price_in") / 1000000 + d("tokens_out") * d("price_out") / 1000000
-    return calls.join(F.broadcast(prices), model).withColumn("cost", cost.cast("decimal(38,12)"))
+    return lookup(calls, prices, model).withColumn("cost", cost.cast("decimal(38,12)"))
+
+
+#: Rows of a registry (prices, languages, models) that are sent to every task; a larger one is joined by a shuffle.
+REGISTRY_ROWS = 100_000
+
+
+def lookup(rows: DataFrame, registry: DataFrame, key: str) -> DataFrame:
+    """rows with the registry's columns; a key that the registry lacks is an error."""
+    small = F.broadcast if registry.count() <= REGISTRY_ROWS else (lambda x: x)
+    found = rows.join(small(registry.withColumn("__there", F.lit(True))), key, "left")
+    return raising(found, F.col("__there").isNull(), F.concat(F.lit("unknown key "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).drop("__there")
+
+
+def run_and_fan_out(items: DataFrame, keys: list[str], run) -> DataFrame:
+    """run() on one item of each distinct value of keys; every item gets the result of its own.
+
+    items: item_id and what run reads; run: a function from such a table to (item_id, status, ...).
+    """
+    kept = items.where(F.coalesce("item_id", F.lit("")) != "")
+    firsts = shared_table(kept.groupBy(*keys).agg(F.min("item_id").alias("run_id")), "firsts")
+    results = shared_table(run(kept.join(firsts.select(F.col("run_id").alias("item_id")), "item_id", "left_semi").dropDuplicates(["item_id"])), "results")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"i.{k}").eqNullSafe(F.col(f"f.{k}"))
+    owner = kept.alias("i").join(firsts.alias("f"), same).select("i.item_id", "f.run_id")
+    return owner.join(results.withColumnRenamed("item_id", "run_id"), "run_id").drop("run_id")
+
+
+def with_rejected(results: DataFrame, answers: DataFrame) -> DataFrame:
+    """Results and, after them, a row for each answer that could not run; ids that are there already stay alone."""
+    none = no_answer_rows(answers).join(results.select("item_id"), "item_id", "left_anti")
+    return results.unionByName(none, allowMissingColumns=True)
+
+
+def fail_on_missing(attached: DataFrame, what: str = "problem") -> int:
+    """Called after the output is written: an error if answers had no problem; else how many rows there were."""
+    n, missing = attached.agg(F.count("*"), F.count_if("missing")).first()
+    if missing:
+        raise ValueError(f"{missing} of {n} answers have no {what}")
+    return n
+
+
+def without_tests(answers: DataFrame, tests: DataFrame, key: str = "idx") -> DataFrame:
+    """Answers with their test cases; where there are none, the status says so and nothing has to run."""
+    found = attach_tests(answers, tests, key, "test_cases")
+    return found.withColumn("status", F.when(F.col("missing") | F.col("test_cases").isNull() | (F.size("test_cases") == 0), "fail:no-tests")).drop("missing")

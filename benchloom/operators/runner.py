@@ -1,8 +1,9 @@
 """Running untrusted programs against test cases, inside Spark tasks.
 
-Every program runs in a child process of its own: new session, empty environment, a temporary folder,
-limits on memory, CPU seconds, file size and output; the whole process group is killed at a timeout.
-The first failing test decides. Any exception becomes a row, never a failed task. Results are keyed by
+Every program runs in a child process of its own: new session, an environment of PATH, HOME and LANG, a
+temporary folder, no network where the kernel lets us cut it, limits on memory, CPU seconds, processes,
+file size and open files; the whole process group is killed at a timeout. Output is compared as a whole,
+up to the limit on file size; only what a result stores is cut. The first failing test decides. Any exception becomes a row, never a failed task. Results are keyed by
 item_id, so a retried task only repeats rows that the sink drops.
 """
 
@@ -34,6 +35,7 @@ LANGUAGES = {
     "fortran": ("snippet.f90", ["gfortran", "snippet.f90", "-o", "snippet"], ["./snippet"], {}),
 }
 MEMORY, OUTPUT, COMPILE_S = 1 << 30, 1 << 20, 60
+FILE_SIZE, PROCESSES, OPEN_FILES = 128 << 20, 4096, 1024
 FIELDS = ("status", "expected", "got", "stdout", "stderr", "exit_code", "timeout_s", "details")
 
 
@@ -44,14 +46,24 @@ def available(lang: str) -> bool:
 
 def _limits(timeout: float):
     def apply():
-        for what, most in ((resource.RLIMIT_AS, MEMORY if sys.platform != "darwin" else -1), (resource.RLIMIT_CPU, int(timeout) + 1), (resource.RLIMIT_FSIZE, 128 << 20), (resource.RLIMIT_CORE, 0)):
-            resource.setrlimit(what, (most, most))
+        for flags in (os.CLONE_NEWNET, os.CLONE_NEWUSER | os.CLONE_NEWNET) if hasattr(os, "unshare") else ():
+            try:
+                os.unshare(flags)
+                break
+            except OSError:  # not allowed here: the network is then left to the cluster
+                continue
+        wanted = {"AS": MEMORY if sys.platform != "darwin" else -1, "CPU": int(timeout) + 1, "FSIZE": FILE_SIZE, "CORE": 0, "NPROC": PROCESSES, "NOFILE": OPEN_FILES}
+        for what, most in wanted.items():
+            kind = getattr(resource, f"RLIMIT_{what}")
+            hard = resource.getrlimit(kind)[1]
+            most = most if hard == resource.RLIM_INFINITY or most < 0 else min(most, hard)
+            resource.setrlimit(kind, (most, most))
 
     return apply
 
 
 def execute(command: list[str], stdin: str, timeout: float, folder: str, limit: bool = True) -> tuple[int | None, str, str]:
-    """(exit code, stdout, stderr); exit code None at a timeout. Output is cut at OUTPUT bytes."""
+    """(exit code, stdout, stderr); exit code None at a timeout."""
     env = {"PATH": os.environ.get("PATH", ""), "HOME": folder, "LANG": "C.UTF-8"}
     with tempfile.TemporaryFile() as out, tempfile.TemporaryFile() as err:
         p = subprocess.Popen(command, cwd=folder, env=env, stdin=subprocess.PIPE, stdout=out, stderr=err, start_new_session=True, preexec_fn=_limits(timeout) if limit else None)
@@ -71,10 +83,15 @@ def execute(command: list[str], stdin: str, timeout: float, folder: str, limit:
         texts = []
         for f in (out, err):
             f.seek(0)
-            texts.append(f.read(OUTPUT).decode(errors="ignore"))
+            texts.append(f.read().decode(errors="ignore"))
     return code, *texts
 
 
+def cut(text: str | None) -> str | None:
+    """What a result stores of an output: OUTPUT bytes at most, whole characters."""
+    return text if text is None or len(text) * 4 <= OUTPUT else text.encode()[:OUTPUT].decode(errors="ignore")
+
+
 def run_item(code: str, tests: list[dict], lang: str, timeout: float) -> dict:
     """The result of one item; see the statuses of benchloom.schemas."""
     if lang not in LANGUAGES:
@@ -111,8 +128,8 @@ def run_item(code: str, tests: list[dict], lang: str, timeout: float) -> dict:
         return {"status": "fail:exception", "details": f"{type(problem).__name__}: {problem}"}
 
 
-def run_items(items: DataFrame, timeout: float = 15.0, partitions: int | None = None) -> DataFrame:
-    """items (item_id, code, test_cases, lang) -> results. Items spread by key; a language has no pool of its own."""
+def run_items(items: DataFrame, timeout: float = 15.0, partitions: int | None = None, by: str = "item_id") -> DataFrame:
+    """items (item_id, code, test_cases, lang) -> results. Items spread by key; by="lang" gives each language tasks of its own."""
 
     def batches(it):
         import pyarrow as pa
@@ -122,11 +139,11 @@ def run_items(items: DataFrame, timeout: float = 15.0, partitions: int | None =
                 r = {"item_id": row["item_id"]} | dict.fromkeys(FIELDS) | run_item(row["code"], row["test_cases"], row["lang"], timeout)
                 if r["timeout_s"] is not None:
                     r["timeout_s"] = float(r["timeout_s"])
-                yield pa.RecordBatch.from_pylist([r], schema=schema)
+                yield pa.RecordBatch.from_pylist([r | {k: cut(r[k]) for k in ("expected", "got", "stdout", "stderr")}], schema=schema)
 
     import pyarrow as pa
 
     kinds = {"int": pa.int32(), "double": pa.float64()}
     schema = pa.schema([(f.split()[0], kinds.get(f.split()[1], pa.string())) for f in RESULT.split(", ")])
-    spread = items.repartition(partitions or items.sparkSession.sparkContext.defaultParallelism, "item_id")
+    spread = items.repartition(partitions or items.sparkSession.sparkContext.defaultParallelism, by)
     return spread.select("item_id", "code", "test_cases", "lang").mapInArrow(batches, RESULT)

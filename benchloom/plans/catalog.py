@@ -74,23 +74,30 @@ def split_test(spark, d):
     return curate.split(docs, "doc_id", 20, wanted, forced=[0, 1, 2, 4, 6])
 
 
+def _test(spark, d):
+    """The test split as a table, so that the later ones don't plan it again."""
+    return curate.shared_table(split_test(spark, d), "split-test")
+
+
 @query(f"WITH {_POOL}, {_TEST}, {_VAL} SELECT doc_id FROM v")
 def split_validation(spark, d):
     docs, wanted = _pool(spark, d)
-    return curate.split(docs, "doc_id", 30, wanted, [split_test(spark, d)])
+    return curate.split(docs, "doc_id", 30, wanted, [_test(spark, d)])
 
 
 @query(f"WITH {_POOL}, {_TEST}, {_VAL}, {_TRAIN} SELECT doc_id FROM n")
 def split_train(spark, d):
     docs, wanted = _pool(spark, d)
-    return curate.split(docs, "doc_id", 50, wanted, [split_test(spark, d), split_validation(spark, d)])
+    test = _test(spark, d)
+    return curate.split(docs, "doc_id", 50, wanted, [test, curate.split(docs, "doc_id", 30, wanted, [test])])
 
 
 @query(f"WITH {_POOL}, {_TEST}, {_VAL} SELECT doc_id FROM p WHERE doc_id NOT IN (SELECT doc_id FROM t) AND doc_id NOT IN (SELECT doc_id FROM v)")
 def split_xl(spark, d):
     docs, wanted = _pool(spark, d)
     rows = docs.join(wanted, "doc_id", "left_semi")
-    for taken in (split_test(spark, d), split_validation(spark, d)):
+    test = _test(spark, d)
+    for taken in (test, curate.split(docs, "doc_id", 30, wanted, [test])):
         rows = rows.join(taken, "doc_id", "left_anti")
     return rows
 
@@ -135,10 +142,10 @@ def language_set_difference(spark, d):
 
 
 def _examples():
-    return F.transform(F.slice(F.split("problem_statement", "\n"), 1, 4), lambda x: F.struct(x.alias("input"), F.length(x).cast("string").alias("output")))
+    return F.transform(F.split("problem_statement", "\n"), lambda x: F.struct(x.alias("input"), F.length(x).cast("string").alias("output")))
 
 
-_EX = "list_transform(list_slice(string_split(problem_statement, chr(10)), 1, least(4, n_examples)), lambda x: {'input': x, 'output': CAST(length(x) AS VARCHAR)})"
+_EX = "list_transform(string_split(problem_statement, chr(10)), lambda x: {'input': x, 'output': CAST(length(x) AS VARCHAR)})"
 _T = {k: v.replace("'", "''").replace("\n", "' || chr(10) || '") for k, v in P.TEMPLATES.items()}
 
 
@@ -151,6 +158,10 @@ def _sql_prompt(alt=""):
     return f"'{_T[f'{alt}head']}' || problem_statement || '{_T[f'{alt}input']}' || title || '{_T['examples']}' || {shown} || '{suffix}'"
 
 
+_SHOWN = _sql_prompt().split(f"'{_T['examples']}' || ")[1].split(" || '" + _T["suffix"].split("%s")[0])[0]
+_RAW_FORM = f"""md5(problem_statement || chr(10) || title || chr(10) || CASE WHEN u3 < 0.5 THEN chr(10) || {_SHOWN} ELSE '' END || '{_T["suffix"].replace("%s", "' || lang || '")}')"""
+
+
 @query(f"SELECT idx, {_sql_prompt()} AS prompt FROM (SELECT *, {_EX} AS ex FROM v_problems)")
 def build_prompt(spark, d):
     p = view(spark, d, "v_problems").withColumn("ex", _examples())
@@ -158,14 +169,14 @@ def build_prompt(spark, d):
     return p.select("idx", P.build_prompt(F.col("problem_statement"), F.col("title"), none, F.col("ex"), none, F.col("lang")).alias("prompt"))
 
 
-@query(f"""WITH u AS (SELECT *, {_EX} AS ex, CAST(CAST('0x' || substr(md5('42:' || CAST(idx AS VARCHAR) || ':1'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u1, CAST(CAST('0x' || substr(md5('42:' || CAST(idx AS VARCHAR) || ':2'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u2 FROM v_problems)
-SELECT idx, CASE WHEN len(ex) <= 1 THEN 'raw' WHEN u1 < 0.3 THEN md5({_sql_prompt()}) WHEN u2 < 0.5 THEN md5({_sql_prompt('alt_')}) ELSE 'raw' END AS variant FROM u""")
+@query(f"""WITH u AS (SELECT *, {_EX} AS ex, CAST(CAST('0x' || substr(md5('42:' || CAST(idx AS VARCHAR) || ':1'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u1, CAST(CAST('0x' || substr(md5('42:' || CAST(idx AS VARCHAR) || ':2'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u2, CAST(CAST('0x' || substr(md5('42:' || CAST(idx AS VARCHAR) || ':3'), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296 AS u3 FROM v_problems)
+SELECT idx, CASE WHEN len(ex) <= 1 THEN {_RAW_FORM} WHEN u1 < 0.3 THEN md5({_sql_prompt()}) WHEN u2 < 0.5 THEN md5({_sql_prompt('alt_')}) ELSE {_RAW_FORM} END AS variant FROM u""")
 def build_variant_prompt(spark, d):
-    """The raw form is named, the others are compared as a whole by their MD5."""
+    """Every form is compared as a whole by its MD5."""
     p = view(spark, d, "v_problems").withColumn("ex", _examples())
-    none, raw = F.lit(""), F.concat(F.col("problem_statement"), F.lit("\n"))
+    none = F.lit("")
     said = P.build_variant_prompt(F.col("problem_statement"), F.col("title"), none, F.col("ex"), none, F.col("lang"), F.col("idx"))
-    return p.select("idx", F.when(F.startswith(said, raw), "raw").otherwise(F.md5(said)).alias("variant"))
+    return p.select("idx", F.md5(said).alias("variant"))
 
 
 @query("SELECT item_id, 'Question:' || chr(10) || text || chr(10) || 'Answer in ' || 'lua' || '.' AS prompt FROM benchmark")
@@ -173,10 +184,12 @@ def benchmark_prompt(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.format_string("Question:\n%s\nAnswer in %s.", "text", F.lit("lua")).alias("prompt"))
 
 
-@query("SELECT conv_id, to_json([{'role': 'user', 'content': text}]) AS messages FROM conversations WHERE turn = 0 AND role = 'user' AND text <> ''")
+@query("SELECT conv_id, turn, CASE WHEN turn = 0 THEN to_json([{'role': 'user', 'content': text}]) ELSE to_json([{'role': 'system', 'content': 'Be brief.'}, {'role': 'user', 'content': text}, {'role': 'assistant', 'content': text}]) END AS messages FROM conversations WHERE text <> ''")
 def chat_messages(spark, d):
-    c = table(spark, d, "conversations").where("turn = 0 AND role = 'user' AND text <> ''")
-    return c.select("conv_id", F.to_json(P.chat_messages(F.lit(""), F.col("text"), F.lit(None).cast("string"))).alias("messages"))
+    c = table(spark, d, "conversations").where("text <> ''")
+    later = F.col("turn") > 0
+    said = P.chat_messages(F.when(later, "Be brief.").otherwise(""), F.col("text"), F.when(later, F.col("text")))
+    return c.select("conv_id", "turn", F.to_json(said).alias("messages"))
 
 
 @query("SELECT CAST(idx AS VARCHAR) || '/' || CAST(sample_idx AS VARCHAR) AS item_id, length(response) AS n FROM v_responses")
@@ -358,10 +371,13 @@ def vanilla_advantages(spark, d):
     return s.select("item_id", (F.round(results.vanilla_advantages("idx", F.col("reward")), 6) + 0.0).alias("advantage"))
 
 
-@query(f"WITH {_S} SELECT idx, count(*) AS n FROM s GROUP BY idx HAVING max(abs(reward)) < 1e-7")
+@query(f"WITH {_S} SELECT sample_idx // 3 AS grp, count(*) AS n FROM s GROUP BY sample_idx // 3 HAVING max(reward) = min(reward)")
 def skipped_groups(spark, d):
-    g = _scored(spark, d).groupBy("idx").agg(F.collect_list("reward").alias("a"), F.count("*").alias("n"))
-    return g.where(A.no_signal(F.col("a"))).select("idx", "n")
+    """Groups of three whose advantages are all near zero, because their rewards are the same."""
+    s = _scored(spark, d).withColumn("grp", F.floor(F.col("sample_idx") / 3))
+    advantage = F.coalesce(results.advantages(s, "grp", F.col("reward")), F.lit(0.0))
+    g = s.select("grp", advantage.alias("a")).groupBy("grp").agg(F.collect_list("a").alias("a"), F.count("*").alias("n"))
+    return g.where(A.no_signal(F.col("a"))).select("grp", "n")
 
 
 @query(f"WITH {_S} SELECT round(avg(m), 9) AS macro_average FROM (SELECT avg(reward) AS m FROM s GROUP BY idx)")
@@ -394,6 +410,7 @@ def micro_batches(spark, d):
 
 @query("SELECT o_orderkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS previous FROM orders")
 def lagged_batches(spark, d):
+    """The row before each one of a customer; batches that lag behind are in epoch_batches."""
     return table(spark, d, "orders").select("o_orderkey", F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderkey")).alias("previous"))
 
 
@@ -460,11 +477,12 @@ def pack_sequences(spark, d):
 # --- money, parameter groups
 
 
-@query("SELECT user_id, CAST(sum(CAST(event_id AS DECIMAL(20,6)) * 0.15 / 1000000 + CAST(user_id AS DECIMAL(20,6)) * 0.60 / 1000000) AS DOUBLE) > 0 AS costs FROM events GROUP BY user_id")
+@query("SELECT user_id, CAST(sum(CAST(event_id AS DECIMAL(20,0)) * 15 + CAST(user_id AS DECIMAL(20,0)) * 60) AS BIGINT) AS cost_e8 FROM events GROUP BY user_id")
 def llm_cost(spark, d):
     calls = table(spark, d, "events").select("user_id", F.lit("small").alias("model"), F.col("event_id").alias("tokens_in"), F.col("user_id").alias("tokens_out"))
     prices = spark.createDataFrame([("small", "0.15", "0.60")], "model string, price_in string, price_out string")
-    return results.token_cost(calls, prices).groupBy("user_id").agg((F.sum("cost") > 0).alias("costs"))
+    # in hundred-millionths of a dollar, so that exact sums can be compared
+    return results.token_cost(calls, prices).groupBy("user_id").agg((F.sum("cost") * 100000000).cast("long").alias("cost_e8"))
 
 
 @query("SELECT v.m AS m FROM (VALUES (0.5, '$0.5'), (2.0, '$2'), (0.0, '$0'), (1.2345675, '$1.234568'), (10.0, '$10')) v(x, m)")
@@ -490,18 +508,21 @@ def verify_python_sandbox(spark, d):
     return runner.run_items(items, timeout=2.0).select("item_id", "status")
 
 
-@query("SELECT CAST(item_id AS VARCHAR) || '/0' AS item_id, CASE WHEN item_id % 2 = 0 THEN 'success' ELSE 'fail:wrong-output' END AS status FROM benchmark WHERE item_id < 8")
+@query("SELECT CAST(item_id AS VARCHAR) || '/0' AS item_id, CASE WHEN item_id % 2 = 0 THEN 'success' ELSE 'fail:wrong-output' END AS status FROM benchmark")
 def stream_verify(spark, d):
     """The same rows by the streaming way: responses as files, picked up once."""
     import uuid
 
     from benchloom.streaming import verify
 
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or 'file:///tmp/benchloom').rstrip('/')}/verify-{uuid.uuid4().hex}"
-    b = table(spark, d, "benchmark").where("item_id < 8")
+    root = f"{curate.shared_dir(spark)}/verify-{uuid.uuid4().hex}"
+    b = table(spark, d, "benchmark")
     said = F.concat(F.lit("```py\nprint("), F.col("item_id").cast("string"), F.lit(")\n```"))
     tests = F.array(F.struct(F.lit("").alias("input"), F.when(F.col("item_id") % 2 == 0, F.col("item_id").cast("string")).otherwise("no").alias("output")))
     b.select(F.col("item_id").cast("string").alias("idx"), F.lit(0).alias("sample_idx"), said.alias("response"), F.lit("python").alias("lang"), tests.alias("test_cases")).write.json(f"{root}/in")
     for _ in range(2):  # the second call finds nothing new
         verify.verify_stream(spark, f"{root}/in", f"{root}/out", f"{root}/state")
     return spark.read.parquet(f"{root}/out").select("item_id", "status")
+
+
+from benchloom.plans import extra  # noqa: E402, F401  registers its queries, and reads this module

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass, field
 
@@ -80,8 +81,12 @@ def read_lines(spark: SparkSession, path: str, schema: str, start: int = 0, end:
 
     placed = with_ordinal(lines, ["file", "id"], "line").where(F.col("line") >= start)
     placed = placed if end < 0 else placed.where(F.col("line") < end)
-    rows = placed.select("line", F.from_json("value", schema, {"mode": "PERMISSIVE" if allow_malformed else "FAILFAST"}).alias("r"), F.try_parse_json("value").isNull().alias("bad"))
-    return rows.where(~F.col("bad")).orderBy("line").select("r.*")
+    rows = placed.select("line", F.from_json("value", schema).alias("r"), F.try_parse_json("value").isNull().alias("bad"))
+    if allow_malformed:
+        rows = rows.where(~F.col("bad"))
+    else:
+        rows = rows.where(F.when(F.col("bad"), F.raise_error(F.concat(F.lit("malformed line "), F.col("line").cast("string")))).otherwise(F.lit(True)))
+    return rows.orderBy("line").select("r.*")
 
 
 def require_columns(df: DataFrame, required: list[str]) -> DataFrame:
@@ -111,3 +116,71 @@ def write_split(df: DataFrame, path: str, split: str = "split") -> None:
 def finished_ids(spark: SparkSession, path: str) -> DataFrame:
     """The resume set: item ids in an output of JSONL results."""
     return spark.read.schema("item_id string").json(path).where(F.col("item_id").isNotNull()).distinct()
+
+
+def read_split(spark: SparkSession, path: str, split: str, columns: list[str]) -> DataFrame:
+    """A named split of a published dataset, projected to its schema."""
+    return spark.read.parquet(path).where(F.col("split") == split).select(*columns)
+
+
+def read_step(spark: SparkSession, path: str, schema: str, start: int = 0, end: int = -1) -> DataFrame:
+    """The rows of an earlier step's output; that it has not run yet is an error that names it."""
+    if not exists(spark, path):
+        raise FileNotFoundError(f"{path} is missing: run the step that writes it first")
+    return read_lines(spark, path, schema, start, end)
+
+
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _file(spark, path)
+    return fs.exists(p)
+
+
+def start_step(spark: SparkSession, path: str, readonly: bool = False, force: bool = False) -> str:
+    """A step's output folder. One that has something in it is refused unless force is given; readonly: it must be there."""
+    fs, p = _file(spark, path)
+    if readonly:
+        if not fs.exists(p):
+            raise FileNotFoundError(path)
+        return path
+    if fs.exists(p) and len(fs.listStatus(p)):
+        if not force:
+            raise FileExistsError(f"{path} is not empty")
+        fs.delete(p, True)
+    fs.mkdirs(p)
+    return path
+
+
+def write_document(spark: SparkSession, path: str, body) -> None:
+    """A text, or anything else as JSON, as one file on whatever file system the path names."""
+    fs, p = _file(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray((body if isinstance(body, str) else json.dumps(body, indent=2)).encode()))
+    out.close()
+
+
+def append_rows(df: DataFrame, path: str, **columns) -> None:
+    """Appends rows to a log (metrics, prompts and outputs), with more columns of fixed values such as the step."""
+    df.withColumns({k: F.lit(v) for k, v in columns.items()}).write.mode("append").parquet(path)
+
+
+def log_scalars(spark: SparkSession, path: str, step: int, values: dict[str, float]) -> None:
+    append_rows(spark.createDataFrame([(k, float(v)) for k, v in values.items()], "name string, value double"), path, step=step)
+
+
+def log_table(spark: SparkSession, path: str, step: int, name: str, rows: list[list]) -> None:
+    """The first row is the header; rows of another width are an error."""
+    if not rows or any(len(r) != len(rows[0]) for r in rows):
+        raise ValueError("a table's rows must be as wide as its header")
+    cells = [(name, i, str(h), str(v)) for i, r in enumerate(rows[1:]) for h, v in zip(rows[0], r)]
+    append_rows(spark.createDataFrame(cells, "name string, row int, header string, value string"), path, step=step)
+
+
+def success_report(results: DataFrame, file: str = "file") -> DataFrame:
+    """(file, success-rate) as a report has it, two digits of percent for each file."""
+    rate = F.avg((F.col("status") == "success").cast("double"))
+    return results.groupBy(file).agg(F.format_string("%.2f%%", 100 * rate).alias("success-rate"))

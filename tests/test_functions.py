@@ -6,8 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from benchloom.functions import code_blocks, settings
 from benchloom.functions import text as T
-from benchloom.operators import curate, packing, runner
+from benchloom.operators import curate, generate, languages, packing, results, runner
 from benchloom.sources import spec
 
 FENCE = "`" * 3
@@ -139,6 +140,154 @@ def c_compiles():
 
 @pytest.mark.skipif(not c_compiles(), reason="no C compiler")
 def test_runner_c():
-    sum_ = '#include <stdio.h>\nint main(){int a,b;scanf("%d %d",&a,&b);printf("%d\\n",a+b);}'
-    assert runner.run_item(sum_, [{"input": "5 3\n", "output": "8\n"}], "c", 5.0)["status"] == "success"
+    longest = '#include <stdio.h>\n#include <string.h>\nint main(void) { char w[99]; size_t most = 0; while (scanf("%98s", w) == 1) if (strlen(w) > most) most = strlen(w); printf("%zu", most); return 0; }'
+    assert runner.run_item(longest, [{"input": "ab c\nabcde", "output": "5\n"}], "c", 5.0)["status"] == "success"
     assert runner.run_item("int main(", [{"input": "", "output": ""}], "c", 5.0)["status"] == "fail:error"
+
+
+def test_whole_output_is_compared():
+    run = lambda code, want: runner.run_item(code, [{"input": "", "output": want}], "python", 5.0)["status"]
+    assert run("print('y' * (2 << 20))", "y" * (2 << 20)) == "success"
+    assert run("print('y' * (2 << 20) + 'z')", "y" * (2 << 20)) == "fail:wrong-output"
+    assert len(runner.cut("ü" * (2 << 20)).encode()) <= runner.OUTPUT
+
+
+def test_languages_from_configuration():
+    assert languages.registered({"x": 'filename: a.x\nprompt: Use X.\ncompile: xc a.x -o a\nexecute: ./a "b c"\n'}) == {"x": ("a.x", ["xc", "a.x", "-o", "a"], ["./a", "b c"], {})}
+    for bad in ('{"filename": "a"}', '{"filename": "a", "prompt": "p", "execute": "e", "more": 1}', '{"filename": "a", "prompt": "p", "execute": "e", "container": {"base-image": "x"}}', '{"filename": "a", "prompt": "p", "execute": "e", "install": "a\\nb"}'):
+        with pytest.raises(ValueError):
+            languages.parse_language(bad)
+
+
+def test_settings():
+    assert settings.parse_optimizer("AdamW(lr=5e-6, betas=(0.9, 0.95) fused=True)") == ("AdamW", {"lr": 5e-6, "betas": (0.9, 0.95), "fused": True})
+    assert settings.parse_scheduler("cosine(warmup_ratio=0.1)", 1005) == ("cosine", 100) and settings.parse_scheduler("constant()", 9) == ("constant", 0)
+    for bad in ("AdamW", "SGD(lr=1)", "Adam(lr=1 lr=2)", "Adam(momentum=1)", "Adam(lr=True)", "Adam(betas=(1))", "Adam(lr)"):
+        with pytest.raises(ValueError):
+            settings.parse_optimizer(bad)
+    with pytest.raises(ValueError):
+        settings.parse_scheduler("cosine(warmup_ratio=0.1 warmup_steps=3)", 9)
+    assert [settings.worker_count(x, 40) for x in (None, 0, 5)] == [16, 39, 5] and settings.worker_count(None, 1) == 1
+    assert settings.exclusive(a=1, b=None) == "a" and settings.exclusive(a=None) is None
+    for options in ({"a": 1, "b": 2}, {"a": None, "need_one": True}):
+        with pytest.raises(ValueError):
+            settings.exclusive(**options)
+
+
+def test_splits_insist(spark):
+    pool = spark.range(10).withColumnRenamed("id", "k")
+    assert curate.split(pool, "k", 3, forced=[0, 1], strict=True).count() == 5
+    with pytest.raises(Exception, match="fewer than 11"):
+        curate.split(pool, "k", 11, strict=True).collect()
+    with pytest.raises(Exception, match="forced"):
+        curate.split(pool, "k", 3, forced=[0, 99], strict=True).collect()
+    with pytest.raises(Exception, match="forced"):
+        curate.split(pool, "k", 3, forced=[98, 99], strict=True).collect()
+    with pytest.raises(Exception, match="differ in length"):
+        curate.joined_by_position(pool, pool.limit(3).withColumnRenamed("k", "j"), ["k"], ["j"]).collect()
+
+
+def test_lookups_insist(spark):
+    calls = spark.createDataFrame([("a", 1, 2), ("b", 1, 2)], "model string, tokens_in int, tokens_out int")
+    prices = spark.createDataFrame([("a", "1.5", "2")], "model string, price_in string, price_out string")
+    assert str(results.token_cost(calls.where("model = 'a'"), prices).first().cost) == "0.000005500000"
+    with pytest.raises(Exception, match="unknown key b"):
+        results.token_cost(calls, prices).collect()
+    attached = results.attach_tests(spark.createDataFrame([("1",), ("2",)], "idx string"), spark.createDataFrame([("1", "x")], "idx string, examples string"))
+    with pytest.raises(ValueError, match="1 of 2"):
+        results.fail_on_missing(attached)
+    assert results.fail_on_missing(attached.where("idx = '1'")) == 1
+
+
+def test_strict_ranges(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"x":0}\n{"x":1}\nbad\n{"x":3}\n')
+    with pytest.raises(Exception, match="malformed line 2"):
+        spec.read_lines(spark, f"{tmp_path}/a.jsonl", "x int", 1, 4).collect()
+    assert [r.x for r in spec.read_lines(spark, f"{tmp_path}/a.jsonl", "x int", 0, 2).collect()] == [0, 1]
+    with pytest.raises(Exception, match="required"):
+        spec.require_columns(spark.createDataFrame([(None,)], "x int"), ["x"]).collect()
+    (tmp_path / "doc.json").write_text('{\n"a": [1,\n2]}')
+    assert spec.read_json_document(spark, f"{tmp_path}/doc.json").first().a == [1, 2]
+
+
+def test_nulls_are_written(spark, tmp_path):
+    spec.write_spec(spark.createDataFrame([("a", None)], "x string, y string").coalesce(1), f"jsonl:{tmp_path}/n")
+    assert '"y":null' in "".join(p.read_text() for p in (tmp_path / "n").glob("part*"))
+
+
+def test_steps(spark, tmp_path):
+    out = f"{tmp_path}/step"
+    spec.start_step(spark, out)
+    spec.write_document(spark, f"{out}/config.json", {"n": 1})
+    with pytest.raises(FileExistsError):
+        spec.start_step(spark, out)
+    assert (tmp_path / "step" / "config.json").read_text() == '{\n  "n": 1\n}'
+    spec.start_step(spark, out, force=True)
+    with pytest.raises(FileNotFoundError):
+        spec.read_step(spark, f"{out}/result", "x int")
+    with pytest.raises(ValueError):
+        spec.log_table(spark, f"{out}/t", 1, "t", [["a"], ["b", "c"]])
+    (tmp_path / "s" / "sub").mkdir(parents=True)
+    (tmp_path / "s" / "sub" / "one.py").write_text("print(1)")
+    assert [tuple(r) for r in spec.read_scripts(spark, f"{tmp_path}/s").collect()] == [("sub/one", "print(1)")]
+    parts = spark.createDataFrame([(1, "train"), (2, "test")], "k int, split string")
+    spec.write_split(parts, f"{tmp_path}/parts")
+    assert spec.read_split(spark, f"{tmp_path}/parts", "test", ["k"]).collect() == [(2,)]
+
+
+def test_code_blocks():
+    found = lambda t, **o: code_blocks.code_blocks(t, **o)
+    assert found("") == ([], 0) and found("x = 1") == ([], 5)
+    assert found("x = 1\n\ny = (\n\nz = 2\n</think>\nend") == ([("x = 1", 0), ("z = 2", 14)], 29)
+    assert found(f"{FENCE}py\nx = 1\n{FENCE}\n\nplain words") == ([("x = 1\n", 0)], len(f"{FENCE}py\nx = 1\n{FENCE}\n\nplain words"))
+    long_ = "a" * 120
+    assert found(f"{long_}\n\n# {long_}\n\n") == ([(f"# {long_}", 122)], 246)
+
+
+def test_generation_failures(spark):
+    prompts = spark.createDataFrame([(str(i), f"p{i}") for i in range(6)], "idx string, prompt string").coalesce(1)
+
+    def broken(prompts, n, **_):
+        if "p3" in prompts:
+            raise ValueError("no")
+        return [[p] * n for p in prompts]
+
+    got = generate.generate(prompts, broken, 2, batch=2).collect()
+    assert {(r.idx, r.sample_idx) for r in got} == {(str(i), k) for i in range(6) for k in range(2)}
+    assert {r.idx for r in got if r.error} == {"2", "3"} and all((r.response is None) == (r.error is not None) for r in got)
+
+    async def ask(prompt, **_):
+        if prompt == "p1":
+            raise OSError
+        return prompt + "!"
+
+    assert [(r.response, r.error) for r in generate.generate(prompts, generate.per_request(ask, 2), 1).collect()] == [(None, "request failed") if i == 1 else (f"p{i}!", None) for i in range(6)]
+
+
+def test_packing_with_masks(spark):
+    df = spark.createDataFrame([(0, [1, 2, 3], [0, 0, 1]), (1, [4, 5, 6, 7, 8], [0, 1, 1, 1, 1]), (2, [], [])], "k int, tokens array<bigint>, prompt_mask array<bigint>")
+    got = packing.pack(df, 4, 9, "k", masks={"prompt_mask": 1}).orderBy("row").collect()
+    assert [(r.input_ids, r.prompt_mask) for r in got] == [([1, 2, 3, 9], [0, 0, 1, 1]), ([4, 5, 6, 7], [0, 1, 1, 1]), ([8, 9], [1, 1])]
+
+
+def test_text_rules(spark):
+    row = spark.createDataFrame([("<think>\n\n a", " <think>x", "x\u3000\x1f \n", f"{FENCE}c++\nint x;\n{FENCE}")], "a string, b string, c string, d string")
+    got = row.select(T.strip_open_think(F.col("a")), T.strip_open_think(F.col("b")), T.rstrip(F.col("c")), T.first_block(F.col("d"), "c++")).first()
+    assert tuple(got) == ("\n a", " <think>x", "x", "int x;\n")
+    assert T.looks_like_io_answer is not None
+    with pytest.raises(Exception, match="MALFORMED"):
+        row.select(T.parsed(F.lit("{x"), strict=True)).collect()
+
+
+def test_commands_from_the_shell(spark, tmp_path, capsys):
+    from benchloom import commands
+
+    spark.createDataFrame([("1", "Say 1"), ("2", "refuse")], "idx string, prompt string").write.json(f"{tmp_path}/made/result")
+    commands.main(["generate", f"{tmp_path}/made", f"{tmp_path}/said", "--n", "2"])
+    commands.main(["extract-answers", f"{tmp_path}/said", f"{tmp_path}/answers"])
+    spark.createDataFrame([("1", [("", "5")])], "idx string, test_cases array<struct<input:string,output:string>>").write.json(f"{tmp_path}/tests")
+    commands.main(["verify-answers", f"{tmp_path}/answers", f"jsonl:{tmp_path}/tests", f"{tmp_path}/v", "python", "--keep-worker"])
+    commands.main(["describe-verify-results", f"{tmp_path}/v"])
+    assert "50.00%" in capsys.readouterr().out
+    with pytest.raises(FileExistsError):
+        commands.main(["extract-answers", f"{tmp_path}/said", f"{tmp_path}/answers"])
