@@ -8,6 +8,8 @@ document that share an anchor, with the bytes they cover, is a context of under
 1. Anchors that stand once in the whole corpus are dropped: no window over them repeats.
 2. Equal contexts (128 bits of hash) need only the smallest id among them.
 3. Where contexts differ around the same anchor, one document for each context sends its bytes.
+   An anchor with over HOT contexts is split: half of the bytes that a window has besides its anchor, on
+   its right or left, join the key, and the pieces go to shards of their own.
    Windows whose hash stands alone are trimmed off. A shard builds the suffix array of them by grouping (suffix_groups.py); suffixes that begin with
    the same `length` bytes are neighbours in it, and the smallest id among them decides.
 
@@ -37,7 +39,9 @@ SLICE = 1 << 14
 POS_BITS = 15
 SUFFIX_BYTES = 1 << 16
 #: Bytes of contexts whose windows are hashed at a time; hashing takes some 80 bytes for each of them.
-CONTEXT_BYTES = 1 << 20
+CONTEXT_BYTES = 1 << 18
+#: Distinct contexts of an anchor beyond which they are split by their neighbours.
+HOT = 256
 LAST = np.iinfo(np.int64).max
 
 
@@ -63,16 +67,17 @@ def least_of(sums: np.ndarray, m: int, gram: int, span: int) -> np.ndarray:
 
 
 def contexts(data, offsets, length: int, gram: int):
-    """Runs of windows that share an anchor: first and last start, hash of anchor and of context."""
+    """Runs of windows that share an anchor: first and last start, hash of anchor and of context, and the anchor's distance from first."""
     n = len(data) - length + 1
     span = length - gram + 1
-    found = [[], [], [], []]
+    found = [[], [], [], [], []]
     if n > 0:
         edge = np.zeros(len(data) + 1, np.int32)
         low = np.maximum(offsets[:-1], offsets[1:] - (length - 1))
         np.add.at(edge, low, 1)
         np.add.at(edge, offsets[1:], -1)
-        valid = np.cumsum(edge[:-1], dtype=np.int32) == 0
+        valid = np.cumsum(edge[:-1], out=edge[:-1]) == 0
+        del edge
         for a in range(0, n, SLICE):
             lo, b = max(0, a - 1), min(n, a + SLICE)
             hi = min(n, b + span + 1)
@@ -94,12 +99,44 @@ def contexts(data, offsets, length: int, gram: int):
             whole = H.spans(sums, s, e + length)
             anchor = at[s].astype(np.int64)
             left = (anchor - s).astype(np.uint64) << np.uint64(8) | (e - s).astype(np.uint64)
-            for out, x in zip(found, (s + lo, e + lo, H.spans(sums, anchor, anchor + gram), H.mixed(whole ^ H.mixed(left + np.uint64(11))))):
+            for out, x in zip(found, (s + lo, e + lo, H.spans(sums, anchor, anchor + gram), H.mixed(whole ^ H.mixed(left + np.uint64(11))), (anchor - s).astype(np.uint8))):
                 out.append(x)
-    kinds = (np.int64, np.int64, np.uint64, np.uint64)
+    kinds = (np.int64, np.int64, np.uint64, np.uint64, np.uint8)
     return [np.concatenate(x) if x else np.empty(0, k) for x, k in zip(found, kinds)]
 
 
+def pieces(data, first, last, off, g, hot, length: int, gram: int):
+    """What of each context is compared under which key: (context, key, windows skipped, windows).
+
+    An ordinary context is one piece under its anchor. A hot anchor's context becomes two: its windows
+    have half of a window's free bytes or more on the right of the anchor, or else on the left, and that
+    half is added to the key. Equal windows have their anchor at the same place, so they meet again.
+    """
+    free = length - gram
+    half = free // 2
+    whole, split = np.flatnonzero(~hot), np.flatnonzero(hot)
+    count = last - first + 1
+    out = [(whole, g[whole], np.zeros(len(whole), np.int64), count[whole])]
+    if len(split):
+        o = off[split].astype(np.int64)
+        anchor = first[split] + o
+        skipped = np.maximum(0, o - (free - half))
+        weights = H.noise(half, 21) | np.uint64(1)
+        for side, keep, begin, windows, start in ((1, skipped < count[split], skipped, count[split] - skipped, anchor + gram), (2, skipped > 0, np.zeros(len(o), np.int64), np.minimum(skipped, count[split]), anchor - half)):
+            at = np.flatnonzero(keep)
+            near = H.BYTE_NOISE[data[start[at][:, None] + np.arange(half)]] * weights
+            key = H.mixed(g[split[at]] ^ H.mixed(near.sum(axis=1, dtype=np.uint64) + np.uint64(side)))
+            out.append((split[at], key, begin[at], windows[at]))
+    return [np.concatenate(x) for x in zip(*out)]
+
+
+def counted(flags: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """How many flags stand before each place, and in all; in out, an int32 array one longer than flags."""
+    out[0] = 0
+    np.cumsum(flags, out=out[1:])
+    return out
+
+
 def shared_windows(text: np.ndarray, offsets: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
     """Which starts in the joined texts begin `length` bytes that also start in one with a smaller id."""
     n = len(offsets) - 1
@@ -211,14 +248,14 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     def repeated_runs(t, said):
         """The bundle and its runs over repeated anchors, with distinct contexts in a fixed order."""
         data, offsets, ids, rows = C.texts_of(t)
-        first, last, g, c = contexts(data, offsets, length, gram)
+        first, last, g, c, off = contexts(data, offsets, length, gram)
         shard, _, place = anchors_of(g)
         keep = C.answered(said, shard)[place]
-        first, last, g, c = first[keep], last[keep], g[keep], c[keep]
+        first, last, g, c, off = first[keep], last[keep], g[keep], c[keep], off[keep]
         _, example, place = np.unique(c, return_index=True, return_inverse=True)
         id_of = np.array([LAST if i is None else i for i in ids], np.int64)
         run_id = id_of[np.searchsorted(offsets, first, side="right") - 1]
-        return data, offsets, (ids, rows), first, last, g[example], c[example], example, place, run_id
+        return data, offsets, (ids, rows), first, last, off, g[example], c[example], example, place, run_id
 
     def ask_contexts(t, said):
         if not t.num_rows:
@@ -237,7 +274,7 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         kinds = np.bincount(np.cumsum(new_g) - 1, weights=new_c)[np.cumsum(new_g) - 1]
         answer = np.empty(len(g), np.uint8)
         later = ids[order] > least
-        answer[order] = later | (np.uint8(2) * (~later & (kinds >= 2)))
+        answer[order] = later | (np.uint8(2) * (~later & (kinds >= 2))) | (np.uint8(4) * (kinds > HOT))
         return C.answers_table(t["shard"][0].as_py(), bundles, sizes, answer)
 
     def parts(said):
@@ -250,11 +287,14 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not t.num_rows:
             return C.asks_table(0, np.empty(0, np.int64), *none)
         said = parts(said)
-        data, _, _, first, last, g, _, example, _, run_id = repeated_runs(t, said[0])
-        open_ = C.answered(said[1], shard_of(g), np.uint8) & 2 > 0
-        g, run = g[open_], example[open_]
-        size = last[run] - first[run] + length
-        body = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)[first[run]]
+        data, _, _, first, last, off, g, _, example, _, run_id = repeated_runs(t, said[0])
+        answer = C.answered(said[1], shard_of(g), np.uint8)
+        open_ = answer & 2 > 0
+        run = example[open_]
+        of, g, begin, windows = pieces(data, first[run], last[run], off[run], g[open_], answer[open_] & 4 > 0, length, gram)
+        run = run[of]
+        size = windows + length - 1
+        body = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)[first[run] + begin]
         body[np.arange(width)[None, :] >= size[:, None]] = 0
         flat = np.ascontiguousarray(body).view(f"V{width}").ravel()
         return C.asks_table(t["bundle"][0].as_py(), shard_of(g), g, size.astype(np.uint8), run_id[run], flat)
@@ -273,11 +313,12 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         if not t.num_rows:
             return schema.empty_table()
         said = parts(said)
-        data, offsets, (ids, rows), first, last, g, _, example, place, run_id = repeated_runs(t, said[0])
-        shard = shard_of(g)
-        answer = C.answered(said[1], shard, np.uint8)
-        bits, open_ = np.zeros(len(g), np.uint64), answer & 2 > 0
-        bits[open_] = C.answered(said[2], shard[open_], np.uint64)
+        data, offsets, (ids, rows), first, last, off, g, _, example, place, run_id = repeated_runs(t, said[0])
+        answer = C.answered(said[1], shard_of(g), np.uint8)
+        bits, open_ = np.zeros(len(g), np.uint64), np.flatnonzero(answer & 2)
+        run = example[open_]
+        of, key, begin, _ = pieces(data, first[run], last[run], off[run], g[open_], answer[open_] & 4 > 0, length, gram)
+        np.bitwise_or.at(bits, open_[of], C.answered(said[2], shard_of(key), np.uint64) << begin.astype(np.uint64))
         whole = (answer[place] & 1 > 0) | (run_id > run_id[example][place])
         step = np.zeros(len(data) + 1, np.int32)
         np.add.at(step, first[whole], 1)
@@ -287,17 +328,17 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             at = first[part[bits[place[part]] >> np.uint64(k) & np.uint64(1) > 0]] + k
             np.add.at(step, at, 1)
             np.add.at(step, at + length, -1)
-        gone = np.cumsum(step[:-1], dtype=np.int32) > 0
+        gone = np.cumsum(step[:-1], out=step[:-1]) > 0
         n = len(ids)
-        before = np.concatenate([[0], np.cumsum(gone)])
+        before = counted(gone, step)  # step's place serves again
         removed = np.diff(before[offsets])
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         inner = offsets[:-1][offsets[:-1] < len(data)]
         begins[inner] = gone[inner]
-        spans = np.diff(np.concatenate([[0], np.cumsum(begins)])[offsets])
-        kept = data[~gone]
         at = offsets - before[offsets]
+        spans = np.diff(counted(begins, step)[offsets])
+        kept = data[~gone]
         texts = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(kept)])
         return pa.table([pa.array(ids, pa.int64()), texts, *(pa.array(x, pa.int64()) for x in (np.diff(offsets), removed, spans)), *(rows[f"keep_{i}"] for i in range(len(keep)))], schema=schema)
 

@@ -64,20 +64,31 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         else:
             pointers: dict[int, int] = {}
             for i in held[g:top]:
-                if before[i] == -2:
-                    # on the way down a member of this group may have to be settled first
-                    waiting, j = [i], i - 1
-                    while waiting:
-                        while j >= 0 and group[j] >= g and before[j] != -2:
-                            j = before[j]
-                        if j >= 0 and group[j] >= g:
-                            waiting.append(j)
-                            j -= 1
-                        else:
-                            i = waiting.pop()
-                            before[i] = j
-                            if j >= 0:
-                                pointers[j] = pointers.get(j, 0) + 1
+                if before[i] != -2:
+                    continue
+                j = i - 1
+                while j >= 0 and group[j] >= g:
+                    k = before[j]
+                    if k == -2:
+                        break
+                    j = k
+                else:
+                    before[i] = j
+                    if j >= 0:
+                        pointers[j] = pointers.get(j, 0) + 1
+                    continue
+                # members of this group on the way down are settled first
+                waiting = [i]
+                while waiting:
+                    while j >= 0 and group[j] >= g and before[j] != -2:
+                        j = before[j]
+                    if j >= 0 and group[j] >= g:
+                        waiting.append(j)
+                        j -= 1
+                    else:
+                        before[waiting.pop()] = j
+                        if j >= 0:
+                            pointers[j] = pointers.get(j, 0) + 1
             if len(pointers) == 1:
                 (j,) = pointers
                 h = group[j]

@@ -96,8 +96,9 @@ def brute_suffixes(rows, length):
     return out
 
 
-def test_suffix_dedup(docs, empty):
-    for length, gram in ((50, 24), (12, 4)):
+def test_suffix_dedup(docs, empty, monkeypatch):
+    for length, gram, hot in ((50, 24, 256), (12, 4, 256), (50, 24, 0), (12, 4, 0), (13, 4, 2)):
+        monkeypatch.setattr(suffix_dedup, "HOT", hot)
         got = suffix_dedup.dedup_suffixes(docs, length=length, gram=gram).collect()
         same([(r.doc_id, bytes(r.kept_text), r.n_bytes, r.n_removed, r.n_spans) for r in got], brute_suffixes(data(docs), length))
     assert suffix_dedup.dedup_suffixes(empty).count() == 0
@@ -106,11 +107,11 @@ def test_suffix_dedup(docs, empty):
 def test_anchors_do_not_depend_on_the_slice():
     text = np.random.default_rng(2).integers(0, 256, 16 * suffix_dedup.SLICE, dtype=np.uint8)
     found = lambda a, b: suffix_dedup.contexts(text[a:b], np.array([0, b - a]), 50, 24)
-    at, _, anchor, whole = found(0, len(text))
+    at, _, anchor, whole, _ = found(0, len(text))
     want = dict(zip(at.tolist(), zip(anchor.tolist(), whole.tolist())))
     # short pieces are last slices; runs cut off by a piece's ends aside, they must be those of the whole text
     for a in range(0, len(text), 700):
-        first, last, anchor, whole = found(a, min(a + 700, len(text)))
+        first, last, anchor, whole, _ = found(a, min(a + 700, len(text)))
         for s, g, c in list(zip((first + a).tolist(), anchor.tolist(), whole.tolist()))[1:-1]:
             assert want[s] == (g, c)
 
