@@ -38,10 +38,10 @@ SLICE = 1 << 14
 #: Low bits of an anchor's key that hold its place; the same in all slices, so that ties are cut alike.
 POS_BITS = 15
 SUFFIX_BYTES = 1 << 16
-#: Bytes of contexts whose windows are hashed at a time; hashing takes some 80 bytes for each of them.
-CONTEXT_BYTES = 1 << 18
 #: Distinct contexts of an anchor beyond which they are split by their neighbours.
 HOT = 256
+#: Places of windows that a hot anchor's contexts are compared at together.
+STRIP = 3
 LAST = np.iinfo(np.int64).max
 
 
@@ -178,19 +178,69 @@ def likely_windows(text: np.ndarray, offsets: np.ndarray, length: int) -> tuple[
     return first, last
 
 
-def compare_contexts(anchor, length_of, ids, body, length: int) -> np.ndarray:
+def compare_contexts(anchor, length_of, ids, body, at, length: int) -> np.ndarray:
     """A bit for each window start of each context: does a smaller id hold the window, too.
 
-    Contexts of an anchor go into the same suffix array, those of many anchors share one.
+    Contexts of an anchor go into the same suffix array, those of many anchors share one. at: where the
+    anchor stands in each context; an anchor of more than SUFFIX_BYTES is compared in strips.
     """
     out = np.zeros(len(anchor), np.uint64)
     order = np.argsort(anchor, kind="stable")
-    for a, b in whole_anchors(anchor[order], length_of[order].astype(np.int64), CONTEXT_BYTES):
+    for a, b in whole_anchors(anchor[order], length_of[order].astype(np.int64), SUFFIX_BYTES):
         part = order[a:b]
+        last = part[anchor[part] == anchor[part[-1]]]  # a slice ends with the anchor that filled it
+        if int(length_of[last].sum()) > SUFFIX_BYTES:
+            out[last] = compare_strips(length_of[last].astype(np.int64), ids[last], body[last], at[last].astype(np.int64), length)
+            part = part[: len(part) - len(last)]
         out[part] = compare_some(anchor[part], length_of[part].astype(np.int64), ids[part], body[part], length)
     return out
 
 
+def compare_strips(length_of, ids, body, at, length: int) -> np.ndarray:
+    """compare_contexts() of one anchor's contexts, STRIP places of windows at a time.
+
+    All windows of a strip have the strip's middle in them, so only contexts of equal middles are compared;
+    equal pieces of a strip go into the array once, with their smallest id.
+    """
+    out = np.zeros(len(at), np.uint64)
+    count = length_of - length + 1
+    wide = length + STRIP - 1
+    padded = np.concatenate([np.zeros((len(body), wide), np.uint8), body, np.zeros((len(body), wide), np.uint8)], axis=1)
+    # window j of a context lies at - j bytes before its anchor; a strip has the places [low, low + STRIP) of these
+    for low in range(int((at - count + 1).min()), int(at.max()) + 1, STRIP):
+        first = np.maximum(0, at - low - (STRIP - 1))
+        last = np.minimum(count - 1, at - low)
+        some = np.flatnonzero(first <= last)
+        if len(some) < 2:
+            continue
+        begin = at[some] - low - (STRIP - 1) + wide
+        strip = padded[some[:, None], begin[:, None] + np.arange(wide)]
+        skip = first[some] + wide - begin
+        inside = (np.arange(wide) >= skip[:, None]) & (np.arange(wide) < (skip + last[some] - first[some] + length)[:, None])
+        strip[~inside] = 0
+        middle = np.ascontiguousarray(strip[:, STRIP - 1 : length]).view(f"V{length - STRIP + 1}").ravel()
+        _, kind, many = np.unique(middle, return_inverse=True, return_counts=True)
+        shape = np.concatenate([strip, skip[:, None].astype(np.uint8), (last - first)[some][:, None].astype(np.uint8)], axis=1)
+        _, same = np.unique(np.ascontiguousarray(shape).view(f"V{wide + 2}").ravel(), return_inverse=True)
+        # of equal pieces the one with the smallest id stands for all
+        order = np.lexsort((ids[some], same))
+        lead = order[np.append(True, same[order][1:] != same[order][:-1])]
+        bits = np.zeros(len(lead), np.uint64)
+        kept = lead[many[kind[lead]] > 1]
+        kept = kept[np.argsort(kind[kept], kind="stable")]
+        sizes = (last - first)[some[kept]] + length
+        for a, b in whole_anchors(kind[kept], sizes, SUFFIX_BYTES):
+            part, size = kept[a:b], sizes[a:b]
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            where = np.flatnonzero(shared_windows(strip[part][inside[part]], offsets, ids[some[part]], length))
+            of = np.searchsorted(offsets, where, side="right") - 1
+            np.bitwise_or.at(bits, same[part[of]], np.uint64(1) << (where - offsets[of]).astype(np.uint64))
+        every = (np.uint64(1) << (last - first + 1)[some].astype(np.uint64)) - np.uint64(1)
+        found = np.where(ids[some] > ids[some[lead]][same], every, bits[same])
+        out[some] |= found << first[some].astype(np.uint64)
+    return out
+
+
 def whole_anchors(anchor: np.ndarray, sizes: np.ndarray, most: int):
     """Slices of sorted contexts that end between anchors, of about `most` bytes."""
     if not len(anchor):
@@ -283,7 +333,7 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return [said.filter(pc.equal(said["step"], k)) for k in range(3)]
 
     def ask_bytes(t, said):
-        none = [np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, f"V{width}")]
+        none = [np.empty(0, np.uint64), np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, f"V{width}"), np.empty(0, np.uint8)]
         if not t.num_rows:
             return C.asks_table(0, np.empty(0, np.int64), *none)
         said = parts(said)
@@ -297,12 +347,12 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         body = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)[first[run] + begin]
         body[np.arange(width)[None, :] >= size[:, None]] = 0
         flat = np.ascontiguousarray(body).view(f"V{width}").ravel()
-        return C.asks_table(t["bundle"][0].as_py(), shard_of(g), g, size.astype(np.uint8), run_id[run], flat)
+        return C.asks_table(t["bundle"][0].as_py(), shard_of(g), g, size.astype(np.uint8), run_id[run], flat, (off[run] - begin).astype(np.uint8))
 
     def compare_bytes(t):
-        bundles, sizes, (g, size, ids, flat) = C.gathered(t, np.uint64, np.uint8, np.int64, f"V{width}")
+        bundles, sizes, (g, size, ids, flat, at) = C.gathered(t, np.uint64, np.uint8, np.int64, f"V{width}", np.uint8)
         body = flat.view(np.uint8).reshape(len(flat), width)
-        return C.answers_table(t["shard"][0].as_py(), bundles, sizes, compare_contexts(g, size, ids, body, length))
+        return C.answers_table(t["shard"][0].as_py(), bundles, sizes, compare_contexts(g, size, ids, body, at, length))
 
     def finish(t, said):
         import pyarrow as pa
@@ -346,7 +396,7 @@ def dedup_suffixes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     known = by.applyInArrow(C.lean(ask_anchors), C.ASKS + "k0 binary").groupBy("shard").applyInArrow(C.lean(count_anchors), C.ANSWERS)
     same = by.cogroup(known.groupBy("bundle")).applyInArrow(C.lean(ask_contexts), C.ASKS + "k0 binary, k1 binary, k2 binary").groupBy("shard").applyInArrow(C.lean(compare_ids), C.ANSWERS)
     said = known.withColumn("step", F.lit(0)).unionByName(same.withColumn("step", F.lit(1)))
-    differ = by.cogroup(said.groupBy("bundle")).applyInArrow(C.lean(ask_bytes), C.ASKS + "k0 binary, k1 binary, k2 binary, k3 binary").groupBy("shard").applyInArrow(C.lean(compare_bytes), C.ANSWERS)
+    differ = by.cogroup(said.groupBy("bundle")).applyInArrow(C.lean(ask_bytes), C.ASKS + "k0 binary, k1 binary, k2 binary, k3 binary, k4 binary").groupBy("shard").applyInArrow(C.lean(compare_bytes), C.ANSWERS)
     said = said.unionByName(differ.withColumn("step", F.lit(2)))
     columns = "".join(f", keep_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     out = by.cogroup(said.groupBy("bundle")).applyInArrow(C.lean(finish), "doc_id long, kept_text binary, n_bytes long, n_removed long, n_spans long" + columns)

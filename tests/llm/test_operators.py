@@ -97,8 +97,9 @@ def brute_suffixes(rows, length):
 
 
 def test_suffix_dedup(docs, empty, monkeypatch):
-    for length, gram, hot in ((50, 24, 256), (12, 4, 256), (50, 24, 0), (12, 4, 0), (13, 4, 2)):
+    for length, gram, hot, most in ((50, 24, 256, 1 << 16), (12, 4, 256, 1 << 16), (50, 24, 0, 1 << 16), (12, 4, 0, 90), (13, 4, 2, 40), (50, 24, 256, 10), (12, 4, 256, 200)):
         monkeypatch.setattr(suffix_dedup, "HOT", hot)
+        monkeypatch.setattr(suffix_dedup, "SUFFIX_BYTES", most)
         got = suffix_dedup.dedup_suffixes(docs, length=length, gram=gram).collect()
         same([(r.doc_id, bytes(r.kept_text), r.n_bytes, r.n_removed, r.n_spans) for r in got], brute_suffixes(data(docs), length))
     assert suffix_dedup.dedup_suffixes(empty).count() == 0
