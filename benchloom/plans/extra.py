@@ -14,7 +14,7 @@ from benchloom.functions import code_blocks
 from benchloom.functions import prompts as P
 from benchloom.functions import text as T
 from benchloom.operators import curate, generate, harness, languages, packing, results, runner
-from benchloom.plans.catalog import BT, LANGS, query
+from benchloom.plans.catalog import _POOL, _TEST, _TRAIN, _VAL, query
 from benchloom.plans.views import table, view
 from benchloom.schemas import EXAMPLE
 from benchloom.sources import spec
@@ -58,14 +58,14 @@ def subset_check(spark, d):
     return curate.is_subset(table(spark, d, "labels"), table(spark, d, "documents"), "doc_id")
 
 
-@query("SELECT 0 AS n_shared, 100 AS n")
+@query(f"WITH {_POOL}, {_TEST}, {_VAL}, {_TRAIN}, u AS (SELECT doc_id FROM t UNION ALL SELECT doc_id FROM v UNION ALL SELECT doc_id FROM n) SELECT CAST(count(*) - count(DISTINCT doc_id) AS BIGINT) AS n_shared, count(*) AS n FROM u")
 def split_disjointness(spark, d):
     """The invariant of the splits: no document stands in two of them."""
     from benchloom.plans import catalog as K
 
     parts = [K.QUERIES[f"split_{n}"](spark, d).select("doc_id", F.lit(n).alias("split")) for n in ("test", "validation", "train")]
     every = curate.shared_table(parts[0].unionByName(parts[1]).unionByName(parts[2]), "splits")
-    return every.groupBy("doc_id").count().agg(F.count_if(F.col("count") > 1).cast("int").alias("n_shared"), F.least(F.lit(100), F.sum("count")).cast("int").alias("n"))
+    return every.groupBy("doc_id").count().agg(F.sum(F.col("count") - 1).alias("n_shared"), F.sum("count").alias("n"))
 
 
 @query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY md5('7:' || CAST(o_orderkey AS VARCHAR)), o_orderkey) - 1 AS BIGINT) AS position FROM orders")
@@ -206,11 +206,11 @@ def falsy_defaults(spark, d):
 # --- training arithmetic
 
 
-@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * label)), 6) AS total, round(CAST(embedding[1] AS DOUBLE) * label, 6) AS first FROM embeddings WHERE label IS NOT NULL")
+@query("SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * label)), 6) + 0.0 AS total, round(CAST(embedding[1] AS DOUBLE) * label, 6) + 0.0 AS first FROM embeddings WHERE label IS NOT NULL")
 def advantage_product(spark, d):
     s = A.scaled(F.col("embedding").cast("array<double>"), F.col("label").cast("double"))
     e = table(spark, d, "embeddings").where("label IS NOT NULL").select("vec_id", s.alias("s"))
-    return e.select("vec_id", F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.get("s", F.lit(0)), 6).alias("first"))
+    return e.select("vec_id", (F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 6) + 0.0).alias("total"), (F.round(F.get("s", F.lit(0)), 6) + 0.0).alias("first"))
 
 
 @query("SELECT label, round(-avg(m) / 8, 6) AS loss FROM (SELECT label, list_sum(list_transform(generate_series(1, len(embedding)), lambda i: CASE WHEN i % 2 = 0 THEN CAST(embedding[i] AS DOUBLE) ELSE 0 END)) / (len(embedding) // 2) AS m FROM embeddings) GROUP BY label")
