@@ -198,7 +198,7 @@ class ByteNetwork:
         for a in range(0, len(doc), BLOCK):
             d, b, s = doc[a : a + BLOCK], begin[a : a + BLOCK], size[a : a + BLOCK]
             inside = step[None, :] < s[:, None]
-            x = np.where(inside, data[np.minimum(b[:, None] + step, len(data) - 1)], PAD).astype(np.int64)
+            x = np.where(inside, data[np.minimum(b[:, None] + step, len(data) - 1)].astype(np.int64), PAD)  # PAD is no byte
             p = self.position_probabilities(x)
             real = inside.T.astype(np.float32)
             for k in range(len(p)):

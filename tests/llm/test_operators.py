@@ -200,6 +200,38 @@ def test_network_layouts_agree():
     assert np.allclose(net.position_probabilities(x), p.transpose(2, 0, 1), atol=1e-5)
 
 
+def plain_probabilities(net, text):
+    """One text, one window, one direction and one byte at a time, in double precision."""
+    n, w = net.hidden, {k: v.astype(np.float64) for k, v in net.w.items()}
+    total = np.zeros(len(net.labels))
+    for at in range(0, len(text), language_id.WINDOW):
+        x = list(text[at : at + language_id.WINDOW])
+        real = len(x)
+        x += [language_id.PAD] * (language_id.WINDOW - real)
+        logits = np.zeros((len(x), len(net.labels))) + w["c"]
+        for d in range(2):
+            h = np.zeros(n)
+            for t in range(len(x)) if d == 0 else range(len(x) - 1, -1, -1):
+                e, u = w["E"][d][x[t]], w["U"][d]
+                z, r = 1 / (1 + np.exp(-(h @ u[:, :n] + e[:n]))), 1 / (1 + np.exp(-(h @ u[:, n : 2 * n] + e[n : 2 * n])))
+                h = h + z * (np.tanh((r * h) @ u[:, 2 * n :] + e[2 * n :]) - h)
+                logits[t] += h @ w["V"][d]
+        p = np.exp(logits - logits.max(axis=1, keepdims=True))
+        total += (p / p.sum(axis=1, keepdims=True))[:real].sum(axis=0)
+    return total / max(1, len(text))
+
+
+def test_predictions_against_a_plain_network(spark, docs):
+    """Every prediction and score of op1's operator, by brute force."""
+    net = language_id.ByteNetwork(["a", "b", "c"], hidden=5)
+    for r in language_id.identify(docs, net).collect():
+        if not re.search(r"[^\W\d_]", r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        p = plain_probabilities(net, r.text.encode())
+        assert abs(r.score - p.max()) < 1e-4 and p[net.labels.index(r.lang_pred)] > p.max() - 1e-4, r.text[:80]
+
+
 def test_language_id(spark, docs, empty):
     held = docs.select("doc_id", language_id.held_out("doc_id").alias("h")).collect()
     assert all(r.h == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in held)
