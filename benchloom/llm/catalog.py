@@ -1,6 +1,6 @@
 """The queries of the llm operators and their oracle SQL (DuckDB)."""
 
-from . import chat_format, decontamination, embedding_dedup, language_id, license_scan, mixing, simhash, substring_dedup, suffix_dedup, url_filter
+from . import chat_format, decontamination, embedding_dedup, language_id, license_scan, merkle, mixing, simhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_embedding_dedup": embedding_dedup.op8_embedding_dedup,
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 #: A trained network and XXH64 have no SQL form here: operators 1 and 5 are tested against brute force.
@@ -25,4 +26,5 @@ ORACLE_SQL = {
     "op8_embedding_dedup": embedding_dedup.ORACLE,
     "op9_chat_format": chat_format.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
