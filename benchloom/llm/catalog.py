@@ -1,6 +1,6 @@
 """The queries of the llm operators and their oracle SQL (DuckDB)."""
 
-from . import chat_format, decontamination, embedding_dedup, language_id, license_scan, merkle, mixing, simhash, substring_dedup, suffix_dedup, url_filter
+from . import chat_format, decontamination, embedding_dedup, language_id, license_scan, merkle, mixing, overlap_join, packing, simhash, substring_dedup, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -14,9 +14,11 @@ QUERIES = {
     "op9_chat_format": chat_format.op9_chat_format,
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_overlap_join": overlap_join.op12_overlap_join,
+    "op13_packing": packing.op13_packing,
 }
 
-#: A trained network and XXH64 have no SQL form here: operators 1 and 5 are tested against brute force.
+#: A trained network, XXH64 and a tokenizer have no SQL form here: operators 1, 5 and 13 are tested against brute force.
 ORACLE_SQL = {
     "op2_url_filter": url_filter.ORACLE,
     "op3_substring_dedup": substring_dedup.ORACLE,
@@ -27,4 +29,5 @@ ORACLE_SQL = {
     "op9_chat_format": chat_format.ORACLE,
     "op10_decontamination": decontamination.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_overlap_join": overlap_join.ORACLE,
 }

@@ -23,6 +23,12 @@ LEAST_SHARDS = 12
 #: Rows of a few numbers each that may be broadcast: some 10 MB.
 BROADCAST_ROWS = 200_000
 
+#: For oracles: CRC-32 (polynomial 0xEDB88320) of an ASCII string {0} in DuckDB, bit by bit.
+CRC32 = (
+    "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT))),"
+    " lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) for z in range(8)]), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"
+)
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where it is unset, one of our own."""

@@ -203,15 +203,9 @@ def op11_merkle_manifest(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2("siblings", 256).alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
-#: CRC-32 (polynomial 0xEDB88320) of an ASCII string, bit by bit.
-CRC32 = (
-    "xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({0}, ''), lambda x: CAST(ascii(x) AS BIGINT))),"
-    " lambda a, b: list_reduce(list_prepend(xor(a, b), [CAST(0 AS BIGINT) for z in range(8)]), lambda c, k: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295)"
-)
-
 ORACLE = rf"""
 WITH RECURSIVE d AS (
-  SELECT *, row_number() OVER () AS rn, coalesce({CRC32.format("CAST(doc_id AS VARCHAR)")} % 7 = 0, false) AS bad,
+  SELECT *, row_number() OVER () AS rn, coalesce({C.CRC32.format("CAST(doc_id AS VARCHAR)")} % 7 = 0, false) AS bad,
          coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
          coalesce(strlen(text) || ':' || text, '-') AS tail
   FROM documents
