@@ -31,9 +31,11 @@ CRC32 = (
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; only where it is unset, one of our own."""
+    """The folder named by spark.checkpoint.dir; only a local session may do without and gets one of its own."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the cluster shares")
         path = "file://" + tempfile.mkdtemp(prefix="benchloom-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

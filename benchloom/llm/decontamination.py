@@ -29,6 +29,8 @@ WINDOW = 10
 GRAM = 5
 #: Bytes of benchmark windows, words and items' ids, that may be broadcast.
 BROADCAST_BYTES = 64 << 20
+#: Wanted fingerprints of a text that are searched at each of its places.
+SEARCHED = 64
 #: Numbers in the lists of suspects that may be broadcast.
 SUSPECT_NUMBERS = 1 << 20
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -63,8 +65,10 @@ def judged(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     items = benchmark.select(F.col(item).cast("string").alias("item"), words_of(F.col(item_text)).alias("words")).where(F.size("words") > 0)
     items = C.written(items, "benchmark-words")  # else each window would split its item's text anew
     n = F.size("words")
-    placed = _windows(items.where(n >= window), "words", window, gram).select("item", "words", F.posexplode("mins").alias("p", "fp"))
-    long_ = placed.select("fp", F.slice("words", F.col("p") + 1, window).alias("window"), "item")
+    # written before they are exploded: Spark would filter by the size of `mins`, and make all grams anew for each window
+    placed = F.transform("mins", lambda m, i: F.struct(m.alias("fp"), F.slice("words", i + 1, window).alias("window")))
+    placed = C.written(_windows(items.where(n >= window), "words", window, gram).select("item", placed.alias("placed")), "benchmark-places")
+    long_ = placed.select("item", F.explode("placed").alias("x")).select("x.*", "item")
     short = items.where(n < window).select(F.xxhash64("words").alias("fp"), F.col("words").alias("window"), "item")
     parts = C.written(long_.unionByName(short).groupBy("fp", "window").agg(F.collect_set("item").alias("items")), "benchmark-windows")
     bytes_ = F.octet_length(F.array_join("window", " ")) + F.octet_length(F.array_join("items", " ")) + 16 * F.size("window")
@@ -85,8 +89,9 @@ def judged(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str
     light = C.written(light, "texts")
     suspects = light.where(F.size("wanted") > 0).drop("n_words")
     few = (suspects.agg(F.sum(F.size("wanted") + 2)).first()[0] or 0) <= SUSPECT_NUMBERS
-    # only suspects' words are cut again
-    marked = read(texts.join(F.broadcast(suspects) if few else suspects, KEYS)).withColumn("places", F.filter(places, lambda x: F.array_contains("wanted", x["fp"])))
+    # only suspects' words are cut again; many wanted ones aren't searched at each place, all places go to the join
+    asked = F.when(F.size("wanted") <= SEARCHED, F.filter(places, lambda x: F.array_contains("wanted", x["fp"]))).otherwise(places)
+    marked = read(texts.join(F.broadcast(suspects) if few else suspects, KEYS)).withColumn("places", asked)
     cut = F.transform("places", lambda x: F.struct(x["fp"].alias("fp"), x["start"].alias("start"), x["size"].alias("size"), F.slice("words", x["start"] + 1, x["size"]).alias("window")))
     near = marked.select(*KEYS, F.explode(cut).alias("x")).select(*KEYS, "x.*")
     found = near.join(hint(parts), ["fp", "window"])

@@ -107,7 +107,7 @@ def build(leaves: DataFrame, name: str, fan: int = FAN, height: int = HEIGHT) ->
         base += height
         above = made[-1].where(F.col("level") == base).select(*TREE, "index", F.sha2("preimage", 256).alias("hash"))
         nodes = above.join(C.small(trees.select(*TREE, "depth")), TREE)
-    none = leaves.select(*TREE, F.lit(0).alias("level"), "index", F.col("hash").alias("preimage")).where(F.lit(False))
+    none = leaves.sparkSession.range(0).select(F.lit(True).alias("named"), F.lit("").alias("name"), F.lit(0).alias("level"), F.col("id").alias("index"), F.lit("").alias("preimage"))
     parents = functools.reduce(DataFrame.unionByName, made) if made else none
     tops = parents.select(*TREE, F.col("level").alias("depth"), F.sha2("preimage", 256).alias("top"), "index").where("index = 0").drop("index")
     return parents, trees.join(tops, [*TREE, "depth"], "left").select(*TREE, "size", "depth", F.coalesce("top", "lone").alias("top"))

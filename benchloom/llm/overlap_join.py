@@ -75,7 +75,7 @@ def sessions(clicks: DataFrame, client: str = "client_id", ts: str = "ts", open_
     cells = rows.groupBy("client", "cell").agg(F.min("first").alias("first"), F.max("last2").alias("last2"))
     in_span = _runs(cells.withColumn("span", floor_div(F.col("cell"), SPAN)).drop("cell"), ["client", "span"], gap)
     runs = _runs(in_span.drop("span"), ["client"], gap)
-    return runs.select("client", "first", F.shiftright("last2", 1).alias("last"), (F.col("last2") % 2 == 1).alias("open"))
+    return runs.select("client", "first", F.shiftright("last2", 1).alias("last"), (F.col("last2").bitwiseAND(1) == 1).alias("open"))
 
 
 def slots(first: Column, last: Column, is_open: Column, slot: int = SLOT) -> tuple[Column, Column]:

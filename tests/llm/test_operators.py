@@ -492,8 +492,35 @@ def test_decontamination(spark, docs, empty, monkeypatch):
     for most in (1 << 20, -1):
         monkeypatch.setattr(decontamination, "BROADCAST_BYTES", most)
         monkeypatch.setattr(decontamination, "SUSPECT_NUMBERS", most)
+        monkeypatch.setattr(decontamination, "SEARCHED", 64 if most > 0 else 1)
         got = decontamination.decontaminate(docs, bench).collect()
         same([(r.doc_id, r.n_words, r.n_hit, r["items"], r.contaminated) for r in got], want)
     assert decontamination.decontaminate(empty, bench).count() == 0
     assert decontamination.decontaminate(docs, bench.limit(0)).where("contaminated").count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_decontamination_of_long_items(spark):
+    """Items of 400 and 4,000 words, wholly inside documents; no filter makes the grams anew."""
+    rng = random.Random(9)
+    long_ = [" ".join(f"{rng.choice(VOCAB)}{rng.randrange(999)}" for _ in range(n)) for n in (400, 4000)]
+    bench = spark.createDataFrame(list(enumerate(long_)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"{'clean words ' * 50}{t}{' more' * 9}") for i, t in enumerate([*long_, long_[1][:3000], "nothing"])], "doc_id long, text string")
+    plans = []
+    seen = decontamination.C.written
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return seen(df, name)
+
+    decontamination.C.written = watched
+    try:
+        got = {r.doc_id: r for r in decontamination.decontaminate(docs, bench).collect()}
+    finally:
+        decontamination.C.written = seen
+    words = lambda t: len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t))
+    assert [got[i].n_hit for i in range(2)] == [words(t) for t in long_]
+    assert words(long_[1][:3000]) - 1 <= got[2].n_hit <= words(long_[1][:3000]) and not got[3].contaminated
+    assert [got[i]["items"] for i in range(4)] == [["0"], ["1"], ["1"], []]
+    filters = [line for plan in plans for line in plan.split("\n") if "Filter" in line]
+    assert filters and not any("xxhash64" in line for line in filters)  # no filter makes gram hashes
