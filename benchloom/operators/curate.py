@@ -136,10 +136,13 @@ def is_subset(part: DataFrame, whole: DataFrame, key: str) -> DataFrame:
     return part.select(key).distinct().join(whole.select(key), key, "left_anti").agg((F.count("*") == 0).alias("is_subset"), F.count("*").alias("n_missing"))
 
 
-def joined_by_position(left: DataFrame, right: DataFrame, left_by: list[str], right_by: list[str]) -> DataFrame:
-    """Rows of equal position; tables of different length are an error."""
+def joined_by_position(left: DataFrame, right: DataFrame, left_by: list[str], right_by: list[str], problem: str | None = None) -> DataFrame:
+    """Rows of equal position; tables of different length are an error, or reported in the column `problem`."""
     a, b = with_ordinal(left, left_by, "__row"), with_ordinal(right, right_by, "__row")
     both = a.withColumn("__a", F.lit(True)).join(b.withColumn("__b", F.lit(True)), "__row", "full")
+    if problem is not None:
+        said = F.when(F.col("__b").isNull(), "no right row").when(F.col("__a").isNull(), "no left row")
+        return both.withColumn(problem, said).drop("__row", "__a", "__b")
     return raising(both, F.col("__a").isNull() | F.col("__b").isNull(), "the tables differ in length").drop("__row", "__a", "__b")
 
 

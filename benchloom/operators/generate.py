@@ -10,11 +10,14 @@ from __future__ import annotations
 
 import asyncio
 import inspect
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from benchloom.operators.curate import shared_table, with_ordinal
+
 RESPONSE = "idx string, sample_idx int, prompt string, response string, error string"
 
 
@@ -71,6 +74,52 @@ def generate(prompts: DataFrame, client: Callable = echo_client, n: int = 1, bat
     return (rows.repartition(partitions, "idx") if partitions else rows).mapInArrow(batches, RESPONSE)
 
 
+PACED = "idx string, sample_idx int, prompt string, response string, error string, attempt int"
+
+
+def generate_paced(prompts: DataFrame, client: Callable, n: int = 1, quota: int = 60, period: float = 60.0, slots: int = 8, attempts: int = 3, backoff: float = 1.0, **options) -> DataFrame:
+    """prompts (idx, prompt) -> n rows each with `attempt`; the whole cluster sends at most `quota` requests in any `period` seconds.
+
+    The quota is split over slots, and a slot keeps its share by leaving time between its requests, so no slot has to
+    know of the others; fewer machines than slots only send less. Requests that failed are dealt to all slots
+    anew in the next round, after a pause that doubles, so no slot waits for one that has many of them.
+    """
+    slots = max(1, min(slots, quota))
+    apart = period / (quota // slots)
+
+    def send(batches):
+        import pyarrow as pa
+
+        last = time.monotonic()  # as if the slot's last request of the round before had just been sent
+        for b in batches:
+            for r in b.to_pylist():
+                time.sleep(max(0.0, last + apart - time.monotonic()))
+                last, error, said = time.monotonic(), "request failed", None
+                try:
+                    said = client([r["prompt"]], 1, **options)
+                    said = (asyncio.run(said) if inspect.isawaitable(said) else said)[0][0]
+                except Exception as problem:  # noqa: BLE001  the row tells
+                    error = f"{type(problem).__name__}: {problem}"
+                yield pa.RecordBatch.from_pylist([r | {"response": said, "error": error if said is None else None}], schema=schema)
+
+    import pyarrow as pa
+
+    schema = pa.schema([("idx", pa.string()), ("sample_idx", pa.int32()), ("prompt", pa.string()), ("response", pa.string()), ("error", pa.string()), ("attempt", pa.int32())])
+    waiting = prompts.select(F.col("idx").cast("string").alias("idx"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample_idx"), "prompt")
+    done = None
+    for attempt in range(1, attempts + 1):
+        slot = F.pmod(F.col("__place"), F.lit(slots)).cast("int")
+        dealt = with_ordinal(waiting, ["idx", "sample_idx"], "__place").withColumn("__slot", slot).repartitionById(slots, "__slot")
+        sent = shared_table(dealt.select("idx", "sample_idx", "prompt", F.lit(None).cast("string").alias("response"), F.lit(None).cast("string").alias("error"), F.lit(attempt).alias("attempt")).mapInArrow(send, PACED), "paced")
+        final = sent if attempt == attempts else sent.where("response IS NOT NULL")
+        done = final if done is None else done.unionByName(final)
+        waiting = sent.where("response IS NULL").select("idx", "sample_idx", "prompt")
+        if attempt == attempts or waiting.isEmpty():
+            break
+        time.sleep(backoff * 2 ** (attempt - 1))
+    return done
+
+
 def rewarded(rows: DataFrame, rewards: list[Callable], completion: str = "completion") -> DataFrame:
     """rows with a column `rewards`, a map from each function's name to its value.
 

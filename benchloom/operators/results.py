@@ -75,11 +75,14 @@ def token_cost(calls: DataFrame, prices: DataFrame, model: str = "model") -> Dat
 REGISTRY_ROWS = 100_000
 
 
-def lookup(rows: DataFrame, registry: DataFrame, key: str) -> DataFrame:
-    """rows with the registry's columns; a key that the registry lacks is an error."""
+def lookup(rows: DataFrame, registry: DataFrame, key: str, problem: str | None = None) -> DataFrame:
+    """rows with the registry's columns; a key that the registry lacks is an error, or reported in the column `problem`."""
     small = F.broadcast if registry.count() <= REGISTRY_ROWS else (lambda x: x)
     found = rows.join(small(registry.withColumn("__there", F.lit(True))), key, "left")
-    return raising(found, F.col("__there").isNull(), F.concat(F.lit("unknown key "), F.coalesce(F.col(key).cast("string"), F.lit("null")))).drop("__there")
+    said = F.concat(F.lit("unknown key "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    if problem is not None:
+        return found.withColumn(problem, F.when(F.col("__there").isNull(), said)).drop("__there")
+    return raising(found, F.col("__there").isNull(), said).drop("__there")
 
 
 def run_and_fan_out(items: DataFrame, keys: list[str], run) -> DataFrame:

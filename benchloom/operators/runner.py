@@ -92,15 +92,16 @@ def cut(text: str | None) -> str | None:
     return text if text is None or len(text) * 4 <= OUTPUT else text.encode()[:OUTPUT].decode(errors="ignore")
 
 
-def run_item(code: str, tests: list[dict], lang: str, timeout: float) -> dict:
-    """The result of one item; see the statuses of benchloom.schemas."""
-    if lang not in LANGUAGES:
+def run_item(code: str, tests: list[dict], lang: str, timeout: float, languages: dict[str, tuple] | None = None) -> dict:
+    """The result of one item; see the statuses of benchloom.schemas. languages: more of them, or others of the same name."""
+    known = LANGUAGES | (languages or {})
+    if lang not in known:
         return {"status": "fail:exception", "details": f"unknown language {lang}"}
     if not (code or "").strip():
         return {"status": "fail:no-answer"}
     if not tests:
         return {"status": "fail:no-tests"}
-    name, build, run, flags = LANGUAGES[lang]
+    name, build, run, flags = known[lang]
     try:
         with tempfile.TemporaryDirectory(prefix="run-") as folder:
             with open(f"{folder}/{name}", "w") as f:
@@ -128,8 +129,8 @@ def run_item(code: str, tests: list[dict], lang: str, timeout: float) -> dict:
         return {"status": "fail:exception", "details": f"{type(problem).__name__}: {problem}"}
 
 
-def run_items(items: DataFrame, timeout: float = 15.0, partitions: int | None = None, by: str = "item_id") -> DataFrame:
-    """items (item_id, code, test_cases, lang) -> results. Items spread by key; by="lang" gives each language tasks of its own."""
+def run_items(items: DataFrame, timeout: float = 15.0, partitions: int | None = None) -> DataFrame:
+    """items (item_id, code, test_cases, lang) -> results, without workers; pools.run_pools gives each language tasks of its own."""
 
     def batches(it):
         import pyarrow as pa
@@ -145,5 +146,5 @@ def run_items(items: DataFrame, timeout: float = 15.0, partitions: int | None =
 
     kinds = {"int": pa.int32(), "double": pa.float64()}
     schema = pa.schema([(f.split()[0], kinds.get(f.split()[1], pa.string())) for f in RESULT.split(", ")])
-    spread = items.repartition(partitions or items.sparkSession.sparkContext.defaultParallelism, by)
+    spread = items.repartition(partitions or items.sparkSession.sparkContext.defaultParallelism, "item_id")
     return spread.select("item_id", "code", "test_cases", "lang").mapInArrow(batches, RESULT)

@@ -10,6 +10,8 @@ from benchloom.functions import prompts as P
 from benchloom.functions import text as T
 from benchloom.operators import curate, packing, results, runner
 from benchloom.plans.views import table, view, with_views
+from benchloom.schemas import RESULT
+from benchloom.sources import sink
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -248,10 +250,12 @@ def output_compare_lines(spark, d):
     return table(spark, d, "documents").where(F.length(t) > 0).select("doc_id", T.same_lines(t, other).alias("same"))
 
 
-@query("SELECT 'import x' AS name, 8 AS n UNION ALL SELECT 'open', 2")
+@query("SELECT conv_id, turn, md5(coalesce(CASE WHEN turn % 3 = 2 THEN regexp_replace(replace(text, chr(96), ''), '^\\s+', '') ELSE replace(text, chr(96), '') END, '')) AS cleaned FROM conversations")
 def clean_fences(spark, d):
-    rows = spark.createDataFrame([("import x", "  ```py\nimport x\n```\nbye"), ("open", "```\n\nok")], "name string, t string")
-    return rows.select("name", F.length(F.regexp_replace(T.clean_fences(F.col("t")), "\n$", "")).alias("n"))
+    """Texts in fences, in fences that are left open, and in none."""
+    plain = F.coalesce(F.replace("text", F.lit("`"), F.lit("")), F.lit(""))
+    said = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("  ```py\n"), plain, F.lit("\n```\nbye"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("```\n"), plain)).otherwise(plain)
+    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.regexp_replace(T.clean_fences(said), "\n$", "")).alias("cleaned"))
 
 
 @query("SELECT conv_id, turn, CAST(CASE WHEN conv_id % 3 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS reward FROM conversations")
@@ -263,10 +267,13 @@ def last_line_number_reward(spark, d):
     return c.select("conv_id", "turn", T.number_reward(said, F.col("turn").cast("double")).alias("reward"))
 
 
-@query("SELECT name, langs, epochs FROM (VALUES ('mix-lua-julia_xl__epochs3', 'lua,julia', 3), ('fullmix-r_x', 'r', NULL), ('seq-lua-r-ocaml', 'lua,r,ocaml', NULL)) v(name, langs, epochs)")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN lang ELSE 'lua,' || lang || CASE WHEN doc_id % 4 = 3 THEN ',r' ELSE '' END END AS langs, CASE WHEN doc_id % 5 < 2 THEN CAST(doc_id % 7 + 1 AS INTEGER) END AS epochs FROM documents WHERE lang IS NOT NULL")
 def dataset_name_parse(spark, d):
-    names = spark.createDataFrame([("mix-lua-julia_xl__epochs3",), ("fullmix-r_x",), ("seq-lua-r-ocaml",)], "name string")
-    return names.select("name", F.array_join(T.dataset_langs(F.col("name")), ",").alias("langs"), T.dataset_epochs(F.col("name")).alias("epochs"))
+    """A dataset's name for every document: one language or several, with and without a number of epochs."""
+    i = F.col("doc_id")
+    kind = F.when(i % 4 == 0, F.lit("")).when(i % 4 == 1, "mix-lua-").when(i % 4 == 2, "fullmix-lua-").otherwise("seq-lua-")
+    name = F.concat(kind, "lang", F.when(i % 4 == 3, "-r").otherwise(""), F.when(i % 3 == 0, "_xl").otherwise("_x"), F.when(i % 5 < 2, F.concat(F.lit("__epochs"), (i % 7 + 1).cast("string"))).otherwise(""))
+    return table(spark, d, "documents").where("lang IS NOT NULL").select("doc_id", F.array_join(T.dataset_langs(name), ",").alias("langs"), T.dataset_epochs(name).alias("epochs"))
 
 
 @query("SELECT user_id, event_id, 'lua__n' || CAST(user_id AS VARCHAR) || '_maxtoks1024_tmpr0p2' AS slug FROM events")
@@ -485,10 +492,11 @@ def llm_cost(spark, d):
     return results.token_cost(calls, prices).groupBy("user_id").agg((F.sum("cost") * 100000000).cast("long").alias("cost_e8"))
 
 
-@query("SELECT v.m AS m FROM (VALUES (0.5, '$0.5'), (2.0, '$2'), (0.0, '$0'), (1.2345675, '$1.234568'), (10.0, '$10')) v(x, m)")
+@query("SELECT l_orderkey, l_linenumber, '$' || rtrim(rtrim(printf('%.6f', round(CAST(l_extendedprice AS DOUBLE) / 16, 6)), '0'), '.') AS m FROM lineitem")
 def money_format(spark, d):
-    rows = spark.sql("SELECT * FROM VALUES (0.5000000), (2.0000000), (0.0000000), (1.2345675), (10.0000000) AS v(x)")
-    return rows.select(T.money(F.col("x")).alias("m"))
+    """A 16th of every line's price: at most six digits, none that say nothing."""
+    part = F.round(F.col("l_extendedprice").cast("double") / 16, 6)
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.money(part.cast("decimal(20,7)")).alias("m"))
 
 
 @query("SELECT p_partkey, CASE WHEN contains(lower(p_name), 'bias') OR contains(lower(p_name), 'norm') THEN 'no_decay' ELSE 'decay' END AS grp FROM part")
@@ -500,12 +508,15 @@ def parameter_groups(spark, d):
 # --- running programs
 
 
-@query("SELECT * FROM (VALUES ('success', 'success'), ('wrong', 'fail:wrong-output'), ('error', 'fail:error'), ('timeout', 'fail:timeout'), ('empty', 'fail:no-answer'), ('none', 'fail:no-tests')) v(item_id, status)")
+@query("SELECT CAST(item_id AS VARCHAR) AS item_id, CASE item_id % 20 WHEN 1 THEN 'fail:wrong-output' WHEN 2 THEN 'fail:error' WHEN 3 THEN 'fail:timeout' WHEN 4 THEN 'fail:no-answer' WHEN 5 THEN 'fail:no-tests' ELSE 'success' END AS status FROM benchmark")
 def verify_python_sandbox(spark, d):
-    two = [("101\n", "101"), ("102\n", "102")]
-    rows = [("success", "print(input())", two, "python"), ("wrong", "print(input())", [("101\n", "102")], "python"), ("error", "raise SystemExit(3)", [("", "")], "python"), ("timeout", "while True: pass", two, "python"), ("empty", "", two, "python"), ("none", "print(1)", [], "python")]
-    items = spark.createDataFrame(rows, "item_id string, code string, test_cases array<struct<input:string,output:string>>, lang string")
-    return runner.run_items(items, timeout=2.0).select("item_id", "status")
+    """Every benchmark item as a program of its own; one in twenty for each way to fail."""
+    act, n = F.col("item_id") % 20, F.length("text").cast("string")
+    code = F.when(act == 2, "raise SystemExit(3)").when(act == 3, "while True: pass").when(act == 4, "").otherwise("print(input())")
+    right = F.struct(n.alias("input"), F.when(act == 1, "no").otherwise(n).alias("output"))
+    tests = F.array(right, F.struct(F.lit("101\n").alias("input"), F.lit("101").alias("output")))
+    items = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), code.alias("code"), F.when(act == 5, F.slice(tests, 1, 0)).otherwise(tests).alias("test_cases"), F.lit("python").alias("lang"))
+    return runner.run_items(items, timeout=4.0).select("item_id", "status")
 
 
 @query("SELECT CAST(item_id AS VARCHAR) || '/0' AS item_id, CASE WHEN item_id % 2 = 0 THEN 'success' ELSE 'fail:wrong-output' END AS status FROM benchmark")
@@ -522,7 +533,7 @@ def stream_verify(spark, d):
     b.select(F.col("item_id").cast("string").alias("idx"), F.lit(0).alias("sample_idx"), said.alias("response"), F.lit("python").alias("lang"), tests.alias("test_cases")).write.json(f"{root}/in")
     for _ in range(2):  # the second call finds nothing new
         verify.verify_stream(spark, f"{root}/in", f"{root}/out", f"{root}/state")
-    return spark.read.parquet(f"{root}/out").select("item_id", "status")
+    return sink.read(spark, f"{root}/out", RESULT).select("item_id", "status")
 
 
 from benchloom.plans import extra  # noqa: E402, F401  registers its queries, and reads this module

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 
@@ -13,11 +14,12 @@ from benchloom.functions import arrays as A
 from benchloom.functions import code_blocks
 from benchloom.functions import prompts as P
 from benchloom.functions import text as T
-from benchloom.operators import curate, generate, harness, languages, packing, results, runner
+from benchloom.operators import curate, evaluate, generate, harness, packing, pools, results
 from benchloom.plans.catalog import _POOL, _TEST, _TRAIN, _VAL, query
 from benchloom.plans.views import table, view
 from benchloom.schemas import EXAMPLE
-from benchloom.sources import spec
+from benchloom.sources import sink, spec
+from benchloom.streaming import keyed
 
 
 def _folder(spark) -> str:
@@ -85,12 +87,11 @@ def micro_batch_cross(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.explode(F.sequence(F.lit(0), F.lit(15), F.lit(4))).alias("start"))
 
 
-@query("SELECT o_orderkey, c_custkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) USING (k)")
+@query("SELECT o_orderkey, c_custkey, CASE WHEN c_custkey IS NULL THEN 'no right row' WHEN o_orderkey IS NULL THEN 'no left row' END AS problem FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders) FULL JOIN (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS k FROM customer) USING (k)")
 def positional_join(spark, d):
+    """Whole tables of different length: every row, and what is wrong with it."""
     a, b = table(spark, d, "orders").select("o_orderkey"), table(spark, d, "customer").select("c_custkey")
-    n = min(a.count(), b.count())
-    a, b = curate.range_slice(a, "o_orderkey", 0, n), curate.range_slice(b, "c_custkey", 0, n)
-    return curate.joined_by_position(a, b, ["o_orderkey"], ["c_custkey"])
+    return curate.joined_by_position(a, b, ["o_orderkey"], ["c_custkey"], problem="problem")
 
 
 @query("SELECT event_id, md5(CAST(user_id AS VARCHAR) || event_type) AS status FROM events")
@@ -114,11 +115,12 @@ def no_tests_status(spark, d):
     return results.without_tests(answers, tests).select("idx", "status")
 
 
-@query("SELECT lang, count(*) AS n, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' ELSE 'Spanish' END AS name FROM documents WHERE lang IN ('en', 'de', 'fr', 'es') GROUP BY lang")
+@query("SELECT lang, count(*) AS n, CASE lang WHEN 'en' THEN 'English' WHEN 'de' THEN 'German' WHEN 'fr' THEN 'French' END AS name, CASE WHEN lang IN ('en', 'de', 'fr') THEN NULL ELSE 'unknown key ' || coalesce(lang, 'null') END AS problem FROM documents GROUP BY lang")
 def registry_lookup(spark, d):
-    known = spark.createDataFrame([("en", "English"), ("de", "German"), ("fr", "French"), ("es", "Spanish")], "lang string, name string")
-    docs = table(spark, d, "documents").where(F.col("lang").isin("en", "de", "fr", "es")).repartition("lang")
-    return results.lookup(docs.select("lang"), known, "lang").groupBy("lang", "name").agg(F.count("*").alias("n"))
+    """Every document; keys that the registry lacks are reported."""
+    known = spark.createDataFrame([("en", "English"), ("de", "German"), ("fr", "French")], "lang string, name string")
+    found = results.lookup(table(spark, d, "documents").select("lang"), known, "lang", problem="problem")
+    return found.groupBy("lang", "name", "problem").agg(F.count("*").alias("n"))
 
 
 # --- texts
@@ -271,7 +273,7 @@ def lap_totals(spark, d):
 
 
 def _shards(n):
-    return f"""WITH RECURSIVE c AS (SELECT conv_id, flatten(list(list_transform(list_filter(string_split(text, ' '), lambda x: x <> ''), lambda x: CAST(length(x) AS BIGINT)) ORDER BY turn)) AS t FROM conversations WHERE conv_id % 2 = 0 GROUP BY conv_id),
+    return f"""WITH RECURSIVE c AS (SELECT conv_id, flatten(list(list_transform(list_filter(string_split(text, ' '), lambda x: x <> ''), lambda x: CAST(length(x) AS BIGINT)) ORDER BY turn)) AS t FROM conversations GROUP BY conv_id),
 i AS (SELECT row_number() OVER (ORDER BY conv_id) AS k, t, len(t) AS n FROM c),
 f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS total UNION ALL
       SELECT f.k + 1, f.total + CASE WHEN f.k > 0 AND f.total % {n} <> 0 THEN 1 ELSE 0 END, f.total + CASE WHEN f.k > 0 AND f.total % {n} <> 0 THEN 1 ELSE 0 END + i.n FROM f JOIN i ON i.k = f.k + 1),
@@ -284,7 +286,7 @@ SELECT pos // {n} AS row, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS
 def pack_with_masks(spark, d):
     """Packed tokens with their prompt and attention masks, separators included, as texts."""
     words = F.transform(F.filter(F.split("text", " "), lambda x: x != ""), lambda x: F.length(x).cast("long"))
-    c = table(spark, d, "conversations").where("conv_id % 2 = 0").groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", words.alias("t")))), lambda x: x["t"])).alias("tokens"))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("turn", words.alias("t")))), lambda x: x["t"])).alias("tokens"))
     c = c.withColumns({"prompt_mask": F.transform("tokens", lambda x, i: F.when(i < 2, 0).otherwise(1)), "attention_mask": F.transform("tokens", lambda x: F.lit(1))})
     packed = packing.pack(c, 128, 0, "conv_id", masks={"prompt_mask": 1, "attention_mask": 1})
     said = lambda col, sep: F.array_join(F.col(col).cast("array<string>"), sep)
@@ -312,6 +314,30 @@ def generate_samples(spark, d):
     return generate.generate(b, n=3, batch=7).select("idx", "sample_idx", T.final_block(F.col("response")).alias("answer"), "error")
 
 
+@query("SELECT CAST(item_id AS VARCHAR) AS idx, CAST(s AS INTEGER) AS sample_idx, CASE WHEN item_id % 8 <> 0 THEN 'print(0 + ' || CAST(length(text) AS VARCHAR) || ')' || chr(10) END AS answer, CASE WHEN item_id % 8 = 0 THEN 'request failed' END AS error, CASE WHEN item_id % 8 = 0 THEN 2 ELSE 1 END AS attempt FROM benchmark, (SELECT unnest([0, 1]) AS s) WHERE NOT contains(text, 'refuse')")
+def generate_paced(spark, d):
+    """Two samples for each prompt under a quota for the whole cluster; what fails is asked once more."""
+    b = table(spark, d, "benchmark").where(~F.col("text").contains("refuse")).select(F.col("item_id").alias("idx"), F.when(F.col("item_id") % 8 == 0, "refuse").otherwise(F.col("text")).alias("prompt"))
+    found = generate.generate_paced(b, generate.echo_client, n=2, quota=800, period=10.0, attempts=2, backoff=0.1)
+    return found.select("idx", "sample_idx", T.final_block(F.col("response")).alias("answer"), "error", "attempt")
+
+
+@query("""WITH m AS (SELECT event_type AS dataset, avg(value) AS mean, count(*) AS n FROM events GROUP BY event_type),
+a AS (SELECT dataset, mean, n, NULL AS error FROM m UNION ALL SELECT 'broken', NULL, 0, 'ValueError: no such dataset')
+SELECT dataset, round(mean, 6) AS mean, n, error FROM a UNION ALL SELECT NULL, round(avg(mean), 6), CAST(sum(n) AS BIGINT), NULL FROM a""")
+def overlapped_evaluation(spark, d):
+    """A dataset for each kind of event, evaluated side by side, one of them broken; then the macro average."""
+    e = table(spark, d, "events")
+    kinds = [r[0] for r in e.select("event_type").distinct().orderBy("event_type").collect()]  # a handful of names
+
+    def broken():
+        raise ValueError("no such dataset")
+
+    jobs = {k: lambda k=k: e.where(F.col("event_type") == k).select(F.col("event_id").alias("key"), F.col("value").alias("reward")) for k in kinds} | {"broken": broken}
+    found = evaluate.summary(spark, evaluate.evaluate(spark, jobs))
+    return found.withColumn("mean", F.round("mean", 6))
+
+
 @query("SELECT conv_id, turn, CAST(length(text) % 2 AS DOUBLE) AS odd, CAST(turn AS DOUBLE) / 2 AS half FROM conversations WHERE text IS NOT NULL")
 def reward_functions(spark, d):
     """Two batch rewards behind one adapter, named by their functions."""
@@ -327,34 +353,48 @@ def reward_functions(spark, d):
     return r.select("conv_id", "turn", F.col("rewards")["odd"].alias("odd"), F.col("rewards")["half"].alias("half"))
 
 
-@query("SELECT * FROM (VALUES ('success', 'success'), ('wrong', 'fail:wrong-output'), ('error', 'fail:error'), ('slow', 'fail:timeout'), ('none', 'fail:run-failed'), ('whole', 'fail:timeout'), ('after', 'success'), ('flood', 'success'), ('exit', 'fail:nonzero-exit'), ('input', 'fail:input-timeout'), ('garbage', 'fail:run-failed')) v(item_id, status)")
+#: What a benchmark item does to its worker, by its number modulo 20; all others succeed.
+_ACTS = {1: "wrong", 2: "error", 3: "slow", 4: "none", 5: "whole", 6: "flood", 7: "exit", 8: "garbage", 9: "input"}
+_SAYS = {"wrong": "fail:wrong-output", "error": "fail:error", "slow": "fail:timeout", "none": "fail:run-failed", "whole": "fail:timeout", "exit": "fail:nonzero-exit", "garbage": "fail:run-failed", "input": "fail:input-timeout"}
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS item_id, CASE item_id % 20 " + " ".join(f"WHEN {k} THEN '{_SAYS[v]}'" for k, v in _ACTS.items() if v in _SAYS) + " ELSE 'success' END AS status FROM benchmark")
 def worker_statuses(spark, d):
     """Long-lived and one-shot workers with every status; `whole` has fast tests but too many for its item's time."""
     import sys
 
-    one = [("5\n", "5")]
-    nap = "import time\ntime.sleep(0.4)\nprint(input())"
-    rows = [("success", "print(input())", one), ("wrong", "print(1)", one), ("error", "raise SystemExit(3)", one), ("slow", "while True: pass", one), ("none", "print(1)", []), ("whole", nap, one * 9), ("after", "print(input())", one), ("flood", "print('y' * (2 << 20))", [("", "y" * (2 << 20))])]
-    schema = f"item_id string, code string, test_cases array<{EXAMPLE}>, lang string"
-    items = lambda part: spark.createDataFrame([(*r, "python") for r in part], schema)
-    found = harness.supervise(items(rows), timeout=3.0, partitions=4)
-    found = found.unionByName(harness.supervise(items([("exit", "x", one)]), [sys.executable, "-c", "raise SystemExit(4)"], one_shot=True))
-    found = found.unionByName(harness.supervise(items([("garbage", "x", one)]), [sys.executable, "-c", "print('no json', flush=True)"], timeout=3.0))
-    found = found.unionByName(harness.supervise(items([("input", "x" * (1 << 20), one)]), [sys.executable, "-c", "import time; time.sleep(9)"], write_timeout=0.3))
+    act = F.col("item_id") % 20
+    pick = lambda by, other: functools.reduce(lambda c, k: c.when(act == k, by[_ACTS[k]]), [k for k in _ACTS if _ACTS[k] in by], F).otherwise(other)
+    length = F.length("text").cast("string")
+    text = lambda x: F.lit(x)
+    code = pick({"wrong": text("print('no')"), "error": text("raise SystemExit(3)"), "slow": text("while True: pass"), "whole": text("import time\ntime.sleep(1.5)\nprint(input())"), "flood": text("print('y' * (2 << 20))"), "input": F.repeat(text("x"), 1 << 20)}, text("print(input())"))
+    one = F.array(F.struct(length.alias("input"), length.alias("output")))
+    tests = pick({"none": F.slice(one, 1, 0), "whole": F.array_repeat(F.get(one, text(0)), 9), "flood": F.array(F.struct(text("").alias("input"), F.repeat(text("y"), 2 << 20).alias("output")))}, one)
+    items = table(spark, d, "benchmark").select(F.col("item_id").cast("string").alias("item_id"), code.alias("code"), tests.alias("test_cases"), F.lit("python").alias("lang"), pick({v: text(v) for v in _ACTS.values()}, text("")).alias("act"))
+    found = harness.supervise(items.where(~F.col("act").isin("exit", "garbage", "input")), timeout=8.0, partitions=4)
+    found = found.unionByName(harness.supervise(items.where("act = 'exit'"), [sys.executable, "-c", "raise SystemExit(4)"], one_shot=True))
+    found = found.unionByName(harness.supervise(items.where("act = 'garbage'"), [sys.executable, "-c", "print('no json', flush=True)"]))
+    found = found.unionByName(harness.supervise(items.where("act = 'input'"), [sys.executable, "-c", "import time; time.sleep(9)"], write_timeout=0.3))
     return found.select("item_id", "status")
 
 
-@query("SELECT CAST(item_id AS VARCHAR) AS item_id, 'success' AS status FROM benchmark")
+@query("""WITH b AS (SELECT item_id, CASE item_id % 10 WHEN 0 THEN 'checked' WHEN 5 THEN 'nobody' ELSE 'plain' END AS lang FROM benchmark),
+n AS (SELECT lang, CAST(ceil(count(*) * 12 / (SELECT count(*) FROM b)) AS INTEGER) AS tasks FROM b GROUP BY lang)
+SELECT CAST(item_id AS VARCHAR) AS item_id, lang, CASE WHEN lang = 'nobody' THEN 'fail:exception' WHEN item_id % 7 = 0 THEN 'fail:wrong-output' ELSE 'success' END AS status, tasks FROM b JOIN n USING (lang)""")
 def route_by_language(spark, d):
-    """Items dealt to tasks of their language's own; the registry comes from configuration."""
+    """Two configured languages, which programs can tell apart, and one that nobody knows; tasks by the share of each."""
     import sys
 
-    made = languages.registered({"own": json.dumps({"prompt": "Use this.", "filename": "snippet.py", "execute": f"{sys.executable} -I snippet.py"})})
-    name, _, run, _ = made["own"]
-    assert (name, run[1:]) == ("snippet.py", ["-I", "snippet.py"])
-    n = F.col("item_id").cast("string")
-    b = table(spark, d, "benchmark").select(n.alias("item_id"), F.concat(F.lit("print("), n, F.lit(")")).alias("code"), F.array(F.struct(F.lit("").alias("input"), n.alias("output"))).alias("test_cases"), F.lit("python").alias("lang"))
-    return runner.run_items(b, 15.0, by="lang" if b.count() < 8 else "item_id").select("item_id", "status")
+    configs = {
+        "plain": json.dumps({"prompt": "Use this.", "filename": "snippet.py", "execute": f"{sys.executable} -I snippet.py"}),
+        "checked": json.dumps({"prompt": "Use that.", "filename": "main.py", "compile": f"{sys.executable} -m py_compile main.py", "execute": f"{sys.executable} -O main.py"}),
+    }
+    i = F.col("item_id")
+    lang = F.when(i % 10 == 0, "checked").when(i % 10 == 5, "nobody").otherwise("plain")
+    want = F.concat_ws(" ", F.when(lang == "checked", "False 0").otherwise("True 1"), F.when(i % 7 == 0, "no").otherwise(F.length("text").cast("string")))
+    code = F.concat(F.lit("import sys\nprint(__debug__, sys.flags.isolated, "), F.length("text").cast("string"), F.lit(")"))
+    items = table(spark, d, "benchmark").select(i.cast("string").alias("item_id"), code.alias("code"), F.array(F.struct(F.lit("").alias("input"), want.alias("output"))).alias("test_cases"), lang.alias("lang"))
+    return pools.run_pools(items, configs, slots=12).select("item_id", "lang", "status", "tasks")
 
 
 # --- files and commands
@@ -375,12 +415,46 @@ def spec_round_trip(spark, d):
 
 @query("SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM labels) WHERE k >= 5 AND k < 40")
 def line_range_scan(spark, d):
-    """Lines 5 to 39 of a JSONL file, typed, required fields there."""
+    """Lines 5 to 39 of JSONL files, typed, required fields there."""
     path = f"{_folder(spark)}/labels"
-    table(spark, d, "labels").orderBy("doc_id").coalesce(1).write.json(path)
+    table(spark, d, "labels").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").write.json(path)
     return spec.require_columns(spec.read_lines(spark, path, "doc_id long, quality int", 5, 40), ["doc_id"]).select("doc_id")
 
 
+@query("SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS line, doc_id FROM labels")
+def numbered_lines(spark, d):
+    """Every line of a table's files with its number, from byte ranges."""
+    path = f"{_folder(spark)}/labels"
+    table(spark, d, "labels").repartitionByRange(5, "doc_id").sortWithinPartitions("doc_id").write.json(path)
+    return spec.numbered_lines(spark, path).select("line", F.get_json_object("value", "$.doc_id").cast("long").alias("doc_id"))
+
+
+@query("SELECT event_id, user_id AS key, max(value) OVER w AS running_max, CAST(epoch_us(ts) - epoch_us(lag(ts) OVER w) AS BIGINT) AS lap_us, row_number() OVER w AS rank FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
+def keyed_stream(spark, d):
+    """Running maxima, laps and ranks over events that arrive in four batches, the second run resumed from the first's state."""
+    root = _folder(spark)
+    e = table(spark, d, "events").select("event_id", "user_id", "ts", "value")
+    cut = e.agg(*[F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), q).alias(f"q{i}") for i, q in enumerate((0.25, 0.5, 0.75))]).first()
+    part = sum(((F.unix_micros(F.col("ts").cast("timestamp")) > q).cast("int") for q in cut), F.lit(0))
+    e = curate.shared_table(e.withColumn("part", part), "events")
+    for i in range(4):
+        e.where(F.col("part") == i).drop("part").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        if i % 2:  # two runs of two batches each
+            stream = keyed.keyed_progress(spark.readStream.schema(e.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
+            sink.stream_into(stream, f"{root}/out", f"{root}/state").trigger(availableNow=True).start().awaitTermination()
+    return sink.read(spark, f"{root}/out", keyed.OUTPUT).drop("batch")
+
+
+@query("SELECT item_id, text AS prompt, i AS step FROM benchmark, (SELECT unnest([1, 2]) AS i)")
+def step_log(spark, d):
+    """Prompts and outputs of two steps, one of them written twice and one killed while it was staged."""
+    root, b = f"{_folder(spark)}/log", table(spark, d, "benchmark").select("item_id", F.col("text").alias("prompt"))
+    b.write.parquet(f"{root}/{sink.STAGING}/killed")
+    done = [sink.append_log(b, root, f"step-{i}", step=i) for i in (1, 2, 1)]
+    assert done == [True, True, False]
+    return sink.read(spark, root, "item_id long, prompt string, step int").drop("batch")
+
+
 @query("SELECT CAST(event_id AS VARCHAR) AS item_id FROM events WHERE event_type <> 'click'")
 def resume_from_file(spark, d):
     """Items that an earlier run's file does not have."""

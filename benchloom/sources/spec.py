@@ -8,7 +8,12 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from benchloom.operators.curate import shared_table
+
+#: Byte ranges whose line numbers may be broadcast.
+RANGES_SENT = 100_000
 KINDS = ("csv", "jsonl", "disk", "hub", "parquet")
 
 
@@ -69,17 +74,32 @@ def write_spec(df: DataFrame, text: str, force: bool = False) -> None:
             w.parquet(spec.name)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value, file): every line of the files below path, numbered through in the order of their names.
+
+    Tasks read byte ranges. How many lines a range has is counted first, and the sums of those before it
+    carry over; nothing is sorted and no line moves.
+    """
+    scan = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("range"), F.monotonically_increasing_id().alias("id"))
+    ranges = scan.groupBy("file", "range").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    files = ranges.groupBy("file").agg(F.sum("n").alias("in_file"))
+    files = files.select("file", (F.sum("in_file").over(Window.orderBy("file")) - F.col("in_file")).alias("files_before"))
+    within = F.sum("n").over(Window.partitionBy("file").orderBy("range")) - F.col("n")
+    # a row for each byte range, some 100 MB of text: checked all the same before it is sent to every task
+    starts = ranges.withColumn("before", within).join(files, "file").select("file", "range", (F.col("before") + F.col("files_before") - F.col("first")).alias("shift"))
+    starts = shared_table(starts, "line-starts")
+    few = F.broadcast if starts.count() <= RANGES_SENT else (lambda x: x)
+    return scan.join(few(starts), ["file", "range"]).select((F.col("id") + F.col("shift")).alias("line"), "value", "file")
+
+
 def read_lines(spark: SparkSession, path: str, schema: str, start: int = 0, end: int = -1, allow_malformed: bool = False) -> DataFrame:
-    """Rows [start, end) of a JSONL file by line number, malformed lines counted; then parsed.
+    """Rows [start, end) of JSONL files by line number, malformed lines counted; then parsed, in order.
 
-    Without a range the file is read in parallel and in any order; with one, lines are numbered first.
+    Without a range the file is read in parallel and in any order.
     """
     if (start, end) == (0, -1):
         return spark.read.schema(schema).option("mode", "DROPMALFORMED" if allow_malformed else "FAILFAST").json(path)
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("id"))
-    from benchloom.operators.curate import with_ordinal
-
-    placed = with_ordinal(lines, ["file", "id"], "line").where(F.col("line") >= start)
+    placed = numbered_lines(spark, path).where(F.col("line") >= start)
     placed = placed if end < 0 else placed.where(F.col("line") < end)
     rows = placed.select("line", F.from_json("value", schema).alias("r"), F.try_parse_json("value").isNull().alias("bad"))
     if allow_malformed:
