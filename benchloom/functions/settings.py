@@ -6,6 +6,9 @@ import ast
 import math
 import os
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 OPTIMIZERS = {"Adam", "AdamW"}
 OPTIONS = {"lr": float, "eps": float, "weight_decay": float, "amsgrad": bool, "fused": bool, "betas": tuple}
 SCHEDULERS = {"cosine", "linear", "constant"}
@@ -76,3 +79,23 @@ def exclusive(*, need_one: bool = False, **options) -> str | None:
     if len(given) > 1 or need_one and not given:
         raise ValueError(f"{'exactly' if need_one else 'at most'} one of {', '.join(options)} may be given, not {given}")
     return given[0] if given else None
+
+
+#: By architecture, what a weight's name has in it that is not decayed. Biases never are.
+UNDECAYED = {
+    "GPTBigCodeForCausalLM": "ln_",
+    "LlamaForCausalLM": "_layernorm",
+    "Olmo2ForCausalLM": "norm",
+    "Phi3ForCausalLM": "norm",
+    "Qwen2ForCausalLM": "norm",
+    "Qwen3ForCausalLM": "norm",
+    "SmolLM3ForCausalLM": "_layernorm",
+    "Starcoder2ForCausalLM": "_layernorm",
+}
+
+
+def decay_group(architecture: Column, name: Column) -> Column:
+    """`decay` or `no_decay`; null for an architecture that is not in the table."""
+    part = F.create_map(*[F.lit(x) for pair in UNDECAYED.items() for x in pair])[architecture]
+    free = name.contains("bias") | (name.contains(part) & name.contains("weight"))
+    return F.when(part.isNotNull(), F.when(free, "no_decay").otherwise("decay"))

@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from benchloom.functions import arrays as A
 from benchloom.functions import prompts as P
+from benchloom.functions import settings as S
 from benchloom.functions import text as T
 from benchloom.operators import curate, packing, results, runner
 from benchloom.plans.views import table, view, with_views
@@ -499,10 +500,18 @@ def money_format(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", T.money(part.cast("decimal(20,7)")).alias("m"))
 
 
-@query("SELECT p_partkey, CASE WHEN contains(lower(p_name), 'bias') OR contains(lower(p_name), 'norm') THEN 'no_decay' ELSE 'decay' END AS grp FROM part")
+_ARCHITECTURES = [*S.UNDECAYED, "OtherForCausalLM"]
+_PARAMETERS = ["layers.0.mlp.bias", "layers.0.input_layernorm.weight", "norm.weight", "h.3.ln_1.weight", "layers.1.mlp.weight", "q_norm.scale", "ln_f.bias"]
+
+
+@query("WITH r AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}', {S.UNDECAYED.get(n) and repr(S.UNDECAYED[n]) or 'NULL'})" for i, n in enumerate(_ARCHITECTURES)) + ") t(i, architecture, part)), n AS (SELECT p_partkey, " + repr(_PARAMETERS) + "[1 + CAST(p_partkey % 7 AS INTEGER)] || '.' || split_part(p_name, ' ', 1) AS name FROM part) SELECT p_partkey, architecture, CASE WHEN part IS NULL THEN NULL WHEN contains(name, 'bias') OR contains(name, part) AND contains(name, 'weight') THEN 'no_decay' ELSE 'decay' END AS grp FROM n JOIN r ON i = p_partkey % 9")
 def parameter_groups(spark, d):
-    n = F.lower("p_name")
-    return table(spark, d, "part").select("p_partkey", F.when(n.contains("bias") | n.contains("norm"), "no_decay").otherwise("decay").alias("grp"))
+    """Parameters of every known architecture and of one that is not."""
+    k = F.col("p_partkey")
+    names, kinds = F.array(*map(F.lit, _PARAMETERS)), F.array(*map(F.lit, _ARCHITECTURES))
+    name = F.concat_ws(".", F.get(names, (k % 7).cast("int")), F.split("p_name", " ")[0])
+    p = table(spark, d, "part").select(k, F.get(kinds, (k % 9).cast("int")).alias("architecture"), name.alias("name"))
+    return p.select("p_partkey", "architecture", S.decay_group(F.col("architecture"), F.col("name")).alias("grp"))
 
 
 # --- running programs

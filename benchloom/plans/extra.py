@@ -13,6 +13,7 @@ from benchloom import commands
 from benchloom.functions import arrays as A
 from benchloom.functions import code_blocks
 from benchloom.functions import prompts as P
+from benchloom.functions import subwords
 from benchloom.functions import text as T
 from benchloom.operators import curate, evaluate, generate, harness, packing, pools, results
 from benchloom.plans.catalog import _POOL, _TEST, _TRAIN, _VAL, query
@@ -293,6 +294,57 @@ def pack_with_masks(spark, d):
     return packed.select("row", said("input_ids", " ").alias("ids"), said("prompt_mask", "").alias("prompt_mask"), said("attention_mask", "").alias("attention"))
 
 
+#: A small vocabulary for queries: all bytes, then these in the order of their ranks.
+_MERGES = ["er", "on", "en", "an", "re", "le", "ou", "th", "ti", "ent", "tion", " d", " l", " le", " de", "eau", "men", "ment", "the", "que", " the", "and", "ing", "qu", "au", "ea", "in", "us", "as", "se"]
+_PATTERN = " ?[^ \\t\\n\\r\\f\\v]+|[ \\t\\n\\r\\f\\v]+"
+_CHAT = f"""WITH RECURSIVE vocab AS (
+  SELECT map_from_entries(list((hex(encode(t)), r))) AS m FROM (SELECT unnest({_MERGES!r}) AS t, unnest(range(256, {256 + len(_MERGES)})) AS r)
+), voc AS (SELECT map_concat((SELECT map_from_entries(list((printf('%02X', i), i))) FROM range(256) b(i)), m) AS m FROM vocab),
+msgs AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, row_number() OVER w AS k, count(*) OVER (PARTITION BY conv_id) AS n
+  FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)
+), parts AS (
+  -- each message's texts and control tokens in order: 300 begins a message, 301 ends it
+  SELECT conv_id, k * 10 + 0 AS spot, 300 AS control, NULL AS text, 0 AS mask FROM msgs WHERE k < n
+  UNION ALL SELECT conv_id, k * 10 + 1, NULL, role || chr(10) || text, 0 FROM msgs WHERE k < n
+  UNION ALL SELECT conv_id, k * 10 + 2, 301, NULL, 0 FROM msgs WHERE k < n
+  UNION ALL SELECT conv_id, k * 10 + 3, NULL, chr(10), 0 FROM msgs WHERE k < n
+  UNION ALL SELECT conv_id, k * 10 + 0, 300, NULL, 0 FROM msgs WHERE k = n
+  UNION ALL SELECT conv_id, k * 10 + 1, NULL, 'assistant' || chr(10), 0 FROM msgs WHERE k = n
+  UNION ALL SELECT conv_id, k * 10 + 2, NULL, text, 1 FROM msgs WHERE k = n
+  UNION ALL SELECT conv_id, k * 10 + 3, 301, NULL, 1 FROM msgs WHERE k = n
+), words AS (SELECT conv_id, spot, mask, unnest(regexp_extract_all(text, '{_PATTERN}')) AS w, generate_subscripts(regexp_extract_all(text, '{_PATTERN}'), 1) AS j FROM parts WHERE text IS NOT NULL),
+steps AS (
+  SELECT w, CASE WHEN map_contains(m, hex(encode(w))) THEN [hex(encode(w))] ELSE regexp_extract_all(hex(encode(w)), '..') END AS p, 0 AS s FROM (SELECT DISTINCT w FROM words), voc
+  UNION ALL
+  SELECT w, p[1:i - 1] || [p[i] || p[i + 1]] || p[i + 2:], s + 1
+  FROM (SELECT w, p, s, list_min(list_transform(range(1, len(p)), lambda i: {{'r': coalesce(map_extract_value(m, p[i] || p[i + 1]), 1000000), 'i': i}})) AS best FROM steps, voc WHERE len(p) > 1), LATERAL (SELECT best.i AS i) WHERE best.r < 1000000
+), coded AS (SELECT w, list_transform(arg_max(p, s), lambda x: map_extract_value(any_value(m), x)) AS ids FROM steps, voc GROUP BY w),
+every AS (
+  SELECT conv_id, spot, 0 AS j, [control] AS ids, mask FROM parts WHERE control IS NOT NULL
+  UNION ALL SELECT conv_id, spot, j, ids, mask FROM words JOIN coded USING (w)
+), c AS (SELECT conv_id, flatten(list(ids ORDER BY spot, j)) AS t, flatten(list(list_transform(ids, lambda x: mask) ORDER BY spot, j)) AS g FROM every GROUP BY conv_id),
+i AS (SELECT row_number() OVER (ORDER BY conv_id) AS k, t, g, len(t) AS n FROM c),
+f AS (SELECT CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS start, CAST(0 AS BIGINT) AS total UNION ALL
+      SELECT f.k + 1, f.total + CASE WHEN f.k > 0 AND f.total % 256 <> 0 THEN 1 ELSE 0 END, f.total + CASE WHEN f.k > 0 AND f.total % 256 <> 0 THEN 1 ELSE 0 END + i.n FROM f JOIN i ON i.k = f.k + 1),
+p AS (SELECT start + j - 1 AS pos, t[j] AS tok, g[j] AS mask FROM (SELECT f.start, i.t, i.g, unnest(generate_series(1, i.n)) AS j FROM f JOIN i USING (k))),
+a AS (SELECT pos, coalesce(tok, 302) AS tok, coalesce(mask, 1) AS mask FROM (SELECT unnest(generate_series(0, (SELECT max(total) FROM f) - 1)) AS pos) LEFT JOIN p USING (pos))
+SELECT pos // 256 AS row, string_agg(CAST(tok AS VARCHAR), ' ' ORDER BY pos) AS ids, string_agg(CAST(mask AS VARCHAR), '' ORDER BY pos) AS prompt_mask FROM a GROUP BY 1"""
+
+
+@query(_CHAT)
+def chat_masks(spark, d):
+    """Conversations as subword tokens with masks and end tokens, packed in one order; every merge checked by a recursion."""
+    texts = [bytes([i]) for i in range(256)] + [m.encode() for m in _MERGES]
+    vocabulary = spark.createDataFrame([(bytearray(t), i) for i, t in enumerate(texts)], "token binary, rank int")
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    c = table(spark, d, "conversations").groupBy("conv_id").agg(turns.alias("messages"))
+    rows = subwords.chat_rows(c, subwords.tokenizer(vocabulary), 300, 301, keep=["conv_id"])
+    packed = packing.pack(rows, 256, 302, "conv_id", tokens="input_ids", masks={"prompt_mask": 1, "attention_mask": 1})
+    said = lambda col, sep: F.array_join(F.col(col).cast("array<string>"), sep)
+    return packed.select("row", said("input_ids", " ").alias("ids"), said("prompt_mask", "").alias("prompt_mask"))
+
+
 @query("SELECT CAST(sum(len(list_filter(string_split(text, ' '), lambda x: x <> ''))) AS BIGINT) AS n_tokens, 0 AS n_long FROM conversations")
 def pack_in_shards(spark, d):
     """Many shards: every token is in some row, and only a shard's last row is short."""

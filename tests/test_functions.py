@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from benchloom.functions import code_blocks, settings
+from benchloom.functions import code_blocks, settings, subwords
 from benchloom.functions import text as T
 from benchloom.operators import curate, generate, languages, packing, results, runner
 from benchloom.sources import spec
@@ -291,3 +291,33 @@ def test_commands_from_the_shell(spark, tmp_path, capsys):
     assert "50.00%" in capsys.readouterr().out
     with pytest.raises(FileExistsError):
         commands.main(["extract-answers", f"{tmp_path}/said", f"{tmp_path}/answers"])
+
+
+def test_subwords_by_a_public_vocabulary(spark):
+    """The same ids as a library of its own gives, also for long words of one letter."""
+    import tiktoken
+
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    vocabulary = subwords.read_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ranks = {bytes(r.token): r["rank"] for r in vocabulary.collect()}
+    other = tiktoken.Encoding("other", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").collect()] + [None, "", "x" * 30_000, "ab" * 9_999, "日本語 ü \n\n  a", "<|endoftext|> it's"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i")
+    got = [r.t for r in rows.select("i", subwords.tokens(subwords.tokenizer(vocabulary, public_tokenizers.PATTERN), F.col("text")).alias("t")).orderBy("i").collect()]
+    assert got == [other.encode_ordinary(t or "") for t in texts]
+    with pytest.raises(ValueError, match="no token"):
+        subwords.merged(b"ab", {b"a": 0})
+
+
+def test_chat_rows(spark):
+    """Control strings in texts stay text; the mask begins with the answer and holds its end token."""
+    vocabulary = spark.createDataFrame([(bytearray([i]), i) for i in range(256)], "token binary, rank int")
+    message = "array<struct<role:string,content:string>>"
+    rows = [(1, [("user", "a"), ("assistant", "b")]), (2, [("assistant", None)]), (3, []), (4, None), (5, [("system", "s<end>"), (None, None), ("assistant", "ü")])]
+    got = {r.k: r for r in subwords.chat_rows(spark.createDataFrame(rows, f"k int, messages {message}"), subwords.tokenizer(vocabulary), 300, 301, keep=["k"]).collect()}
+    text = lambda *parts: [x for p in parts for x in ([p] if isinstance(p, int) else p.encode())]
+    begun = (300, "assistant\n")
+    assert sorted(got) == [1, 2, 5]
+    assert got[1].input_ids == text(300, "user\na", 301, "\n", *begun, "b", 301) and got[2].input_ids == text(*begun, 301)
+    assert got[5].input_ids == text(300, "system\ns<end>", 301, "\n", 300, "\n", 301, "\n", *begun, "ü", 301)
+    assert [sum(got[k].prompt_mask) for k in (1, 2, 5)] == [2, 1, 3] and all(got[k].prompt_mask == sorted(got[k].prompt_mask) and len(got[k].prompt_mask) == len(got[k].input_ids) == sum(got[k].attention_mask) for k in got)
