@@ -159,7 +159,7 @@ def prepare_dataset(spark: SparkSession, name: str, problems: DataFrame, out: st
 
 def test_executors(spark: SparkSession, cases: DataFrame, times: int = 3) -> DataFrame:
     """cases: case (the expected status's name), code, test_cases, lang, timeout_s. Each runs `times` times in one worker; (case, lang, status, expected, ok)."""
-    many = cases.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("item_id", F.concat_ws("/", "lang", "case", "i"))
+    many = cases.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(times)))).withColumn("item_id", F.concat_ws("/", "lang", "case", F.xxhash64("code", "test_cases").cast("string"), "i"))
     found = None
     for (limit,) in cases.select("timeout_s").distinct().collect():  # a handful of limits
         part = harness.supervise(many.where(F.col("timeout_s") == limit), timeout=float(limit), by="lang")

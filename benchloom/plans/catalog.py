@@ -12,7 +12,7 @@ from benchloom.functions import text as T
 from benchloom.operators import curate, packing, results, runner
 from benchloom.plans.views import table, view, with_views
 from benchloom.schemas import RESULT
-from benchloom.sources import sink
+from benchloom.sources import sink, spec
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -128,7 +128,12 @@ def range_slice(spark, d):
 
 @query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 25")
 def spec_limit(spark, d):
-    return table(spark, d, "orders").select("o_orderkey").orderBy("o_orderkey").limit(25)
+    """The first rows of all orders as files, by a spec's limit: only the first byte ranges are planned and read."""
+    import uuid
+
+    name = f"jsonl:{curate.shared_dir(spark)}/orders-{uuid.uuid4().hex}"
+    spec.write_spec(table(spark, d, "orders").select("o_orderkey", "o_orderstatus").orderBy("o_orderkey"), name)
+    return spec.load(spark, f"{name}:limit=25", "o_orderkey long", bytes="65536")
 
 
 @query("SELECT count(*) = count(DISTINCT doc_id) AS unique_ids, count(*) AS n FROM documents")

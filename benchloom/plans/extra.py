@@ -19,7 +19,7 @@ from benchloom.operators import curate, evaluate, generate, harness, packing, po
 from benchloom.plans.catalog import _POOL, _TEST, _TRAIN, _VAL, query
 from benchloom.plans.views import table, view
 from benchloom.schemas import EXAMPLE
-from benchloom.sources import sink, spec
+from benchloom.sources import metrics, sink, spec
 from benchloom.streaming import keyed
 
 
@@ -127,12 +127,13 @@ def registry_lookup(spark, d):
 # --- texts
 
 
-@query(f"""SELECT conv_id, turn, ['a = ' || CAST(turn AS VARCHAR), 'import os' || chr(10) || 'b = 2' || chr(10) || chr(10) || 'c = [' || CAST(conv_id AS VARCHAR) || ']'] AS blocks,
-CAST(length('a = ' || CAST(turn AS VARCHAR)) + 2 + length('we now say a few words') + 2 AS INTEGER) AS second_at, 'x = ' || CAST(conv_id AS VARCHAR) || chr(10) AS answer FROM conversations""")
+@query("""SELECT conv_id, turn, [CASE WHEN length(p2) < 100 THEN p1 || chr(10) || chr(10) || p2 ELSE p1 END, p4] AS blocks, CAST(length(p1) + length(p2) + 28 AS INTEGER) AS second_at, 'x = ' || CAST(conv_id AS VARCHAR) || chr(10) AS answer
+FROM (SELECT conv_id, turn, 'a = ' || CAST(turn AS VARCHAR) AS p1, 'b = "' || t || '"' AS p2, 'c = "' || t || '"' || chr(10) || 'd = 2' AS p4 FROM (SELECT *, regexp_replace(coalesce(text, ''), '["\\\\\\n\\r\\x00]', ' ', 'g') AS t FROM conversations))""")
 def find_code(spark, d):
-    """Code paragraphs of the thinking, neighbours merged, prose left out; then the final block."""
+    """Code paragraphs of the thinking: a line with the text is one only if it is short; neighbours merged, prose left out; then the final block."""
+    t = F.regexp_replace(F.coalesce("text", F.lit("")), r'["\\\n\r\x00]', " ")
     say = F.concat(
-        F.lit("<think>\na = "), F.col("turn").cast("string"), F.lit("\n\nwe now say a few words\n\nimport os\nb = 2\n\nc = ["), F.col("conv_id").cast("string"), F.lit("]\n\nd = (\n\nmore words here\n</think>\n\nso:\n```py\nx = "),
+        F.lit("<think>\na = "), F.col("turn").cast("string"), F.lit('\n\nb = "'), t, F.lit('"\n\nwe now say a few words\n\nc = "'), t, F.lit('"\nd = 2\n\nd = (\n\nmore words here\n</think>\n\nso:\n```py\nx = '),
         F.col("conv_id").cast("string"), F.lit("\n```\n"),
     )
     c = table(spark, d, "conversations").select("conv_id", "turn", say.alias("response"))
@@ -141,10 +142,10 @@ def find_code(spark, d):
     return c.select("conv_id", "turn", blocks.alias("blocks"), F.get(places["blocks"], F.lit(1))["at"].alias("second_at"), answer.alias("answer"))
 
 
-@query("SELECT doc_id, doc_id % 3 <> 0 AS fine FROM documents")
+@query("SELECT doc_id, NOT regexp_matches(coalesce(text, ''), '[\\n\\r\\x00]') AS fine FROM documents")
 def parseable_python(spark, d):
-    n = F.col("doc_id").cast("string")
-    code = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("def f(:\n    return "), n)).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("def f():\n    return "), n)).otherwise(F.concat(F.lit("# "), n))
+    """A document's text as a string in one line: no program if the text has a line break."""
+    code = F.concat(F.lit("def f():\n    return '"), F.translate(F.coalesce("text", F.lit("")), "'\\", ""), F.lit("'"))
     return table(spark, d, "documents").select("doc_id", code_blocks.parses_as_python(code).alias("fine"))
 
 
@@ -522,14 +523,66 @@ def pass1_by_file(spark, d):
     return spec.success_report(e).select(F.col("file").alias("status"), F.col("success-rate").alias("rate"))
 
 
-@query("SELECT * FROM (VALUES (1, 'loss', 0.5), (1, 'reward', 2.0), (2, 'loss', 0.25), (2, 'samples/0/b', 3.0)) v(step, name, value)")
+@query("""WITH h AS (SELECT min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem)
+SELECT 'scalar' AS kind, l_linenumber AS step, 'quantity' AS name, round(avg(CAST(l_quantity AS DOUBLE)), 6) AS value FROM lineitem GROUP BY l_linenumber
+UNION ALL SELECT 'histogram', 1, 'bin ' || CAST(least(9, CAST(floor((l_quantity - lo) / ((hi - lo) / 10)) AS INTEGER)) AS VARCHAR), count(*) FROM lineitem, h GROUP BY ALL
+UNION ALL SELECT 'text', 2, 'item ' || CAST(item_id AS VARCHAR), length(text) FROM benchmark
+UNION ALL SELECT 'graph', 2, n_regionkey || '>' || n_nationkey, 1 FROM nation
+UNION ALL SELECT 'table', 3, 'samples/0/b', 3
+UNION ALL SELECT 'image', 3, 'dot.png', 4""")
 def metrics_sink(spark, d):
-    root = _folder(spark)
-    spec.log_scalars(spark, f"{root}/scalars", 1, {"loss": 0.5, "reward": 2})
-    spec.log_scalars(spark, f"{root}/scalars", 2, {"loss": 0.25})
-    spec.log_table(spark, f"{root}/tables", 2, "samples", [["a", "b"], ["x", 3]])
-    t = spark.read.parquet(f"{root}/tables").where("header = 'b'").select("step", F.concat_ws("/", "name", "row", "header").alias("name"), F.col("value").cast("double").alias("value"))
-    return spark.read.parquet(f"{root}/scalars").select("step", "name", "value").unionByName(t)
+    """Every kind of metric, from whole tables; a step that is logged again changes nothing."""
+    log, lines = metrics.Metrics(spark, f"{_folder(spark)}/metrics"), table(spark, d, "lineitem")
+    for r in lines.groupBy("l_linenumber").agg(F.avg(F.col("l_quantity").cast("double")).alias("mean")).collect():  # seven rows
+        log.scalars(r.l_linenumber, {"quantity": r["mean"]})
+    assert not log.scalars(1, {"quantity": -1.0})
+    log.histogram(1, "quantity", lines, "l_quantity", 10)
+    log.texts(2, "items", table(spark, d, "benchmark").select(F.format_string("item %d", "item_id").alias("name"), "text"))
+    log.graph(2, "nations", table(spark, d, "nation").select(F.col("n_regionkey").alias("source"), F.col("n_nationkey").alias("target")))
+    log.table(3, "samples", [["a", "b"], ["x", 3]])
+    log.image(3, "dot.png", b"\x89PNG")
+    row = lambda kind, df, name, value: df.select(F.lit(kind).alias("kind"), "step", name.alias("name"), F.round(value.cast("double"), 6).alias("value"))
+    col = F.col
+    parts = [
+        row("scalar", log.read("scalars"), col("name"), col("value")), row("histogram", log.read("histograms").where("n > 0"), F.concat(F.lit("bin "), col("bin").cast("string")), col("n")),
+        row("text", log.read("texts"), col("name"), F.length("text")), row("graph", log.read("graphs"), F.concat_ws(">", "source", "target"), col("n")),
+        row("table", log.read("tables").where("header = 'b'"), F.concat_ws("/", "name", "row", "header"), col("value")), row("image", log.read("images"), col("name"), F.octet_length("image")),
+    ]
+    return functools.reduce(lambda x, y: x.unionByName(y), parts)
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_document(spark, d):
+    """A bounded table as one document, read back."""
+    path, rows = f"{_folder(spark)}/nations.json", table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
+    spec.write_document(spark, path, [r.asDict() for r in rows.collect()])
+    return spec.read_json_document(spark, path, rows.schema).select(rows.columns)
+
+
+@query("SELECT split, doc_id, toxic FROM (SELECT doc_id, toxic, CASE WHEN quality = 1 THEN 'good' ELSE 'other' END AS split FROM labels)")
+def named_splits(spark, d):
+    """Each split of a published dataset on its own, projected."""
+    path = f"{_folder(spark)}/splits"
+    spec.write_split(table(spark, d, "labels").withColumn("split", F.when(F.col("quality") == 1, "good").otherwise("other")), path)
+    parts = [spec.read_split(spark, path, s, ["doc_id", "toxic"]).withColumn("split", F.lit(s)) for s in ("good", "other")]
+    return parts[0].unionByName(parts[1])
+
+
+@query("SELECT item_id, md5(text || chr(10)) AS code FROM benchmark")
+def directory_of_scripts(spark, d):
+    """Every item as a script in a folder of its own; ids are paths."""
+    path = f"{_folder(spark)}/scripts"
+    table(spark, d, "benchmark").select("text", "item_id").repartition(F.col("item_id")).write.partitionBy("item_id").text(path)
+    return spec.read_scripts(spark, path).select(F.regexp_extract("item_id", r"^item_id=(\d+)/part-", 1).cast("long").alias("item_id"), F.md5("code").alias("code"))
+
+
+@query("SELECT CAST(row_number() OVER (ORDER BY idx) - 1 AS BIGINT) AS line, idx FROM (SELECT doc_id AS idx FROM documents ORDER BY md5('42:' || CAST(doc_id AS VARCHAR)), doc_id LIMIT 100)")
+def sample_order(spark, d):
+    """A sample of 100 rows, sorted by id: the lines of its file in their order."""
+    path = f"{_folder(spark)}/sample"
+    drawn = curate.sample_k(table(spark, d, "documents").select(F.col("doc_id").alias("idx")), "idx", 100)
+    commands._out(drawn.orderBy("idx"), path, False)
+    return spec.numbered_lines(spark, f"{path}/result").select("line", F.get_json_object("value", "$.idx").cast("long").alias("idx"))
 
 
 def _problems(spark, d):
@@ -586,11 +639,14 @@ def commands_prepare_dataset(spark, d):
     return commands.prepare_dataset(spark, "seq-lua-r", p, f"{_folder(spark)}/seq").select("position", F.col("idx").cast("string").alias("idx"), "lang")
 
 
-@query("SELECT \"case\", 'python' AS lang, status, n, true AS ok FROM (VALUES ('success', 'success', 3), ('fail-wrong-output', 'fail:wrong-output', 3), ('fail-error', 'fail:error', 3)) v(\"case\", status, n)")
+@query("SELECT CASE item_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'fail-wrong-output' ELSE 'fail-error' END AS \"case\", 'python' AS lang, CASE item_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'fail:wrong-output' ELSE 'fail:error' END AS status, CAST(3 * count(*) AS INTEGER) AS n, true AS ok FROM benchmark GROUP BY ALL")
 def commands_test_executors(spark, d):
-    """Conformance: each case three times to the same worker."""
-    two = [("7 2\n", "9"), ("1 1\n", "2")]
-    say = "a, b = map(int, input().split())\nprint({})\n"
-    rows = [("success", say.format("a + b"), two, "python", 5), ("fail-wrong-output", say.format("a * b"), two, "python", 5), ("fail-error", "1 / 0", two, "python", 5)]
-    cases = spark.createDataFrame(rows, f"case string, code string, test_cases array<{EXAMPLE}>, lang string, timeout_s int")
+    """Conformance: a program for every benchmark item, three times to the same worker."""
+    kind = F.col("item_id") % 3
+    case = F.when(kind == 0, "success").when(kind == 1, "fail-wrong-output").otherwise("fail-error")
+    code = F.when(kind == 2, F.concat(F.lit("raise ValueError("), F.col("item_id").cast("string"), F.lit(")"))).otherwise(F.concat(F.lit("print(len(input()) + "), F.col("item_id").cast("string"), F.lit(")")))
+    word = F.substring("text", 1, 9)
+    word = F.regexp_replace(word, r"[\r\n]", "_")
+    right = F.length(word) + F.col("item_id") + F.when(kind == 1, 1).otherwise(0)
+    cases = table(spark, d, "benchmark").select(case.alias("case"), code.alias("code"), F.array(F.struct(word.alias("input"), right.cast("string").alias("output"))).alias("test_cases"), F.lit("python").alias("lang"), F.lit(20).alias("timeout_s"))
     return commands.test_executors(spark, cases).groupBy("case", "lang", "status", "ok").agg(F.count("*").cast("int").alias("n"))

@@ -57,6 +57,18 @@ def read_spec(spark: SparkSession, text: str, schema: str | None = None) -> Data
     return df.limit(spec.flags["limit"]) if "limit" in spec.flags else df
 
 
+def load(spark: SparkSession, text: str, schema: str | None = None, **options) -> DataFrame:
+    """A dataset by the data source of this package: rows in the order of the files, a limit reads only what it needs.
+
+    Its tasks open files by themselves; read_spec goes through Spark's readers and any file system that Spark knows.
+    """
+    from benchloom.sources.reader import SpecSource
+
+    spark.dataSource.register(SpecSource)
+    r = spark.read.format(SpecSource.name()).option("spec", text)
+    return (r.schema(schema) if schema else r).options(**options).load()
+
+
 def write_spec(df: DataFrame, text: str, force: bool = False) -> None:
     """limit is for reading only. disk and hub refuse an empty table."""
     spec = parse_spec(text)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from benchloom.operators import evaluate, generate, harness, languages, packing, pools, runner
 from benchloom.schemas import EXAMPLE
-from benchloom.sources import sink, spec
+from benchloom.sources import reader, sink, spec
 from benchloom.streaming import keyed
 
 ITEMS = f"item_id string, code string, test_cases array<{EXAMPLE}>, lang string"
@@ -240,3 +240,48 @@ def test_quota(spark, tmp_path):
     assert len(times) == 30 + 6 + 3
     # clocks are read just before a request is counted
     assert all(b - a >= 0.97 for a, b in zip(times, times[10:]))
+
+
+def test_byte_ranges(tmp_path):
+    """Every line is in exactly one range, whatever the ranges, chunks and last line are."""
+    rng = random.Random(3)
+    old = reader.CHUNK
+    try:
+        for text in (b"", b"a", b"a\n", b"\n\n", b"".join(b"x" * rng.randrange(12) + b"\n" for _ in range(40)), b"long" * 50 + b"\nb", b"a\nb\n" + b"z" * 90):
+            (tmp_path / "f").write_bytes(text)
+            for reader.CHUNK in (1, 3, 16, 1 << 20):
+                for step in (1, 2, 7, 50, 1000):
+                    parts = [b"".join(reader.line_starts(str(tmp_path / "f"), a, min(len(text), a + step))) for a in range(0, len(text), step)]
+                    assert b"".join(parts) == text
+                    assert all(p.endswith(b"\n") or not any(parts[i + 1 :]) for i, p in enumerate(parts) if p)
+    finally:
+        reader.CHUNK = old
+
+
+@pytest.mark.parametrize("kind", ["jsonl", "csv", "disk"])
+def test_data_source(spark, tmp_path, kind):
+    """Rows by number, limits and columns; a limit plans only the ranges it needs."""
+    rows = spark.range(0, 1000, numPartitions=4).select("id", F.concat(F.lit("a, \"b\" "), F.col("id").cast("string")).alias("t"), F.when(F.col("id") % 3 == 0, F.col("id") / 2).alias("half"))
+    name = f"{kind}:file://{tmp_path}/{kind}"
+    spec.write_spec(rows, name)
+    schema = "half double, line long, id long"
+    whole = spec.load(spark, name, schema, bytes="999")
+    assert [(r.id, r.half, r.line) for r in whole.orderBy("line").collect()] == [(i, i / 2 if i % 3 == 0 else None, i) for i in range(1000)]
+    assert [r.t for r in spec.load(spark, name, "t string").collect()][-1] == 'a, "b" 999'
+    for start, stop in ((0, 0), (0, 1), (240, 260), (249, 251), (990, 2000), (1000, 1001)):
+        got = spec.load(spark, name, schema, bytes="999", start=str(start), stop=str(stop)).orderBy("id").collect()
+        assert [(r.id, r.line) for r in got] == [(i, i) for i in range(start, min(stop, 1000))]
+    limited = spec.load(spark, f"{name}:limit=7", "id long", bytes="999")
+    assert sorted(r.id for r in limited.collect()) == list(range(7)) and limited.rdd.getNumPartitions() == 1
+    assert dict(spec.load(spark, name).dtypes)["id"] == "bigint"
+    empty = spec.load(spark, name, "id long", start="5000").collect()
+    assert empty == []
+
+
+def test_line_filters(spark, tmp_path):
+    """Two filters of one table don't touch each other."""
+    name = f"jsonl:file://{tmp_path}/x"
+    spec.write_spec(spark.range(0, 300, numPartitions=3), name)
+    df = spec.load(spark, name, "id long, line long", bytes="200")
+    assert df.where("line >= 150 AND line < 155").count() == 5 and df.count() == 300 and [r.id for r in df.where("line = 299").collect()] == [299]
+    assert df.rdd.getNumPartitions() > 12
