@@ -1,14 +1,18 @@
 """Running untrusted programs against test cases, inside Spark tasks.
 
 Every program runs in a child process of its own: new session, an environment of PATH, HOME and LANG, a
-temporary folder, no network where the kernel lets us cut it, limits on memory, CPU seconds, processes,
-file size and open files; the whole process group is killed at a timeout. Output is compared as a whole,
+temporary folder, limits on memory, CPU seconds, processes, file size and open files; the whole process group is
+killed at a timeout. Where the kernel allows it, programs run in a box (see box): user, mount and process
+namespaces of their own, without network and without the machine's files; elsewhere only the network is cut if that can be. Output is compared as a whole,
 up to the limit on file size; only what a result stores is cut. The first failing test decides. Any exception becomes a row, never a failed task. Results are keyed by
 item_id, so a retried task only repeats rows that the sink drops.
 """
 
 from __future__ import annotations
 
+import functools
+import inspect
+import json
 import os
 import resource
 import shutil
@@ -19,6 +23,7 @@ import tempfile
 
 from pyspark.sql import DataFrame
 
+from benchloom.operators import box
 from benchloom.schemas import RESULT
 
 #: lang -> (file name, compile command or None, run command, flags).
@@ -44,9 +49,35 @@ def available(lang: str) -> bool:
     return all(shutil.which(c[0]) or c[0].startswith("./") for c in (build or run, run))
 
 
-def _limits(timeout: float):
+#: A box's tmpfs, its processes, and the users that boxes started by root run as.
+BOX_BYTES, BOX_PROCESSES, BOX_USERS = 128 << 20, 512, range(200_000, 260_000)
+
+
+def boxed(command: list[str], folder: str, root: str) -> list[str]:
+    """The command in a box; root: an empty folder where the box's file system is made."""
+    homes = {os.path.dirname(p) if os.path.basename(p) in ("bin", "sbin") else p for p in os.environ.get("PATH", "").split(os.pathsep) if p.startswith("/")}
+    seen = sorted(p for p in {sys.prefix, sys.base_prefix, *homes} if p not in ("/", ""))
+    uid = 0 if os.getuid() else BOX_USERS[os.getpid() * 31 % len(BOX_USERS)]
+    settings = {"root": root, "folder": os.path.realpath(folder), "seen": seen, "uid": uid, "bytes": BOX_BYTES, "processes": BOX_PROCESSES}
+    return [sys.executable, "-I", "-S", "-c", inspect.getsource(box), json.dumps(settings), *command]
+
+
+@functools.cache
+def can_box() -> bool:
+    """Whether this machine lets this user make boxes, tried once."""
+    if not hasattr(os, "unshare") or os.uname().machine not in box.PIVOT_ROOT:
+        return False
+    with tempfile.TemporaryDirectory(prefix="run-") as folder, tempfile.TemporaryDirectory(prefix="box-") as root:
+        try:
+            said = subprocess.run(boxed([sys.executable, "-I", "-c", "print(1)"], folder, root), cwd=folder, capture_output=True, timeout=60, check=False)
+        except (OSError, subprocess.TimeoutExpired):
+            return False
+        return said.returncode == 0 and said.stdout == b"1\n"
+
+
+def _limits(timeout: float, unshare: bool = True):
     def apply():
-        for flags in (os.CLONE_NEWNET, os.CLONE_NEWUSER | os.CLONE_NEWNET) if hasattr(os, "unshare") else ():
+        for flags in (os.CLONE_NEWNET, os.CLONE_NEWUSER | os.CLONE_NEWNET) if unshare and hasattr(os, "unshare") else ():
             try:
                 os.unshare(flags)
                 break
@@ -64,9 +95,13 @@ def _limits(timeout: float):
 
 def execute(command: list[str], stdin: str, timeout: float, folder: str, limit: bool = True) -> tuple[int | None, str, str]:
     """(exit code, stdout, stderr); exit code None at a timeout."""
+    folder = os.path.realpath(folder)
     env = {"PATH": os.environ.get("PATH", ""), "HOME": folder, "LANG": "C.UTF-8"}
-    with tempfile.TemporaryFile() as out, tempfile.TemporaryFile() as err:
-        p = subprocess.Popen(command, cwd=folder, env=env, stdin=subprocess.PIPE, stdout=out, stderr=err, start_new_session=True, preexec_fn=_limits(timeout) if limit else None)
+    in_box = limit and can_box()
+    with tempfile.TemporaryFile() as out, tempfile.TemporaryFile() as err, tempfile.TemporaryDirectory(prefix="box-") as root:
+        if in_box:
+            command = boxed(command, folder, root)
+        p = subprocess.Popen(command, cwd=folder, env=env, stdin=subprocess.PIPE, stdout=out, stderr=err, start_new_session=True, preexec_fn=_limits(timeout, not in_box) if limit else None)
         try:
             p.communicate(stdin.encode(), timeout)
             code = p.returncode

@@ -285,3 +285,55 @@ def test_line_filters(spark, tmp_path):
     df = spec.load(spark, name, "id long, line long", bytes="200")
     assert df.where("line >= 150 AND line < 155").count() == 5 and df.count() == 300 and [r.id for r in df.where("line = 299").collect()] == [299]
     assert df.rdd.getNumPartitions() > 12
+
+
+@pytest.mark.skipif(not runner.can_box(), reason="this machine allows no namespaces")
+class TestBox:
+    def status(self, code, output="", stdin="", timeout=20.0):
+        return runner.run_item(code, [{"input": stdin, "output": output}], "python", timeout)
+
+    def test_files(self, tmp_path):
+        """Neither the repository nor other folders can be seen; the program's own folder can, and is its own copy."""
+        (tmp_path / "secret").write_text("x")
+        for path in (__file__, str(tmp_path / "secret"), "/etc/passwd", "/root/repo/README.md"):
+            assert self.status(f"open({path!r}).read()")["stderr"].count("FileNotFoundError") == 1
+        assert self.status("import os\nopen('mine', 'w').write('x')\nprint(sorted(os.listdir('.')), os.listdir('/tmp') == [os.path.basename(os.getcwd())], os.getuid() != 0)", "['mine', 'snippet.py'] True True")["status"] == "success"
+        assert "Read-only" in self.status("open('/usr/x', 'w')")["stderr"] or "Permission" in self.status("open('/usr/x', 'w')")["stderr"]
+
+    def test_full_disk(self):
+        code = f"f = open('big', 'wb')\ntry:\n    for _ in range({runner.BOX_BYTES >> 20}):\n        f.write(b'x' * (1 << 20))\nexcept OSError as e:\n    print(e.errno)"
+        assert self.status(code, "28")["status"] == "success"
+
+    def test_fork_bomb(self):
+        """Processes are limited, and none outlives the program."""
+        mark = str(random.Random().randrange(10**12))
+        code = f"import os, time\nn = 0\ntry:\n    while n < 5000:\n        if os.fork() == 0:\n            time.sleep({mark[:3]} + 600)\n        n += 1\nexcept OSError:\n    print(0 < n < {runner.BOX_PROCESSES})"
+        before = _processes()
+        assert self.status(code, "True")["status"] == "success"
+        deadline = time.time() + 20
+        while _processes() > before + 50 and time.time() < deadline:
+            time.sleep(0.2)
+        assert _processes() <= before + 50
+
+    def test_network(self):
+        assert "unreachable" in self.status("import socket\nsocket.create_connection(('127.0.0.1', 9), 2)")["stderr"]
+
+    def test_outcomes(self):
+        """Exit codes and signals come through, a timeout ends everything, other programs' processes can't be seen."""
+        assert self.status("raise SystemExit(7)")["exit_code"] == 7
+        assert [self.status(f"import os, signal\nos.kill(os.getpid(), signal.{s})")["exit_code"] for s in ("SIGKILL", "SIGSEGV", "SIGTERM")] == [-9, -11, -15]
+        assert self.status("import os\nos.abort()")["exit_code"] == -6
+        assert self.status("import subprocess\nsubprocess.Popen(['sleep', '600'])\nwhile True: pass", timeout=1.5)["status"] == "fail:timeout"
+        assert self.status("import os\nprint(sum(p.isdigit() for p in os.listdir('/proc')))", "2")["status"] == "success"
+        assert self.status("print(input() * 2)", "abab", "ab\n")["status"] == "success"
+
+    def test_without(self, monkeypatch):
+        """Where boxes can't be made, programs run under limits alone."""
+        monkeypatch.setattr(runner, "can_box", lambda: False)
+        assert self.status("print(input())", "x", "x")["status"] == "success"
+
+
+def _processes():
+    import os
+
+    return sum(p.isdigit() for p in os.listdir("/proc"))
