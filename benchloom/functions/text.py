@@ -50,13 +50,28 @@ def final_block(r: Column) -> Column:
     Null in, null out; an empty answer is null.
     """
     last = F.try_element_at(F.regexp_extract_all(r, F.lit(BLOCK), F.lit(1)), F.lit(-1))
-    rest = F.regexp_replace(r, BLOCK, MARK)
-    open_ = rest.rlike(OPENER)
-    tail = F.regexp_replace(F.substring_index(rest, MARK, -1), r"\A\n+", "")
-    looks_like_code = r.rlike(rf"\A(?:{FENCE}|import |from )") | (F.length(r) < 100) | r.contains("\n")
-    blank = F.regexp_replace(last, r"(?U)\A\s+", "") == ""
-    answer = F.when(blank & ~open_, cut_at_fence(tail)).when(last.isNotNull(), clean_fences(last)).when(open_, F.lit(None)).when(looks_like_code, clean_fences(r))
-    return present(answer)
+
+    def without(r: Column) -> Column:
+        looks_like_code = r.rlike(rf"\A(?:{FENCE}|import |from )") | (F.length(r) < 100) | r.contains("\n")
+        return F.when(~r.rlike(OPENER) & looks_like_code, clean_fences(r))
+
+    def behind(s: Column) -> Column:
+        # an empty last block: what follows the last closed block, unless an opener in what is left hides it
+        rest = F.regexp_replace(s["r"], BLOCK, MARK)
+        tail = lambda x: cut_at_fence(F.regexp_replace(F.substring_index(x, MARK, -1), r"\A\n+", ""))
+        return bound(rest, lambda x: F.when(x.rlike(OPENER), s["clean"]).otherwise(tail(x)))
+
+    def chosen(s: Column) -> Column:
+        blank = F.regexp_replace(s["last"], r"(?U)\A\s+", "") == ""
+        with_clean = F.struct(s["r"].alias("r"), clean_fences(s["last"]).alias("clean"), blank.alias("blank"))
+        return F.when(s["last"].isNull(), without(s["r"])).otherwise(bound(with_clean, lambda x: F.when(x["blank"], behind(x)).otherwise(x["clean"])))
+
+    return present(bound(F.struct(r.alias("r"), last.alias("last")), chosen))
+
+
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def after_thinking_or_all(r: Column) -> Column:
