@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import ast
 import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from benchloom.functions import text as T
+from benchloom.functions.py_syntax import is_program
 
 BLOCKS = "struct<blocks:array<struct<code:string,at:int>>,end:int>"
 BREAK = re.compile(r"\n\n+|(\n?</think>\n*)")
@@ -16,15 +16,6 @@ CODE_STARTS = (T.FENCE, "#", "import ", "from ")
 SHORT = 100
 
 
-def is_python(code: str) -> bool:
-    """By the interpreter's own grammar; a text of nothing but blanks is a program, too."""
-    try:
-        ast.parse(code)
-        return True
-    except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return False
-
-
 def unfenced(text: str) -> str:
     body = text.lstrip()
     if opening := re.match(rf"{T.FENCE}.*\n+", body):
@@ -58,7 +49,7 @@ def code_blocks(text: str, only_thinking: bool = True) -> tuple[list[tuple[str,
             code, place = unfenced(par), at
             if open_:
                 code, place = f"{out[-1][0]}\n\n{code}", out[-1][1]
-            if good := is_python(code):
+            if good := is_program(code):
                 out[-1:] = [(code, place)] if open_ else [*out[-1:], (code, place)]
         open_ = good
     return out, end
@@ -90,6 +81,6 @@ def parses_as_python(code: Column) -> Column:
     def fine(texts):
         import pandas as pd
 
-        return pd.Series([None if t is None else is_python(t) for t in texts], dtype="boolean")
+        return pd.Series([None if t is None else is_program(t) for t in texts], dtype="boolean")
 
     return fine(code)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from benchloom.functions import code_blocks, settings, subwords
+from benchloom.functions import code_blocks, py_syntax, settings, subwords
 from benchloom.functions import text as T
 from benchloom.operators import curate, generate, languages, packing, results, runner
 from benchloom.sources import spec
@@ -321,3 +321,20 @@ def test_chat_rows(spark):
     assert got[1].input_ids == text(300, "user\na", 301, "\n", *begun, "b", 301) and got[2].input_ids == text(*begun, 301)
     assert got[5].input_ids == text(300, "system\ns<end>", 301, "\n", 300, "\n", 301, "\n", *begun, "ü", 301)
     assert [sum(got[k].prompt_mask) for k in (1, 2, 5)] == [2, 1, 3] and all(got[k].prompt_mask == sorted(got[k].prompt_mask) and len(got[k].prompt_mask) == len(got[k].input_ids) == sum(got[k].attention_mask) for k in got)
+
+
+OLDER = [
+    "print 'a'", "print", "print 'a', b,", "if x:\n    print 'a' % b, c # d\nelse: print 'e'\n", "print >>f, 'x', y", "exec 'a = 1'", "exec code in ns", "x = 1; print x; y = 2",
+    "try:\n    f()\nexcept A, e:\n    print e\nexcept (B, C), e: pass\n", "raise A, 'b'", "if a <> b: pass", "x = 0777 + 10L", "def f():\n\tif a:\n\t    print 'x'\n        return 1\n",
+    "if a:\n        x = 1\n\ty = 2\n", "print 'it\\'s', \"a # b\", '''c\nd'''", "for i in range(3): print i,", "print (a), b", "print -1", "class A:\n    def f(self): print self.x\n", "a = b if c <> d else 09",
+]
+NEVER = ["print 'a' b", "print x for x in y", "print a=1", "def f(:", "x = (1", "the text of a page", "except A, b, c: pass", "raise", "print 'a", "exec", "1 <> ", "if x print y", "a b", "print (", "x = 5x"]
+
+
+def test_older_programs():
+    """Forms of older grammars are programs; what no grammar has stays none; today's programs are left as they are."""
+    assert [c for c in OLDER if not py_syntax.is_program(c)] == []
+    assert [c for c in NEVER if py_syntax.is_program(c) and not py_syntax.parses(c)] == []
+    source = open(py_syntax.__file__).read()
+    assert py_syntax.todays(source) == source
+    assert code_blocks.code_blocks("print 'a'\n\nprint 'b'\n\nsome words of prose\n</think>")[0] == [("print 'a'\n\nprint 'b'", 0)]
