@@ -639,6 +639,54 @@ def commands_prepare_dataset(spark, d):
     return commands.prepare_dataset(spark, "seq-lua-r", p, f"{_folder(spark)}/seq").select("position", F.col("idx").cast("string").alias("idx"), "lang")
 
 
+_HELD = "'Solve this programming problem.' || chr(10) || chr(10) || text || chr(10) || chr(10) || chr(10) || chr(10) || 'Write the whole program in ' || lang || ', in one fenced block.'"
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY draw, item_id) - 1 AS BIGINT) AS position, CAST(item_id AS VARCHAR) AS idx, lang, md5({_HELD}) AS prompt FROM (SELECT *, list_extract(['lua', 'julia'], CAST(CAST('0x' || substr(draw, 1, 8) AS BIGINT) % 2 AS BIGINT) + 1) AS lang FROM (SELECT *, md5('42:' || CAST(item_id AS VARCHAR)) AS draw FROM benchmark))")
+def commands_prepare_mix(spark, d):
+    """One language drawn for each problem, in the order of keyed hashes, by the command and its files."""
+    return _prepared(spark, d, "mix-lua-julia")
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY draw, item_id, p) - 1 AS BIGINT) AS position, CAST(item_id AS VARCHAR) AS idx, lang, md5({_HELD}) AS prompt FROM (SELECT *, md5('42:' || CAST(item_id AS VARCHAR)) AS draw FROM benchmark), (VALUES (0, 'lua'), (1, 'julia'), (2, 'r')) l(p, lang)")
+def commands_prepare_fullmix(spark, d):
+    """Every problem in every language."""
+    return _prepared(spark, d, "fullmix-lua-julia-r")
+
+
+def _prepared(spark, d, name):
+    p = _problems(spark, d).withColumns({"test_cases": F.array(F.struct(F.lit("1").alias("input"), F.lit("2").alias("output"))), "idx": F.col("idx").cast("long")})
+    return commands.prepare_dataset(spark, name, p, f"{_folder(spark)}/{name}").select("position", F.col("idx").cast("string").alias("idx"), "lang", F.md5("prompt").alias("prompt"))
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS idx, 'Question:' || chr(10) || text || chr(10) || 'Answer in C++ 17.' AS prompt FROM benchmark")
+def commands_benchmark_prompts(spark, d):
+    """A benchmark's table to prompts, by its spec."""
+    root = _folder(spark)
+    spec.write_spec(table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"), F.col("text").alias("question_content")), f"disk:{root}/bench")
+    return commands.write_benchmark_prompts(spark, f"disk:{root}/bench", f"{root}/prompts", "cpp").select("idx", "prompt")
+
+
+@query("WITH c AS (SELECT event_type AS model, sum(CAST(event_id AS DECIMAL(20,0)) * 15 + CAST(user_id AS DECIMAL(20,0)) * 60) AS e8 FROM events GROUP BY event_type) SELECT model, CAST(e8 AS BIGINT) AS e8, round(CAST(e8 AS DOUBLE) / 100000000, 4) AS cost FROM c")
+def commands_llm_cost(spark, d):
+    """A model for each kind of event; exact dollars."""
+    calls = table(spark, d, "events").select(F.col("event_type").alias("model"), F.col("event_id").alias("tokens_in"), F.col("user_id").alias("tokens_out"))
+    prices = calls.select("model").distinct().withColumns({"price_in": F.lit("0.15"), "price_out": F.lit("0.60")})
+    found = commands.llm_cost(spark, calls, prices)
+    return found.select("model", (F.col("dollars") * 100000000).cast("long").alias("e8"), F.round(F.substring("cost", 2, 40).cast("double"), 4).alias("cost"))
+
+
+@query("SELECT CAST(conv_id AS VARCHAR) AS idx, CAST(turn AS INTEGER) AS sample_idx, 'y = ' || CAST(length(coalesce(text, '')) AS VARCHAR) || chr(10) AS answer, ['import os' || chr(10) || 'n = ' || CAST(turn AS VARCHAR)] AS blocks FROM conversations")
+def commands_find_code(spark, d):
+    """Responses as files to code in the thinking and final blocks as files."""
+    root = _folder(spark)
+    n, k = F.col("turn").cast("string"), F.length(F.coalesce("text", F.lit(""))).cast("string")
+    said = F.concat(F.lit("<think>\nsome words that are no code at all\n\nimport os\nn = "), n, F.lit("\n\nmore words of prose here\n</think>\n```py\ny = "), k, F.lit("\n```\n"))
+    rows = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("idx"), F.col("turn").cast("int").alias("sample_idx"), F.lit("p").alias("prompt"), said.alias("response"), F.lit(None).cast("string").alias("error"))
+    commands._out(rows, f"{root}/responses", False)
+    return commands.find_code(spark, f"{root}/responses", f"{root}/code").select("idx", "sample_idx", "answer", "blocks")
+
+
 @query("SELECT CASE item_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'fail-wrong-output' ELSE 'fail-error' END AS \"case\", 'python' AS lang, CASE item_id % 3 WHEN 0 THEN 'success' WHEN 1 THEN 'fail:wrong-output' ELSE 'fail:error' END AS status, CAST(3 * count(*) AS INTEGER) AS n, true AS ok FROM benchmark GROUP BY ALL")
 def commands_test_executors(spark, d):
     """Conformance: a program for every benchmark item, three times to the same worker."""
