@@ -207,9 +207,9 @@ def widest(pts: np.ndarray) -> np.uint64:
     return tried[hamming(tried[:, None], judges[None, :]).astype(float).var(axis=1).argmax()]
 
 
-def shard_tree(sample: np.ndarray, depth: int) -> list:
-    """Vantage points and radii of the levels above the shards: (point, radius) in heap order."""
-    nodes: list = [None] * (2**depth)
+def shard_tree(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vantage points and radii of the levels above the shards, in heap order."""
+    vantages, radii = np.zeros(2**depth, np.uint64), np.zeros(2**depth, np.int16)
     members = {1: sample}
     for at in range(1, 2**depth):
         pts = members.pop(at, np.empty(0, np.uint64))
@@ -218,32 +218,40 @@ def shard_tree(sample: np.ndarray, depth: int) -> list:
         radius = int(np.median(d)) if len(d) else 32
         if len(d) and (d <= radius).all():
             radius = int(d.max()) - 1
-        nodes[at] = (vantage, radius)
+        vantages[at], radii[at] = vantage, radius
         members[2 * at], members[2 * at + 1] = pts[d <= radius], pts[d > radius]
-    return nodes
+    return vantages, radii
 
 
-def dealt(points: np.ndarray, nodes: list, depth: int, radius: int):
-    """(index, shard, is home) of each point in its home shard and the later shards that its ball meets."""
-    home = np.ones(len(points), np.int64)
+def dealt(points: np.ndarray, nodes: tuple[np.ndarray, np.ndarray], depth: int, radius: int):
+    """(index, shard, is home) of each point in its home shard and the later shards that its ball meets.
+
+    All points go down the tree together, a level at a time, so the work is in proportion to the rows that are dealt.
+    """
+    vantages, bounds = nodes
+    i, at, home = np.arange(len(points)), np.ones(len(points), np.int64), np.ones(len(points), bool)
     for _ in range(depth):
-        vantage = np.array([n[0] if n else 0 for n in nodes], np.uint64)[home]
-        bound = np.array([n[1] if n else 0 for n in nodes], np.int16)[home]
-        home = 2 * home + (hamming(points, vantage) > bound)
-    out = [(np.arange(len(points)), home, np.ones(len(points), bool))]
-    todo = [(1, np.arange(len(points)))]
-    while todo:
-        at, q = todo.pop()
-        if not len(q):
-            continue
-        if at >= 2**depth:
-            q = q[home[q] < at]
-            out.append((q, np.full(len(q), at), np.zeros(len(q), bool)))
-            continue
-        vantage, bound = nodes[at]
-        d = hamming(points[q], vantage)
-        todo += [(2 * at, q[d <= bound + radius]), (2 * at + 1, q[d > bound - radius])]
-    return tuple(np.concatenate(x) for x in zip(*out))
+        d, bound = hamming(points[i], vantages[at]), bounds[at]
+        inner, near, far = d <= bound, d <= bound + radius, d > bound - radius
+        i, home = np.concatenate([i[near], i[far]]), np.concatenate([home[near] & inner[near], home[far] & ~inner[far]])
+        at = np.concatenate([2 * at[near], 2 * at[far] + 1])
+    own = np.empty(len(points), np.int64)
+    own[i[home]] = at[home]
+    kept = home | (own[i] < at)
+    return i[kept], at[kept], home[kept]
+
+
+def replication(points: DataFrame, radius: int = RADIUS) -> float:
+    """Rows that are dealt to shards for each of the distinct points: 1 would be home shards alone."""
+    nodes, depth = region_tree(points)
+
+    def count(it):
+        import pyarrow as pa
+
+        n = sum(len(dealt(b.column(0).to_numpy().view(np.uint64), nodes, depth, radius)[0]) for b in it)
+        yield pa.record_batch([pa.array([n])], names=["n"])
+
+    return (points.mapInArrow(count, "n long").agg(F.sum("n")).first()[0] or 0) / max(1, points.count())
 
 
 def _joined(col) -> tuple[np.ndarray, np.ndarray]:
@@ -273,13 +281,18 @@ def fingerprints(docs: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE
     return rows.mapInArrow(batches, "doc_id long, text_hash long, fp long")
 
 
-def near_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """points: distinct `fp`. Edges (a, b) that span every group of points linked within radius."""
+def region_tree(points: DataFrame) -> tuple[tuple[np.ndarray, np.ndarray], int]:
+    """The tree above the shards of these points, and its depth."""
     n = points.count()
     depth = max(0, int(np.ceil(np.log2(max(1, n / SHARD_POINTS)))))
     wanted = min(MOST_SAMPLE, max(SAMPLE_POINTS, SHARD_SAMPLE * 2**depth))
     drawn = points.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < int(min(1.0, wanted / max(n, 1)) * (1 << 30))).limit(2 * wanted).toPandas()["fp"]
-    nodes = shard_tree(np.sort(drawn.to_numpy(np.int64)).view(np.uint64), depth)
+    return shard_tree(np.sort(drawn.to_numpy(np.int64)).view(np.uint64), depth), depth
+
+
+def near_links(points: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """points: distinct `fp`. Edges (a, b) that span every group of points linked within radius."""
+    nodes, depth = region_tree(points)
 
     def deal(it):
         import pyarrow as pa

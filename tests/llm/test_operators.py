@@ -524,3 +524,20 @@ def test_decontamination_of_long_items(spark):
     assert [got[i]["items"] for i in range(4)] == [["0"], ["1"], ["1"], []]
     filters = [line for plan in plans for line in plan.split("\n") if "Filter" in line]
     assert filters and not any("xxhash64" in line for line in filters)  # no filter makes gram hashes
+
+
+def test_dealing_to_shards():
+    """Every point has one home; of two points within the radius, one at least is dealt to the other's home."""
+    rng = np.random.default_rng(5)
+    centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    points = np.unique(np.concatenate([centres ^ (np.uint64(1) << rng.integers(0, 63, 40).astype(np.uint64)) for _ in range(30)] + [centres, rng.integers(0, 1 << 63, 500, dtype=np.uint64)]))
+    for depth in (0, 1, 4, 6):
+        i, shard, home = simhash.dealt(points, simhash.shard_tree(points[::3], depth), depth, 2)
+        own = np.full(len(points), -1)
+        own[i[home]] = shard[home]
+        assert home.sum() == len(points) and (own >= 2**depth).all() and (own < 2 ** (depth + 1)).all()
+        there = set(zip(i.tolist(), shard.tolist()))
+        assert len(there) == len(i)
+        a, b = np.nonzero(np.triu(simhash.hamming(points[:, None], points[None, :]) <= 2, 1))
+        assert len(a) > 100 and all((x, own[y]) in there or (y, own[x]) in there for x, y in zip(a.tolist(), b.tolist()))
+        assert (shard[~home] > own[i[~home]]).all()
