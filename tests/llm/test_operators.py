@@ -541,3 +541,10 @@ def test_dealing_to_shards():
         a, b = np.nonzero(np.triu(simhash.hamming(points[:, None], points[None, :]) <= 2, 1))
         assert len(a) > 100 and all((x, own[y]) in there or (y, own[x]) in there for x, y in zip(a.tolist(), b.tolist()))
         assert (shard[~home] > own[i[~home]]).all()
+
+
+def test_empty_pages(spark, tmp_path):
+    """Without pages there are no verdicts."""
+    spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(0).write.parquet(f"{tmp_path}/pages.parquet")
+    out = url_filter.op2_url_filter(spark, str(tmp_path))
+    assert out.count() == 0 and {"page_id", "host", "path", "rule", "verdict"} <= set(out.columns)
