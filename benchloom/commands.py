@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from benchloom.functions import code_blocks, prompts
 from benchloom.functions import text as T
-from benchloom.operators import curate, generate, harness, results, runner
+from benchloom.operators import curate, generate, harness, languages, pools, results, runner
 from benchloom.schemas import ANSWER, EXAMPLE, RAW_PROBLEM, RL_ROW, SOLUTIONS
 from benchloom.sources import spec
 
@@ -110,9 +110,10 @@ def extract_answers(spark: SparkSession, responses: str, out: str, force: bool =
     return _out(rows.select("idx", "sample_idx", T.issues_of(answer).alias("issues"), answer.alias("answer")), out, force)
 
 
-def verify_answers(spark: SparkSession, answers: str, problems: DataFrame, out: str, lang: str, timeout: float = 15.0, keep_worker: bool = False, force: bool = False) -> DataFrame:
+def verify_answers(spark: SparkSession, answers: str, problems: DataFrame, out: str, lang: str, timeout: float = 15.0, keep_worker: bool = False, configs: str | None = None, force: bool = False) -> DataFrame:
     """(item_id, status): each different answer to a problem runs once; answers that are missing or have no tests say so.
 
+    configs: a folder of language configurations; their languages run in pools of long-lived workers.
     problems: idx and test_cases. After the output is written, answers without a problem are an error.
     """
     rows = _step(spark, answers, ANSWER).withColumn("item_id", T.item_id(F.col("idx"), F.col("sample_idx")))
@@ -120,7 +121,11 @@ def verify_answers(spark: SparkSession, answers: str, problems: DataFrame, out:
     attached = curate.shared_table(results.attach_tests(rows, tests, "idx", "test_cases").withColumn("lang", F.lit(lang)), "attached")
     there = attached.where("NOT missing AND coalesce(answer, '') <> ''").withColumnRenamed("answer", "code")
     none = there.where("test_cases IS NULL OR size(test_cases) = 0").select("item_id", F.lit("fail:no-tests").alias("status"))
-    run = (lambda x: harness.supervise(x, timeout=timeout)) if keep_worker else (lambda x: runner.run_items(x, timeout))
+    if configs is not None:
+        known = languages.read_configs(spark, configs)
+        run = lambda x: pools.run_pools(x, known, timeout)
+    else:
+        run = (lambda x: harness.supervise(x, timeout=timeout)) if keep_worker else (lambda x: runner.run_items(x, timeout))
     done = results.run_and_fan_out(there.where("size(test_cases) > 0"), ["idx", "code"], lambda x: run(x).select("item_id", "status")).unionByName(none)
     written = _out(results.with_rejected(done, attached), out, force, lang=lang, timeout=timeout)
     results.fail_on_missing(attached)
@@ -200,8 +205,8 @@ def main(argv: list[str] | None = None) -> None:
     command("write-benchmark-prompts", "benchmark", "out", "lang")
     command("generate", "made", "out", client="benchloom.operators.generate:echo_client", n=1)
     command("extract-answers", "responses", "out")
-    command("verify-answers", "answers", "problems", "out", "lang", timeout=15.0, keep_worker=False)
-    command("verify-from-generate", "responses", "problems", "out", "lang", timeout=15.0, keep_worker=False)
+    command("verify-answers", "answers", "problems", "out", "lang", timeout=15.0, keep_worker=False, configs=None)
+    command("verify-from-generate", "responses", "problems", "out", "lang", timeout=15.0, keep_worker=False, configs=None)
     command("describe-verify-results", "paths")
     command("prepare-dataset", "name", "problems", "out", seed=42)
     command("find-code", "responses", "out")

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
 import shlex
 
+from pyspark.sql import SparkSession
+
 KEYS = {"prompt", "install", "container", "filename", "compile", "execute"}
 REQUIRED = {"prompt", "filename", "execute"}
 
@@ -37,3 +40,21 @@ def registered(configs: dict[str, str]) -> dict[str, tuple]:
         c = parse_language(text)
         out[name] = (c["filename"], shlex.split(c["compile"]) if c.get("compile") else None, shlex.split(c["execute"]), {})
     return out
+
+
+def read_configs(spark: SparkSession, path: str) -> dict[str, str]:
+    """Language configurations by name: the YAML and JSON files in a folder, each named by its language.
+
+    They are a bounded part of a run's settings, so they come to the driver; a bad one is an error here and not in a task.
+    """
+    rows = spark.read.text(path, wholetext=True).selectExpr("_metadata.file_name AS name", "value").collect()
+    found = {}
+    for r in rows:
+        stem, _, kind = r["name"].rpartition(".")
+        if kind not in ("yaml", "yml", "json") or not re.fullmatch(r"[\w+#-]+", stem):
+            raise ValueError(f"not a language's configuration: {r['name']!r}")
+        if stem in found:
+            raise ValueError(f"two configurations of {stem!r}")
+        parse_language(r["value"])
+        found[stem] = r["value"]
+    return found

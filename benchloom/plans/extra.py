@@ -639,6 +639,21 @@ def commands_prepare_dataset(spark, d):
     return commands.prepare_dataset(spark, "seq-lua-r", p, f"{_folder(spark)}/seq").select("position", F.col("idx").cast("string").alias("idx"), "lang")
 
 
+@query("SELECT CAST(item_id AS VARCHAR) || '/0' AS item_id, CASE WHEN item_id % 6 = 0 THEN 'fail:no-answer' WHEN item_id % 6 = 1 THEN 'fail:no-tests' WHEN item_id % 6 = 2 THEN 'fail:wrong-output' WHEN item_id % 6 = 3 THEN 'fail:error' ELSE 'success' END AS status FROM benchmark")
+def commands_verify_configured(spark, d):
+    """Answers in a language that only a configuration file knows: it compiles, then runs without assertions."""
+    import sys
+
+    root, i, n = _folder(spark), F.col("item_id"), F.length("text").cast("string")
+    spec.write_document(spark, f"{root}/languages/terse.yaml", f"prompt: Use it.\nfilename: main.py\ncompile: {sys.executable} -m py_compile main.py\nexecute: {sys.executable} -O main.py\n")
+    # an assertion that fails is only passed over by the configured way to run
+    code = F.when(i % 6 == 3, "def f(:").when(i % 6 != 0, F.concat(F.lit("assert False\nprint("), n, F.when(i % 6 == 2, " + 1").otherwise(""), F.lit(")")))
+    b = table(spark, d, "benchmark")
+    commands._out(b.select(i.cast("string").alias("idx"), F.lit(0).alias("sample_idx"), F.lit(None).cast("string").alias("issues"), code.alias("answer")), f"{root}/answers", False)
+    tests = b.select(i.cast("string").alias("idx"), F.when(i % 6 != 1, F.array(F.struct(F.lit("").alias("input"), n.alias("output")))).alias("test_cases"))
+    return commands.verify_answers(spark, f"{root}/answers", tests, f"{root}/out", "terse", configs=f"{root}/languages").select("item_id", "status")
+
+
 _HELD = "'Solve this programming problem.' || chr(10) || chr(10) || text || chr(10) || chr(10) || chr(10) || chr(10) || 'Write the whole program in ' || lang || ', in one fenced block.'"
 
 

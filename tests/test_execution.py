@@ -337,3 +337,18 @@ def _processes():
     import os
 
     return sum(p.isdigit() for p in os.listdir("/proc"))
+
+
+def test_read_configs(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "one.yaml").write_text("prompt: x\nfilename: a.x\nexecute: run a.x\n")
+    (tmp_path / "a" / "two.json").write_text('{"prompt": "x", "filename": "b", "compile": "c b", "execute": "./b"}')
+    found = languages.registered(languages.read_configs(spark, str(tmp_path / "a")))
+    assert found == {"one": ("a.x", None, ["run", "a.x"], {}), "two": ("b", ["c", "b"], ["./b"], {})}
+    (tmp_path / "a" / "one.json").write_text('{"prompt": "x", "filename": "b", "execute": "./b"}')
+    with pytest.raises(ValueError, match="two configurations"):
+        languages.read_configs(spark, str(tmp_path / "a"))
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "bad.yaml").write_text("prompt: x\n")
+    with pytest.raises(ValueError, match="keys must be"):
+        languages.read_configs(spark, str(tmp_path / "b"))
