@@ -6,6 +6,8 @@ shared by the cluster, so losing an executor costs a re-run of a few tasks and n
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import inspect
 import tempfile
 import uuid
@@ -41,20 +43,52 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Tables that were written inside the innermost scratch().
+_SCRATCH: contextvars.ContextVar[list | None] = contextvars.ContextVar("scratch", default=None)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that written() makes inside, when what they were for has been written: results must be stored before the end."""
+    made: list[str] = []
+    token = _SCRATCH.set(made)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a parquet table in the shared folder, read back with the same schema."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/benchloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = f"{shared_dir(df.sparkSession)}/benchloom-{name}-{uuid.uuid4().hex}"
+    if (made := _SCRATCH.get()) is not None:
+        made.append(path)
+    return stored(df, path)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """df as a parquet table of its own name, in place of what a run that did not end left there."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def complete(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def forget(df: DataFrame) -> None:
     """Delete the files of a table made by written() that no later plan reads."""
-    spark = df.sparkSession
     for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, file)
 
 
 def small(df: DataFrame, rows: int | None = None) -> DataFrame:

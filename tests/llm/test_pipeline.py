@@ -4,6 +4,7 @@ import random
 import re
 
 import duckdb
+import pytest
 
 from benchloom.llm import common, language_id, mixing, near_copies
 import corpus_pipeline as P
@@ -133,3 +134,29 @@ def test_empty_tables(spark, tmp_path):
         out = stage(spark, docs, sf)
         assert out.columns == COLUMNS and out.count() == 0
     assert P.run(spark, sf).count() == 0
+
+
+def test_resumed(spark, tmp_path, monkeypatch):
+    """A driver that died goes on after the last stored stage; nothing but the result is left behind."""
+    import os
+
+    sf = str(tmp_path / "sf")
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id % 4 = 0").write.parquet(f"{sf}/documents.parquet")
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").write.parquet(f"{sf}/benchmark.parquet")
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{shared}")
+    want = sorted(map(repr, P.run(spark, sf).collect()))
+    assert want and [len(os.listdir(shared / d)) for d in os.listdir(shared)] == [1]
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    stages = list(P.STAGES)
+    monkeypatch.setattr(P, "STAGES", [*stages[:3], (stages[3][0], dies), stages[4]])
+    for _ in range(2):
+        with pytest.raises(RuntimeError, match="killed"):
+            P.run(spark, sf, resume="nightly")
+        monkeypatch.setattr(P, "STAGES", [(stages[0][0], None), (stages[1][0], None), (stages[2][0], None), (stages[3][0], dies), stages[4]])
+    monkeypatch.setattr(P, "STAGES", [(stages[0][0], None), (stages[1][0], None), (stages[2][0], None), *stages[3:]])
+    assert sorted(map(repr, P.run(spark, sf, resume="nightly").collect())) == want
+    assert os.listdir(shared / "pipeline-nightly") == ["4-temperature_mixing"] and len(os.listdir(shared)) == 2
