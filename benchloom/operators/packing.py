@@ -81,13 +81,12 @@ def _starts(blocks: DataFrame, seq_len: int) -> DataFrame:
 
     # the lowest nodes are blocks, the next ones partitions of the order, then runs of FAN
     levels = [blocks.select(F.struct("part", "block").alias("key"), F.col("block").alias("node"), F.col("part").alias("parent"), "adds")]
-    while True:
+    # what all items together do is asked by nobody: a level with one parent is the last
+    while levels[-1].agg(F.countDistinct("parent")).first()[0] > 1:
         above = shared_table(levels[-1].groupBy("parent").applyInArrow(compose, "node long, adds array<bigint>"), "pack-functions")
         levels.append(above.withColumn("parent", F.floor(F.col("node") / FAN).cast("long")))
-        if above.count() <= 1:
-            break
-    begins = levels[-1].select("node", F.lit(0).cast("long").alias("begin"))
-    for level in reversed(levels[:-1]):
+    begins = levels[-1].select(F.col("parent").alias("node")).distinct().withColumn("begin", F.lit(0).cast("long"))
+    for level in reversed(levels):
         grouped = level.select("parent", "node", "adds").groupBy("parent").cogroup(begins.groupBy("node"))
         last = level is levels[0]
         out = grouped.applyInArrow((lambda t, above: hand_down(t, above).append_column("part", above["node"].take([0] * t.num_rows))) if last else hand_down, "node long, begin long" + (", part long" if last else ""))

@@ -522,10 +522,10 @@ def parameter_groups(spark, d):
 # --- running programs
 
 
-@query("SELECT CAST(item_id AS VARCHAR) AS item_id, CASE item_id % 20 WHEN 1 THEN 'fail:wrong-output' WHEN 2 THEN 'fail:error' WHEN 3 THEN 'fail:timeout' WHEN 4 THEN 'fail:no-answer' WHEN 5 THEN 'fail:no-tests' ELSE 'success' END AS status FROM benchmark")
+@query("SELECT CAST(item_id AS VARCHAR) AS item_id, CASE item_id % 40 WHEN 1 THEN 'fail:wrong-output' WHEN 2 THEN 'fail:error' WHEN 3 THEN 'fail:timeout' WHEN 4 THEN 'fail:no-answer' WHEN 5 THEN 'fail:no-tests' ELSE 'success' END AS status FROM benchmark")
 def verify_python_sandbox(spark, d):
-    """Every benchmark item as a program of its own; one in twenty for each way to fail."""
-    act, n = F.col("item_id") % 20, F.length("text").cast("string")
+    """Every benchmark item as a program of its own; one in forty for each way to fail."""
+    act, n = F.col("item_id") % 40, F.length("text").cast("string")
     code = F.when(act == 2, "raise SystemExit(3)").when(act == 3, "while True: pass").when(act == 4, "").otherwise("print(input())")
     right = F.struct(n.alias("input"), F.when(act == 1, "no").otherwise(n).alias("output"))
     tests = F.array(right, F.struct(F.lit("101\n").alias("input"), F.lit("101").alias("output")))
