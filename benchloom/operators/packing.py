@@ -19,6 +19,8 @@ from benchloom.operators.curate import shared_table
 #: Items of a block, and functions that are composed into one.
 BLOCK_ITEMS = 4096
 FAN = 256
+#: First tokens of an item that help to name its range where many have the same order.
+RANGE_TOKENS = 8
 
 
 def pack_starts(lengths: np.ndarray, seq_len: int, total: int = 0, first: bool = True) -> tuple[np.ndarray, int]:
@@ -127,7 +129,9 @@ def _pack_in_order(items: DataFrame, seq_len: int, columns: dict, block_items: i
 
     names, separators = list(columns), [s for _, s in columns.values()]
     at = F.monotonically_increasing_id()
-    placed = shared_table(items.orderBy("__order", *names).withColumn("__at", at), "pack-ordered")
+    # as orderBy("__order", *names), but the sample that ranges come from, which the driver collects, holds no whole items
+    ranges = items.repartitionByRange("__order", F.slice("input_ids", 1, RANGE_TOKENS))
+    placed = shared_table(ranges.sortWithinPartitions("__order", *names).withColumn("__at", at), "pack-ordered")
     block = F.floor(F.col("__at").bitwiseAND((1 << 33) - 1) / block_items).cast("long")
     placed = placed.withColumns({"part": F.shiftright("__at", 33), "block": block})
 

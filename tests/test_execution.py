@@ -103,6 +103,22 @@ def test_pack_in_blocks(spark, monkeypatch, seq_len, block_items, n):
     assert packing.pack(df.limit(0), seq_len, -1, "k").count() == 0
 
 
+def test_pack_sends_no_items(spark):
+    """What the driver collects for the order holds no whole items; items of equal order lie in the order of their tokens."""
+    sc, group = spark.sparkContext, f"pack-{time.time()}"
+    df = spark.range(80).select(F.lit(1).alias("k"), F.concat(F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: F.lit(5)), F.sequence(79 - F.col("id"), 20078 - F.col("id"))).alias("tokens"))
+    sc.setJobGroup(group, "pack")
+    try:
+        got = packing.pack(df, 20009, -1, "k")
+        first = [r.n for r in got.orderBy("row").select(F.get("input_ids", F.lit(9)).alias("n")).collect()]
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert first == list(range(80))
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    assert stages and sum(store.lastStageAttempt(s).resultSize() for s in stages) < 4 << 20
+
+
 def test_numbered_lines(spark, tmp_path):
     """Numbers carry over byte ranges and files, whatever the ranges are."""
     want = []
