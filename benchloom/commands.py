@@ -2,6 +2,7 @@
 
 `python -m benchloom.commands COMMAND --help` lists a command's options. Steps write JSON lines to
 OUT/result and their settings to OUT/config.json; a folder that is not empty is refused without --force.
+Solutions and splits, which hold whole problems, are compressed by gzip.
 """
 
 from __future__ import annotations
@@ -23,10 +24,14 @@ RESPONSES = generate.RESPONSE
 LONG_NAMES = {"python": "Python 3", "cpp": "C++ 17", "r": "R 4", "julia": "Julia 1.11", "lua": "Lua 5.1", "java": "Java"}
 
 
-def _out(df: DataFrame, out: str, force: bool, **config) -> DataFrame:
+#: Keys that are sent to every task.
+SENT = 200_000
+
+
+def _out(df: DataFrame, out: str, force: bool, compression: str = "none", **config) -> DataFrame:
     spark = df.sparkSession
     spec.start_step(spark, out, force=force)
-    df.write.option("ignoreNullFields", False).json(f"{out}/result")
+    df.write.option("ignoreNullFields", False).option("compression", compression).json(f"{out}/result")
     spec.write_document(spark, f"{out}/config.json", config)
     return spark.read.schema(df.schema).json(f"{out}/result")
 
@@ -38,7 +43,7 @@ def _step(spark: SparkSession, path: str, schema: str, start: int = 0, size: int
 def preprocess_solutions(spark: SparkSession, raw: str, out: str, force: bool = False) -> DataFrame:
     """Raw problems (a dataset spec) to numbered solutions."""
     rows = curate.solutions(spec.read_spec(spark, raw, RAW_PROBLEM), ["id"])
-    return _out(rows, out, force, raw=raw)
+    return _out(rows, out, force, "gzip", raw=raw)
 
 
 def preprocess_checkers(spark: SparkSession, solutions: str, checkers: str, out: str, force: bool = False) -> DataFrame:
@@ -60,14 +65,18 @@ def make_split(spark: SparkSession, kind: str, solutions: str, checkers: str, ou
     rows = _step(spark, solutions, SOLUTIONS)
     wanted = _step(spark, checkers, "idx bigint, type string").where("type = 'diff'")
     used = [_step(spark, t, "idx bigint") for t in taken]
+    # keys decide which rows are picked; whole rows move at most once
     if kind == "xl":
-        picked = rows.join(wanted, "idx", "left_semi")
+        picked = rows.select("idx").join(wanted, "idx", "left_semi")
         for u in used:
             picked = picked.join(u, "idx", "left_anti")
+        picked = curate.rows_of(rows, picked, "idx")
     else:
         k = SPLITS[kind][0] if size is None else size
-        picked = curate.split(rows.where(F.size("examples") >= 2), "idx", k, wanted, used, FORCED if kind == "test" else None, strict=True)
-    return _out(picked.orderBy("idx"), out, force, kind=kind, taken=list(taken))
+        pool = rows.where(F.size("examples") >= 2)
+        picked = curate.split(pool.select("idx"), "idx", k, wanted, used, FORCED if kind == "test" else None, strict=True)
+        picked = pool.join(F.broadcast(picked) if k <= SENT else picked, "idx", "left_semi").orderBy("idx")
+    return _out(picked, out, force, "gzip", kind=kind, taken=list(taken))
 
 
 def publish_splits(spark: SparkSession, splits: dict[str, str], out: str) -> DataFrame:

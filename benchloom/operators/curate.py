@@ -30,7 +30,7 @@ def shared_table(df: DataFrame, name: str) -> DataFrame:
     """df written below spark.checkpoint.dir and read again, so that later plans see the same rows."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/benchloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -100,14 +100,22 @@ def split(pool: DataFrame, key: str, k: int, wanted: DataFrame | None = None, ta
     return own.unionByName(sample_k(rows.where(~F.col(key).isin(forced)), key, k, seed, strict))
 
 
+def rows_of(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among keys, in its order: both lie in ranges of the key, so a row moves once for the match and the order."""
+    both = rows.withColumn("__asked", F.lit(False)).unionByName(keys.select(key, F.lit(True).alias("__asked")), allowMissingColumns=True)
+    there = F.max("__asked").over(Window.partitionBy(key))
+    return both.repartitionByRange(key).withColumn("__there", there).where("__there AND NOT __asked").sortWithinPartitions(key).select(rows.columns)
+
+
 def solutions(raw: DataFrame, ordinal_by: list[str]) -> DataFrame:
     """Raw problems as solutions: numbered before anything is dropped, then only those with a description and examples.
 
     An example without input or output is left out.
     """
-    rows = with_ordinal(raw, ordinal_by)
     whole = F.filter("examples", lambda e: e["input"].isNotNull() & e["output"].isNotNull())
-    rows = rows.where(F.col("description").isNotNull()).withColumn("examples", F.coalesce(whole, F.array().cast(raw.schema["examples"].dataType)))
+    # rows that will go are numbered, too, but their examples need not move
+    rows = raw.withColumn("examples", F.when(F.col("description").isNotNull(), whole))
+    rows = with_ordinal(rows, ordinal_by)
     names = {"id": "source_id", "generation": "response", "description": "problem_statement", "note": "problem_notes"}
     return rows.where(F.size("examples") > 0).withColumnsRenamed(names).select(*SOLUTION_COLUMNS)
 

@@ -610,7 +610,7 @@ SELECT 'validation' AS split, CAST(idx AS BIGINT) AS idx FROM t UNION ALL SELECT
 def commands_splits(spark, d):
     """Raw problems and checker texts to published splits, by the commands and their files."""
     root, raw = _folder(spark), _raw(spark, d)
-    raw.withColumn("id", F.format_string("%012d", "doc_id")).drop("doc_id").write.json(f"{root}/raw")
+    raw.withColumn("id", F.format_string("%012d", "doc_id")).drop("doc_id").write.option("compression", "gzip").json(f"{root}/raw")
     said = F.concat(F.lit(f"so</think>\n\n{T.FENCE}json\n"), F.to_json(F.struct(F.when(F.col("quality") == 1, "diff").otherwise("checker").alias("type"))), F.lit(f"\n{T.FENCE}\n"))
     quality = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
     quality.select(F.format_string("%012d", "doc_id").alias("id"), said.alias("generation")).write.json(f"{root}/texts")

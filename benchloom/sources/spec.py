@@ -142,7 +142,7 @@ def read_scripts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_split(df: DataFrame, path: str, split: str = "split") -> None:
-    df.write.mode("overwrite").partitionBy(split).parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy(split).parquet(path)
 
 
 def finished_ids(spark: SparkSession, path: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import json
 import random
 import shutil
 import subprocess
@@ -338,3 +339,35 @@ def test_older_programs():
     source = open(py_syntax.__file__).read()
     assert py_syntax.todays(source) == source
     assert code_blocks.code_blocks("print 'a'\n\nprint 'b'\n\nsome words of prose\n</think>")[0] == [("print 'a'\n\nprint 'b'", 0)]
+
+
+def test_splits_move_whole_rows_once(spark, tmp_path):
+    """Keys decide what is in a split: a drawn one shuffles no whole rows, xl shuffles each once, in the order of idx."""
+    from benchloom import commands
+
+    sc = spark.sparkContext
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300)), lambda i: F.md5(F.concat_ws(":", "id", i.cast("string")))), "")
+    rows = spark.range(400).select(F.col("id").alias("idx"), text.alias("problem_statement"), F.array_repeat(F.struct(F.lit("1").alias("input"), F.lit("2").alias("output")), (F.col("id") % 3).cast("int")).alias("examples"))
+    rows.write.json(f"{tmp_path}/s/result")
+    spark.range(400).where("id % 5 <> 0").selectExpr("id AS idx", "'diff' AS type").write.json(f"{tmp_path}/c/result")
+    whole = 400 * 9600
+
+    def moved(kind, taken, **options):
+        group = f"split-{tmp_path}-{kind}"
+        sc.setJobGroup(group, kind)
+        commands.make_split(spark, kind, f"{tmp_path}/s", f"{tmp_path}/c", f"{tmp_path}/{kind}", taken, **options)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+        return sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds})
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert moved("train", [], size=7) < whole / 10
+        assert moved("xl", [f"{tmp_path}/train"]) < 1.3 * whole
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    drawn = [r.idx for r in spark.read.json(f"{tmp_path}/train/result").orderBy("idx").collect()]
+    assert len(drawn) == 7 and all(i % 5 and i % 3 == 2 for i in drawn)
+    lines = [json.loads(v)["idx"] for v in [r.value for r in spark.read.text(f"{tmp_path}/xl/result").withColumn("f", F.input_file_name()).orderBy("f").collect()]]
+    assert lines == [i for i in range(400) if i % 5 and i not in drawn]
