@@ -16,10 +16,12 @@ copies get equal results; empty tables give empty results; other columns are kep
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .simhash import _joined
 
 WINDOW = 64
 HIDDEN = 8
@@ -246,20 +248,15 @@ def identify(docs: DataFrame, net: ByteNetwork | None, text: str = "text", pred:
         return docs.withColumns({pred: F.lit("und"), score: F.lit(0.0)})
     shipped = spark.sparkContext.broadcast((net.labels, net.hidden, net.w))
 
-    @F.pandas_udf("pred string, score double")
-    def predict(texts):
-        import pandas as pd
-
+    @F.arrow_udf("pred string, score double")
+    def predict(texts: pa.Array) -> pa.Array:
         labels, hidden, w = shipped.value
         own = ByteNetwork.__new__(ByteNetwork)
         own.labels, own.hidden, own.w = labels, hidden, w
-        raw = [b"" if x is None else bytes(x) for x in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in raw], dtype=np.int64)]).astype(np.int64)
-        p = own.document_probabilities(np.frombuffer(b"".join(raw), np.uint8), offsets)
+        p = own.document_probabilities(*_joined(texts))  # the bytes stay where Arrow has them
         best = p.argmax(axis=1) if len(p) else np.empty(0, int)
-        del raw
         C.give_back()
-        return pd.DataFrame({"pred": np.array(labels, object)[best], "score": np.clip(p[np.arange(len(p)), best], 0.0, 1.0)})
+        return pa.StructArray.from_arrays([pa.array(labels).take(pa.array(best)), pa.array(np.clip(p[np.arange(len(p)), best], 0.0, 1.0))], ["pred", "score"])
 
     readable = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     guess = "__guess" if "__guess" not in docs.columns else "__guess_of_text"

@@ -98,7 +98,7 @@ def fingerprints_of(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGL
     return out
 
 
-def _slices(offsets: np.ndarray, size: int = 1 << 20):
+def _slices(offsets: np.ndarray, size: int = 1 << 18):
     """Runs of documents of about size bytes."""
     lo, n = 0, len(offsets) - 1
     while lo < n:
