@@ -3,17 +3,21 @@
 A similarity of 0.8 leaves about 10 of 64 fingerprint bits different and up to 22. Distances between
 unrelated texts spread over 32 +- 4 bits, so at that radius the triangle bound of a vantage-point tree
 excludes next to nothing and every ball meets every shard: dealing by Hamming regions grows with the
-square of the texts. Only the dealing is therefore done another way; SimHash fingerprints and the trees
-decide inside the groups.
+square of the texts. Regions are therefore dealt for the radius of op5, and what is further apart meets in
+groups named another way, where SimHash fingerprints and the trees decide again.
 
 1. Equal shingle sets (a 64-bit hash of the set) become one point with its fingerprint, its size and a
-   sketch of SKETCH minima. Bands of ROWS minima name BANDS groups a point belongs to: a pair at 0.8 shares
-   none of them once in 38,000 times, a pair at 0.85 once in 2.6 million.
-2. In a group, a vantage-point tree over the fingerprints finds pairs within RADIUS bits; those whose sizes
-   and sketches allow 0.8 are candidates (a pair at 0.8 fails once in 100,000). A group emits a spanning forest
-   of them. Groups over GROUP points are not collected: all their points are tied to the smallest one.
-   Components of these edges, the clusters, hold every pair that may be similar, and perhaps more.
-3. A point's shingles are sent once to its cluster, where all pairs are compared exactly by products of
+   sketch of SKETCH minima.
+2. Distinct fingerprints are dealt to the shards of a tree of vantage points by op5's operator, and the
+   trees of the shards find every pair within REGION bits: those are candidates, whatever else is known of
+   them, and no such pair is lost.
+3. Bands of ROWS minima name BANDS groups a point belongs to: a pair at 0.8 shares none of them once in
+   38,000 times, a pair at 0.85 once in 2.6 million. In a group, a vantage-point tree over the fingerprints
+   finds pairs within RADIUS bits; those whose sizes and sketches allow 0.8 are candidates (a pair at 0.8
+   fails once in 100,000). A group emits a spanning forest of them. Groups over GROUP points are not
+   collected: all their points are tied to the smallest one. Components of the edges of 2 and 3, the
+   clusters, hold every pair that may be similar, and perhaps more.
+4. A point's shingles are sent once to its cluster, where all pairs are compared exactly by products of
    incidence matrices. A cluster of over TILE points is compared in tiles, each with PIVOTS points that all
    tiles share; what is then still apart from the cluster's largest component is compared with all of it,
    tile by tile, so the price is quadratic only in the points that the pivots leave apart.
@@ -32,7 +36,8 @@ from pyspark.sql import functions as F
 from . import common as C
 from . import hashing as H
 from .components import components
-from .simhash import Forest, VantageTree, _joined, majorities, shingles_of
+from .simhash import RADIUS as REGION
+from .simhash import Forest, VantageTree, _joined, majorities, near_links, shingles_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -109,6 +114,16 @@ def sketches(docs: DataFrame, doc_id: str, text: str, shingle: int) -> DataFrame
     return _rows(docs, doc_id, text).mapInArrow(batches, "doc_id long, text_hash long, key long, fp long, size int, sketch binary, bands array<long>")
 
 
+def region_links(points: DataFrame) -> DataFrame:
+    """points: distinct key with fp and size. Edges (a, b) that span the points linked by REGION or fewer bits."""
+    points = points.where("size > 0")
+    named = C.written(points.groupBy("fp").agg(F.min("key").alias("least")), "regions")
+    same = points.join(named, "fp").where(F.col("key") != F.col("least")).select(F.col("key").alias("a"), F.col("least").alias("b"))
+    ends = [named.select(F.col("fp").alias(x), F.col("least").alias(f"least_{x}")) for x in "ab"]
+    links = near_links(named.select("fp"), REGION).join(ends[0], "a").join(ends[1], "b")
+    return links.select(F.col("least_a").alias("a"), F.col("least_b").alias("b")).unionByName(same)
+
+
 def candidates(points: DataFrame, similarity: float) -> DataFrame:
     """points: distinct key with fp, size, sketch and bands. Edges (a, b) that span every group of possible copies."""
     named = points.where("size > 0").select("key", F.explode("bands").alias("band"))
@@ -266,7 +281,8 @@ def near_copies(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     points = rows.groupBy("key").agg(*[F.min(c).alias(c) for c in ("fp", "size", "sketch", "bands")], F.min(row).alias("row"))
     points = C.written(points.select("key", "fp", "size", "sketch", "bands", "row.doc_id", "row.text_hash"), "points")
-    clusters = C.written(components(C.written(candidates(points, similarity), "candidates")), "clusters")
+    found = region_links(points).unionByName(candidates(points, similarity))
+    clusters = C.written(components(C.written(found, "candidates")), "clusters")
     groups = components(confirmed(clusters, points.select("key", "doc_id", "text_hash", "size"), docs, doc_id, text, shingle, similarity))
     out = C.written(rows.join(groups, rows.key == groups.node, "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("group")), "groups")
     for table in (rows, points, clusters):

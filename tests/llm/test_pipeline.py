@@ -6,7 +6,7 @@ import re
 import duckdb
 import pytest
 
-from benchloom.llm import common, language_id, mixing, near_copies
+from benchloom.llm import common, language_id, mixing, near_copies, simhash
 import corpus_pipeline as P
 from test_operators import brute_suffixes
 
@@ -112,6 +112,32 @@ def test_clusters_in_tiles(spark, monkeypatch):
     assert near_copies.near_copies(docs.limit(0)).count() == 0
 
 
+def test_copies_in_regions(spark, monkeypatch):
+    """Fingerprints dealt by Hamming regions: all pairs within two bits are linked, and copies among them go without any band."""
+    rng = random.Random(21)
+    word = lambda: rng.choice("abcdefgh") + str(rng.randrange(10**6))
+    texts = []
+    for _ in range(40):
+        one = [word() for _ in range(400)]
+        texts += [" ".join(one), " ".join([word(), *one[1:]]), " ".join([*one[:-2], word(), word()])]
+    texts += ["a b", "A  b", "", None] + [" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = near_copies.sketches(docs, "doc_id", "text", near_copies.SHINGLE).collect()
+    fps = {r.doc_id: r.fp % 2**64 for r in rows}
+    near = [(i, j) for i in fps for j in range(i) if texts[i] and texts[j] and (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS]
+    assert sum(j < i < 120 for i, j in near) > 20
+    monkeypatch.setattr(simhash, "SHARD_POINTS", 30)
+    dealt = []
+    deal = simhash.region_tree
+    monkeypatch.setattr(simhash, "region_tree", lambda points: dealt.append(deal(points)) or dealt[-1])
+    monkeypatch.setattr(near_copies, "candidates", lambda points, _: spark.createDataFrame([], "a long, b long"))
+    got = {r.doc_id: r.group for r in near_copies.near_copies(docs).collect()}
+    assert dealt and dealt[0][1] >= 3
+    similar = similar_groups(texts)
+    assert all(got[i] == got[j] for i, j in near if similar[i] == similar[j])
+    assert all(similar[i] == similar[j] for i in got for j in range(i) if got[i] == got[j])
+
+
 def test_rejected_by_score(spark, monkeypatch):
     """Documents whose best language holds too small a share of their positions go, all others stay."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(COLUMNS)
