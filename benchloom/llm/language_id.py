@@ -260,7 +260,8 @@ def identify(docs: DataFrame, net: ByteNetwork | None, text: str = "text", pred:
 
     readable = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
     guess = "__guess" if "__guess" not in docs.columns else "__guess_of_text"
-    out = docs.withColumn(guess, predict(F.when(readable, F.col(text).cast("binary"))))
+    # a filter on the result would else be pushed below the projection, with a second run of the network in workers of its own
+    out = docs.withColumn(guess, predict.asNondeterministic()(F.when(readable, F.col(text).cast("binary"))))
     named: dict[str, Column] = {pred: F.when(readable, F.col(guess)["pred"]).otherwise("und"), score: F.when(readable, F.col(guess)["score"]).otherwise(0.0)}
     return out.withColumns(named).drop(guess)
 
