@@ -11,16 +11,22 @@ from __future__ import annotations
 
 import heapq
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchloom.functions import arrays as A
 
-#: Rows of a vocabulary at most, and words whose ids a task remembers.
+#: Rows of a vocabulary at most, words whose ids a task remembers, and letters of one at most.
 LARGEST = 2_000_000
 REMEMBERED = 200_000
+LONGEST_REMEMBERED = 64
+#: A worker hands on its rows as soon as they have so many tokens, or are so many: a batch that came in may have far more.
+TOKENS_AT_ONCE = 1 << 19
+ROWS_AT_ONCE = 10_000
 #: Words with the space before them, and runs of other white space.
 WORDS = r" ?[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+"
 
@@ -78,10 +84,8 @@ def tokenizer(vocabulary: DataFrame, words: str = WORDS) -> Callable[[Column], C
         raise ValueError(f"a vocabulary of more than {LARGEST} tokens is not sent to every task")
     sent = vocabulary.sparkSession.sparkContext.broadcast({bytes(r["token"]): r["rank"] for r in rows})
 
-    @F.pandas_udf("array<array<int>>")
-    def encode(column):
-        import pandas as pd
-
+    @F.arrow_udf("array<array<int>>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         ranks, known = sent.value, {}
         try:
             split = re.compile(words).findall
@@ -90,15 +94,34 @@ def tokenizer(vocabulary: DataFrame, words: str = WORDS) -> Callable[[Column], C
 
             split = regex.compile(words).findall
 
-        def ids(word: str) -> list[int]:
+        def ids(word: str) -> array:
             found = known.get(word)
             if found is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = known[word] = merged(word.encode(), ranks)
+                found = array("i", merged(word.encode(), ranks))
+                if len(word) <= LONGEST_REMEMBERED:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[word] = found
             return found
 
-        return pd.Series([None if texts is None else [[i for w in split(t or "") for i in ids(w)] for t in texts] for texts in column])
+        def lists():
+            flat = pa.ListArray.from_arrays(pa.array(texts_end, pa.int32()), pa.array(found, pa.int32()))
+            return pa.ListArray.from_arrays(pa.array(rows_end, pa.int32()), flat, mask=pa.array(missing, pa.bool_()))
+
+        found, texts_end, rows_end, missing = array("i"), array("i", [0]), array("i", [0]), []
+        for column in batches:
+            for texts in column:
+                for t in texts.values or () if texts.is_valid else ():
+                    for w in split(t.as_py() or ""):
+                        found.extend(ids(w))
+                    texts_end.append(len(found))
+                rows_end.append(len(texts_end) - 1)
+                missing.append(not texts.is_valid)
+                if len(found) >= TOKENS_AT_ONCE or len(missing) >= ROWS_AT_ONCE:
+                    yield lists()
+                    found, texts_end, rows_end, missing = array("i"), array("i", [0]), array("i", [0]), []
+        if missing:
+            yield lists()
 
     return encode
 

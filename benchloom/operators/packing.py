@@ -4,8 +4,8 @@ A separator stands before an item iff it isn't the first and the tokens so far d
 an item needs of those before it is their total modulo the row's length, and a run of items is a function
 from that remainder to the next one and to the tokens it adds. Such functions compose: blocks of items
 make theirs side by side, runs of blocks are composed level by level until one is left, and the starts are handed
-down the same way. Then every block knows its first token's place and packs on its own; only rows that
-cross the edge of a block are put together from their pieces.
+down the same way. All this takes lengths only. Then every item knows its first token's place: its chunks are cut
+where rows end, and only rows that lie in more than one chunk are put together from their pieces.
 """
 
 from __future__ import annotations
@@ -14,13 +14,15 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchloom.operators.curate import shared_table
+from benchloom.operators.curate import raising, shared_table
 
 #: Items of a block, and functions that are composed into one.
 BLOCK_ITEMS = 4096
 FAN = 256
 #: First tokens of an item that help to name its range where many have the same order.
 RANGE_TOKENS = 8
+#: Tokens of an item that are stored in one row.
+CHUNK_TOKENS = 512
 
 
 def pack_starts(lengths: np.ndarray, seq_len: int, total: int = 0, first: bool = True) -> tuple[np.ndarray, int]:
@@ -128,37 +130,51 @@ def _pack_in_order(items: DataFrame, seq_len: int, columns: dict, block_items: i
     import pyarrow as pa
 
     names, separators = list(columns), [s for _, s in columns.values()]
-    at = F.monotonically_increasing_id()
+    long = lambda x: x.cast("long")
+    for name in names[1:]:
+        items = raising(items, F.size(name) != F.size("input_ids"), f"{name} is not as long as the tokens")
     # as orderBy("__order", *names), but the sample that ranges come from, which the driver collects, holds no whole items
     ranges = items.repartitionByRange("__order", F.slice("input_ids", 1, RANGE_TOKENS))
-    placed = shared_table(ranges.sortWithinPartitions("__order", *names).withColumn("__at", at), "pack-ordered")
-    block = F.floor(F.col("__at").bitwiseAND((1 << 33) - 1) / block_items).cast("long")
-    placed = placed.withColumns({"part": F.shiftright("__at", 33), "block": block})
-
+    placed = ranges.sortWithinPartitions("__order", *names).withColumn("__at", F.monotonically_increasing_id())
+    # items are stored in chunks, since a reader's batch is thousands of stored rows, whatever their size
+    n = F.size("input_ids")
+    placed = placed.select("*", long(n).alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(F.floor((n - 1) / CHUNK_TOKENS).cast("int"), F.lit(0)))).alias("c"))
+    placed = shared_table(placed.select("__at", "n", "c", *[F.slice(name, F.col("c") * CHUNK_TOKENS + 1, CHUNK_TOKENS).alias(name) for name in names]), "pack-ordered")
+    at = F.col("__at").bitwiseAND((1 << 33) - 1)
+    placed = placed.withColumns({"part": F.shiftright("__at", 33), "block": F.floor(at / block_items).cast("long")})
+
+    # workers get the items' lengths and never their tokens
     def measure(t):
         t = t.sort_by("__at")
         adds = added(t["n"].to_numpy(), seq_len)
         return pa.table({"part": t["part"].slice(0, 1), "block": t["block"].slice(0, 1), "adds": pa.array([adds.tolist()], pa.list_(pa.int64()))})
 
-    sizes = placed.select("part", "block", "__at", F.size("input_ids").cast("long").alias("n")).groupBy("part", "block")
+    def place(t, start):
+        t = t.sort_by("__at")
+        begin, lengths = start["begin"][0].as_py(), t["n"].to_numpy()
+        starts, _ = pack_starts(lengths, seq_len, begin, first=begin == 0)
+        totals = np.append(begin, (starts + lengths)[:-1])
+        return pa.table({"part": t["part"].slice(0, 1), "block": t["block"].slice(0, 1), "totals": pa.array([totals], pa.list_(pa.int64()))})
+
+    sizes = placed.where("c = 0").select("part", "block", "__at", "n").groupBy("part", "block")
     blocks = shared_table(sizes.applyInArrow(measure, "part long, block long, adds array<bigint>"), "pack-blocks")
     begins = _starts(blocks, seq_len)
-
-    def lay(t, start):
-        t = t.sort_by("__at").combine_chunks()
-        begin, lengths = start["begin"][0].as_py(), _lengths(t)
-        starts, total = pack_starts(lengths, seq_len, begin, first=begin == 0)
-        cuts = np.concatenate([[begin], np.arange(begin // seq_len + 1, -(-total // seq_len)) * seq_len, [total]]) if total > begin else np.array([begin])
-        out = {"row": pa.array(cuts[:-1] // seq_len, pa.int64()), "at": pa.array(cuts[:-1] % seq_len, pa.int64())}
-        offsets = pa.array((cuts - begin).astype(np.int32))
-        for name, flat in zip(names, _layout(t, names, starts, lengths, begin, total, separators)):
-            out[name] = pa.ListArray.from_arrays(offsets, pa.array(flat))
-        return pa.table(out)
-
-    laid = placed.groupBy("part", "block").cogroup(begins.groupBy("part", "block")).applyInArrow(lay, "row long, at long" + "".join(f", {c} array<bigint>" for c in names))
-    laid = shared_table(laid, "pack-pieces")
+    totals = shared_table(sizes.cogroup(begins.groupBy("part", "block")).applyInArrow(place, "part long, block long, totals array<bigint>"), "pack-totals")
+
+    # an item's first chunk takes the separator before it along; chunks are cut where rows end
+    total = F.get("totals", (at % block_items).cast("int"))
+    parted = total % seq_len != 0
+    first = (F.col("c") == 0) & parted
+    begin = total + F.when(F.col("c") == 0, 0).otherwise(parted.cast("long") + long(F.col("c")) * CHUNK_TOKENS)
+    end = begin + first.cast("long") + long(F.size("input_ids"))
+    with_separator = [F.when(first, F.concat(F.array(F.lit(s).cast("long")), F.col(name))).otherwise(F.col(name)).alias(name) for name, s in zip(names, separators)]
+    chunks = placed.join(totals, ["part", "block"]).where(end > begin).select(begin.alias("begin"), end.alias("end"), *with_separator)
+    cut = chunks.select("*", F.explode(F.sequence(F.floor(F.col("begin") / seq_len), F.floor((F.col("end") - 1) / seq_len))).alias("row"))
+    low, high = F.greatest(F.col("begin"), F.col("row") * seq_len), F.least(F.col("end"), (F.col("row") + 1) * seq_len)
+    part_of = lambda name: F.slice(name, (low - F.col("begin") + 1).cast("int"), (high - low).cast("int")).alias(name)
     # whole rows stay where they are; the others are pieces, of which a row has at most seq_len
-    whole = laid.where(F.size("input_ids") == seq_len).drop("at")
-    pieces = laid.where(F.size("input_ids") < seq_len).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", *names))).alias("p"))
-    joined = pieces.select("row", *[F.flatten(F.col("p").getField(n)).alias(n) for n in names])
+    whole = cut.where(high - low == seq_len).select("row", *[part_of(name) for name in names])
+    pieces = cut.where(high - low < seq_len).select("row", low.alias("at"), *[part_of(name) for name in names])
+    pieces = pieces.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", *names))).alias("p"))
+    joined = pieces.select("row", *[F.flatten(F.col("p").getField(name)).alias(name) for name in names])
     return whole.unionByName(joined).select(F.lit(0).alias("shard"), "row", *names)

@@ -2,10 +2,12 @@
 
 import json
 import random
+import re
 import sys
 import threading
 import time
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -119,6 +121,40 @@ def test_pack_sends_no_items(spark):
     assert stages and sum(store.lastStageAttempt(s).resultSize() for s in stages) < 4 << 20
 
 
+def test_pack_workers_get_no_tokens(spark):
+    """Python workers get lengths only, and no stored row holds a whole item, however long items are."""
+    state = spark._jsparkSession.sharedState().statusStore()
+    before = state.executionsCount()
+    n, size = 60, 6_000
+    df = spark.range(n).select(F.col("id").alias("k"), F.sequence(F.col("id"), F.col("id") + size - 1).alias("tokens"), F.array_repeat(F.lit(1), size).alias("m"))
+    packed = packing.pack(df, 64, -1, "k", masks={"m": 7}, block_items=20)
+    got = packed.agg(F.count("row"), F.sum(F.aggregate("input_ids", F.lit(0).cast("long"), lambda s, x: s + x)), F.sum(F.size(F.filter("m", lambda x: x == 7)))).first()
+    joined, separators = 0, 0
+    for _ in range(n):
+        separators += joined % 64 != 0
+        joined += (joined % 64 != 0) + size
+    assert tuple(got) == (-(-joined // 64), sum(k * size for k in range(n)) + n * (size * (size - 1) // 2) - separators, separators)
+    units, sent = {"B": 1, "KiB": 1 << 10, "MiB": 1 << 20, "GiB": 1 << 30}, 0
+    time.sleep(1)  # metrics arrive with events
+    found = state.executionsList(before, 1000)
+    for e in [found.apply(i) for i in range(found.size())]:
+        values = state.executionMetrics(e.executionId())
+        for m in [e.metrics().apply(i) for i in range(e.metrics().size())]:
+            if m.name() == "data sent to Python workers" and values.contains(m.accumulatorId()):
+                number, unit = re.search(r"([\d.,]+) ([KMG]?i?B)", values.apply(m.accumulatorId())).groups()
+                sent += float(number.replace(",", "")) * units[unit]
+    assert 0 < sent < n * size
+    folder = packing.shared_table(spark.range(1), "any").inputFiles()[0].rsplit("/", 2)[0]
+    stored = max(Path(folder.removeprefix("file://")).glob("benchloom-pack-ordered-*"), key=lambda p: p.stat().st_mtime)
+    assert spark.read.parquet(f"file://{stored}").agg(F.max(F.size("input_ids"))).first()[0] <= 512
+
+
+def test_pack_refuses_other_masks(spark):
+    df = spark.createDataFrame([(0, [1, 2, 3], [0, 0, 1]), (1, [4, 5], [0])], "k int, tokens array<bigint>, m array<bigint>")
+    with pytest.raises(Exception, match="m is not as long as the tokens"):
+        packing.pack(df, 4, -1, "k", masks={"m": 7}).collect()
+
+
 def test_numbered_lines(spark, tmp_path):
     """Numbers carry over byte ranges and files, whatever the ranges are."""
     want = []

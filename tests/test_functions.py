@@ -310,6 +310,21 @@ def test_subwords_by_a_public_vocabulary(spark):
         subwords.merged(b"ab", {b"a": 0})
 
 
+def test_subwords_leave_in_small_batches(spark, monkeypatch):
+    """A worker hands rows on before it has all tokens of a batch; nulls, empty rows and their order stay."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(subwords, "TOKENS_AT_ONCE", 10)
+    monkeypatch.setattr(subwords, "REMEMBERED", 2)
+    encode = subwords.tokenizer(spark.createDataFrame([(bytearray([i]), i) for i in range(256)], "token binary, rank int"))
+    rows = [["a b", None], None, [], ["é" * 70], ["x " * 3], [], [""], ["yy"], None]
+    batches = [pa.array(part, pa.list_(pa.string())) for part in (rows[:4], rows[4:4], rows[4:])]
+    got = list(encode.func(iter(batches)))
+    assert [len(b) for b in got] == [4, 5] and all(b.type == pa.list_(pa.list_(pa.int32())) for b in got)
+    assert [r for b in got for r in b.to_pylist()] == [None if r is None else [list((t or "").encode()) for t in r] for r in rows]
+    assert max(len(b) for b in encode.func(iter([pa.array([["abcdefghijkl"]] * 50, pa.list_(pa.string()))]))) == 1
+
+
 def test_chat_rows(spark):
     """Control strings in texts stay text; the mask begins with the answer and holds its end token."""
     vocabulary = spark.createDataFrame([(bytearray([i]), i) for i in range(256)], "token binary, rank int")
